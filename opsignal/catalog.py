@@ -524,9 +524,9 @@ def v11_pattern_timeline(spark, sf_dir):
 def v12_pattern_signals(spark, sf_dir):
     t = Inputs(spark, sf_dir)
     alerts, incidents = serve.pattern_signals(t.scored, t.silver_alerts, PATTERN)
-    marked = incidents.select(F.lit("incident").alias("signal"), "incident_id", F.col("created_at").alias("at"),
+    marked = incidents.select(F.lit("incident").alias("signal"), "incident_id", F.col("created_at").alias("seen_at"),
                               F.col("root_service").alias("service"))
-    return alerts.select("*", F.lit("alert").alias("signal"), F.col("fired_at").alias("at")).drop("fired_at").unionByName(
+    return alerts.select("*", F.lit("alert").alias("signal"), F.col("fired_at").alias("seen_at")).drop("fired_at").unionByName(
         marked, allowMissingColumns=True
     )
 

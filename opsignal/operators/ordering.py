@@ -35,7 +35,8 @@ def row_numbers(
 
     sample = staged.select("_key", F.xxhash64(unique).alias("_h"), unique).orderBy("_h", unique).limit(RANGES)
     bounds = sample.agg(F.sort_array(F.collect_list("_key"))).scalar()
-    ranged = staged.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_key"))))
+    ranged = staged.withColumn("_bounds", bounds)
+    ranged = ranged.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key")))).drop("_bounds")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

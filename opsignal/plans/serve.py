@@ -276,14 +276,14 @@ def analysis_context(patterns: DataFrame, services: DataFrame, pattern_id: str |
         ).alias("a")
     )
 
-    def plain(array):
-        return F.transform(array, lambda s: s.dropFields("_o"))
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(F.transform("a", lambda s: s.dropFields("_o")).alias("a"))
 
     doc = F.struct(
-        plain(F.col("a")).alias("top_failure_patterns"),
-        plain(risky.scalar()).alias("highest_risk_services"),
+        F.col("a").alias("top_failure_patterns"),
+        plain(risky).scalar().alias("highest_risk_services"),
     )
-    return chosen.select(F.to_json(doc).alias("context"))
+    return plain(chosen).select(F.to_json(doc).alias("context"))
 
 
 def _money(column: str):
