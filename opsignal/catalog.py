@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import fixtures as fx
 from .functions.nested import attribute, parse_service_list
-from .functions.numbers import half_up, humanize, humanize_currency
+from .functions.numbers import half_up_sql, humanize, humanize_currency
 from .functions import scoring
 from .functions.times import calendar, whole_minutes
 from .plans import build, gold, graph, impact, insight, serve, silver
@@ -33,24 +33,24 @@ SERVICE, DOMAIN, PATTERN, DAYS = "svc-7", "application", "FP-7", 20
 def tidy(df: DataFrame) -> DataFrame:
     """Columns in a form that does not depend on the engine."""
 
-    def plain(field: T.StructField):
-        c, t = F.col(f"`{field.name}`"), field.dataType
+    def plain(field: T.StructField) -> str:
+        c, t = f"`{field.name}`", field.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = half_up(c, 4)
+            c = half_up_sql(c, 4)
         elif isinstance(t, T.TimestampType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         elif isinstance(t, T.DateType):
-            c = c.cast("string")
+            c = f"cast({c} AS string)"
         elif isinstance(t, T.ArrayType):
             if isinstance(t.elementType, T.StructType):
-                names = t.elementType.names
-                c = F.transform(c, lambda s: F.concat_ws("|", *[s[n].cast("string") for n in names]))
-            c = F.array_join(F.sort_array(c), ",")
+                parts = ", ".join(f"cast(s.{n} AS string)" for n in t.elementType.names)
+                c = f"transform({c}, s -> concat_ws('|', {parts}))"
+            c = f"array_join(sort_array({c}), ',')"
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        return c.alias(field.name)
+            c = f"cast({c} AS bigint)"
+        return f"{c} AS `{field.name}`"
 
-    return df.select(*[plain(f) for f in df.schema.fields])
+    return df.selectExpr(*[plain(f) for f in df.schema.fields])
 
 
 def query(fn: Query) -> Query:

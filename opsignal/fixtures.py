@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import impact
+from .plans.impact import MODEL_COLUMNS
 from .schemas import RAW_ALERTS, RAW_CHANGES, RAW_INCIDENTS, RAW_LOGS, RAW_TRACES
 from .session import configure
 
@@ -40,252 +40,251 @@ UNITS = ("supply-chain", "digital-surgery", "clinical-trials", "commercial-pharm
 MODELS = ("shipment_throughput", "productivity_loss", "trial_delay", "lost_sales", "blast_multiplier")
 QUESTION_WORDS = ("shipment", "productivity", "duplicate", "revenue", "blast radius", "hello")
 
-def k() -> Column:
-    return F.col("k")
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def u() -> Column:
-    return F.col("u")
+def one_of(values: tuple, n: str) -> str:
+    """SQL for ``values[n]``, n in 0..len-1."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast({n} + 1 as int))"
 
 
-def v() -> Column:
-    return F.col("v")
-
-
-def id_() -> Column:
-    return F.col("id")
-
-
-def svc(n: Column) -> Column:
-    return F.concat(F.lit("svc-"), n.cast("string"))
-
-
-def one_of(values: tuple, n: Column) -> Column:
-    """``values[n]`` for n in 0..len-1."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+ENVIRONMENT = one_of(("prod", "staging"), "id % 2") + " AS environment"
+REGION = one_of(("us-east-1", "us-west-2"), "id % 2") + " AS region"
+CENTS = "cast(round(v * 100) as bigint)"
 
 
 def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """id, ts, u, kind, v, k of the events of the given kinds (all without any)."""
-    raw = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    raw = configure(spark).read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     if kinds:
         raw = raw.where(F.col("event_type").isin(*kinds))
-    return raw.select(
-        F.col("event_id").alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").alias("u"),
-        F.col("event_type").alias("kind"),
-        F.col("value").alias("v"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    return raw.selectExpr(
+        "event_id AS id",
+        "cast(ts AS timestamp) AS ts",
+        "user_id AS u",
+        "event_type AS kind",
+        "value AS v",
+        "cast(get_json_object(props, '$.k') AS int) AS k",
     )
 
 
-def _environment():
-    return one_of(("prod", "staging"), id_() % 2)
-
-
-def _region():
-    return one_of(("us-east-1", "us-west-2"), id_() % 2)
-
-
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minutes = (5 + (k() * 37) % 180).cast("int")
-    pattern = ((u() + k()) % 40).cast("string")
-    severity = F.when(k() < 10, "P1").when(k() < 40, "P2").when(k() < 85, "P3").otherwise("P4")
-    name = F.when(k() != 99, F.concat(F.lit("pattern "), pattern))
-    titled = F.coalesce(name, F.lit("untitled"))
-    reach = (k() % 4).cast("int")
-    impacted = F.when(reach > 0, F.transform(F.sequence(F.lit(1), reach), lambda j: svc(u() + j)))
-    return events(spark, sf_dir, "error").select(
-        F.concat(F.lit("INC-"), id_()).alias("incident_id"),
-        titled.alias("title"),
-        F.concat(F.lit("failure of "), titled).alias("description"),
-        severity.alias("severity"),
-        F.lit("resolved").alias("status"),
-        F.col("ts").alias("created_at"),
-        (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("resolved_at"),
-        minutes.alias("mttr_minutes"),
-        svc(u()).alias("root_service"),
-        F.coalesce(impacted, F.array().cast("array<string>")).alias("impacted_services"),
-        reach.alias("blast_radius"),
-        one_of(DOMAINS, u() % 3).alias("domain"),
-        F.when(k() != 99, F.concat(F.lit("FP-"), pattern)).alias("failure_pattern_id"),
-        name.alias("failure_pattern_name"),
-        _environment().alias("environment"),
-        _region().alias("region"),
-        (F.round(v() * 100).cast("bigint") * 50.0).cast("double").alias("revenue_impact_usd"),
-        ((k() < 10) & (minutes > 30)).alias("sla_breached"),
-        one_of(UNITS, u() % 5).alias("business_unit"),
-        (k() * 2).cast("int").alias("affected_user_count"),
-        (k() * 2).cast("int").alias("user_impact_count"),
-        F.array(F.lit("engineer")).alias("affected_roles"),
-        (minutes / 60.0).cast("double").alias("productivity_loss_hours"),
-        F.when(u() % 5 == 1, F.round(v() * 100).cast("bigint").cast("double")).otherwise(0.0).alias("productivity_loss_usd"),
-        F.when(u() % 5 == 0, k()).otherwise(0).cast("int").alias("shipments_delayed"),
-        (k() % 9).cast("int").alias("servicenow_ticket_count"),
-        F.floor((k() % 9) / 3).cast("int").alias("servicenow_duplicate_tickets"),
-        F.concat(F.lit("impact of "), titled).alias("downstream_impact_narrative"),
-        F.concat(F.lit("cause of "), titled).alias("root_cause_explanation"),
-        one_of(MODELS, u() % 5).alias("revenue_model"),
+    rows = events(spark, sf_dir, "error").selectExpr(
+        "*",
+        "cast(5 + (k * 37) % 180 AS int) AS m",
+        "CASE WHEN k <> 99 THEN concat('pattern ', (u + k) % 40) END AS pattern",
+        "CASE WHEN k <> 99 THEN concat('pattern ', (u + k) % 40) ELSE 'untitled' END AS titled",
+    )
+    return rows.selectExpr(
+        "concat('INC-', id) AS incident_id",
+        "titled AS title",
+        "concat('failure of ', titled) AS description",
+        "CASE WHEN k < 10 THEN 'P1' WHEN k < 40 THEN 'P2' WHEN k < 85 THEN 'P3' ELSE 'P4' END AS severity",
+        "'resolved' AS status",
+        "ts AS created_at",
+        "ts + make_dt_interval(0, 0, m) AS resolved_at",
+        "m AS mttr_minutes",
+        "concat('svc-', u) AS root_service",
+        "CASE WHEN k % 4 > 0 THEN transform(sequence(1, k % 4), j -> concat('svc-', u + j)) "
+        "ELSE cast(array() AS array<string>) END AS impacted_services",
+        "k % 4 AS blast_radius",
+        f"{one_of(DOMAINS, 'u % 3')} AS domain",
+        "CASE WHEN k <> 99 THEN concat('FP-', (u + k) % 40) END AS failure_pattern_id",
+        "pattern AS failure_pattern_name",
+        ENVIRONMENT,
+        REGION,
+        f"{CENTS} * 50D AS revenue_impact_usd",
+        "k < 10 AND m > 30 AS sla_breached",
+        f"{one_of(UNITS, 'u % 5')} AS business_unit",
+        "k * 2 AS affected_user_count",
+        "k * 2 AS user_impact_count",
+        "array('engineer') AS affected_roles",
+        "m / 60D AS productivity_loss_hours",
+        f"CASE WHEN u % 5 = 1 THEN cast({CENTS} AS double) ELSE 0D END AS productivity_loss_usd",
+        "CASE WHEN u % 5 = 0 THEN k ELSE 0 END AS shipments_delayed",
+        "k % 9 AS servicenow_ticket_count",
+        "cast((k % 9) div 3 AS int) AS servicenow_duplicate_tickets",
+        "concat('impact of ', titled) AS downstream_impact_narrative",
+        "concat('cause of ', titled) AS root_cause_explanation",
+        f"{one_of(MODELS, 'u % 5')} AS revenue_model",
     )
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir, "click").select(
-        F.concat(F.lit("ALT-"), id_()).alias("alert_id"),
-        F.when(k() < 60, F.concat(F.lit("INC-"), id_() + k() % 7 - 3)).alias("incident_id"),
-        svc(u()).alias("service"),
-        one_of(ALERT_NAMES, k() % 6).alias("alert_name"),
-        F.when(k() % 4 == 0, "critical").when(k() % 4 == 1, "info").otherwise("warning").alias("severity"),
-        F.col("ts").alias("fired_at"),
-        (F.col("ts") + F.make_dt_interval(mins=10 + k())).alias("resolved_at"),
-        F.when(k() == 50, 0.0).otherwise((70 + k() % 25).cast("double")).alias("threshold_value"),
-        (60 + v() % 60).alias("actual_value"),
-        one_of(ALERT_DOMAINS, u() % 3).alias("domain"),
-        _environment().alias("environment"),
+    return events(spark, sf_dir, "click").selectExpr(
+        "concat('ALT-', id) AS alert_id",
+        "CASE WHEN k < 60 THEN concat('INC-', id + k % 7 - 3) END AS incident_id",
+        "concat('svc-', u) AS service",
+        f"{one_of(ALERT_NAMES, 'k % 6')} AS alert_name",
+        "CASE k % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'info' ELSE 'warning' END AS severity",
+        "ts AS fired_at",
+        "ts + make_dt_interval(0, 0, 10 + k) AS resolved_at",
+        "CASE WHEN k = 50 THEN 0D ELSE cast(70 + k % 25 AS double) END AS threshold_value",
+        "60 + v % 60 AS actual_value",
+        f"{one_of(ALERT_DOMAINS, 'u % 3')} AS domain",
+        ENVIRONMENT,
     )
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir, "signup").select(
-        F.concat(F.lit("CHG-"), id_()).alias("change_id"),
-        svc(u()).alias("service"),
-        one_of(CHANGE_TYPES, k() % 13).alias("change_type"),
-        F.concat(F.lit("change on "), svc(u())).alias("description"),
-        F.col("ts").alias("executed_at"),
-        one_of(EXECUTORS, k() % 6).alias("executed_by"),
-        one_of(("low", "medium", "high"), k() % 3).alias("risk_level"),
-        (k() % 4 != 0).alias("rollback_available"),
-        one_of(DOMAINS, u() % 3).alias("domain"),
-        _environment().alias("environment"),
-        _region().alias("region"),
+    return events(spark, sf_dir, "signup").selectExpr(
+        "concat('CHG-', id) AS change_id",
+        "concat('svc-', u) AS service",
+        f"{one_of(CHANGE_TYPES, 'k % 13')} AS change_type",
+        "concat('change on svc-', u) AS description",
+        "ts AS executed_at",
+        f"{one_of(EXECUTORS, 'k % 6')} AS executed_by",
+        f"{one_of(('low', 'medium', 'high'), 'k % 3')} AS risk_level",
+        "k % 4 <> 0 AS rollback_available",
+        f"{one_of(DOMAINS, 'u % 3')} AS domain",
+        ENVIRONMENT,
+        REGION,
     )
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five points per view and purchase event."""
-    none_d, none_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-
-    def point(name: str, unit: str, form: str, value=none_d, count=none_l, total=none_d) -> Column:
-        return F.struct(
-            F.lit(name).alias("metric_name"),
-            F.lit(unit).alias("metric_unit"),
-            value.cast("double").alias("metric_value"),
-            count.cast("bigint").alias("histogram_count"),
-            total.cast("double").alias("histogram_sum"),
-            F.lit(form).alias("metric_type"),
+
+    def point(name: str, unit: str, form: str, value: str = "NULL", count: str = "NULL", total: str = "NULL") -> str:
+        return (
+            f"named_struct('metric_name', '{name}', 'metric_unit', '{unit}', 'metric_value', cast({value} AS double), "
+            f"'histogram_count', cast({count} AS bigint), 'histogram_sum', cast({total} AS double), 'metric_type', '{form}')"
         )
 
-    points = F.array(
-        point("system.cpu.utilization", "%", "gauge", F.least(F.lit(99.5), k() + v() * 0.05)),
-        point("system.memory.utilization", "%", "gauge", (k() * 7) % 100),
-        point("http.server.request.duration", "ms", "histogram", none_d, k() + 1, v() * (k() + 1)),
-        point("http.server.active_requests", "1", "sum", k() * 3),
-        point("db.client.connections.usage", "1", "gauge", k() % 50),
-    )
-    return events(spark, sf_dir, "view", "purchase").select(
-        svc(u()).alias("service_name"),
-        _environment().alias("environment"),
-        _region().alias("region"),
-        F.concat(F.lit("host-"), u() % 10).alias("host_name"),
-        F.lit("1.0.0").alias("service_version"),
-        F.lit("otel").alias("scope_name"),
-        F.inline(points),
-        (F.unix_micros("ts") * 1000).alias("timestamp_unix_nano"),
-        F.col("ts").alias("event_timestamp"),
-        id_().alias("event_id"),
+    points = [
+        point("system.cpu.utilization", "%", "gauge", "least(99.5D, k + v * 0.05D)"),
+        point("system.memory.utilization", "%", "gauge", "(k * 7) % 100"),
+        point("http.server.request.duration", "ms", "histogram", "NULL", "k + 1", "v * (k + 1)"),
+        point("http.server.active_requests", "1", "sum", "k * 3"),
+        point("db.client.connections.usage", "1", "gauge", "k % 50"),
+    ]
+    return events(spark, sf_dir, "view", "purchase").selectExpr(
+        "concat('svc-', u) AS service_name",
+        ENVIRONMENT,
+        REGION,
+        "concat('host-', u % 10) AS host_name",
+        "'1.0.0' AS service_version",
+        "'otel' AS scope_name",
+        f"inline(array({', '.join(points)}))",
+        "unix_micros(ts) * 1000 AS timestamp_unix_nano",
+        "ts AS event_timestamp",
+        "id AS event_id",
     )
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = F.col("kind") == "error"
-    level = F.when(failed & (k() % 10 == 0), "FATAL").when(failed, "ERROR").when((F.col("kind") == "click") & (k() < 20), "WARN").otherwise("INFO")
-    number = F.when(level == "FATAL", 21).when(level == "ERROR", 17).when(level == "WARN", 13).otherwise(9)
-    return events(spark, sf_dir).select(
-        svc(u()).alias("service_name"),
-        _environment().alias("environment"),
-        _region().alias("region"),
-        F.concat(F.lit("host-"), u() % 10).alias("host_name"),
-        svc(u()).alias("scope_name"),
-        number.cast("bigint").alias("severity_number"),
-        level.alias("severity_text"),
-        F.concat(F.lit("event "), F.col("kind")).alias("log_message"),
-        id_().cast("string").alias("trace_id"),
-        F.concat(F.lit("s"), id_()).alias("span_id"),
-        F.when(failed, F.concat(F.lit("FP-"), (u() + k()) % 40)).alias("failure_pattern_id"),
-        (F.unix_micros("ts") * 1000).alias("timestamp_unix_nano"),
-        F.col("ts").alias("event_timestamp"),
+    rows = events(spark, sf_dir).selectExpr(
+        "*",
+        "CASE WHEN kind = 'error' AND k % 10 = 0 THEN 'FATAL' WHEN kind = 'error' THEN 'ERROR' "
+        "WHEN kind = 'click' AND k < 20 THEN 'WARN' ELSE 'INFO' END AS level",
+    )
+    return rows.selectExpr(
+        "concat('svc-', u) AS service_name",
+        ENVIRONMENT,
+        REGION,
+        "concat('host-', u % 10) AS host_name",
+        "concat('svc-', u) AS scope_name",
+        "CASE level WHEN 'FATAL' THEN 21L WHEN 'ERROR' THEN 17L WHEN 'WARN' THEN 13L ELSE 9L END AS severity_number",
+        "level AS severity_text",
+        "concat('event ', kind) AS log_message",
+        "cast(id AS string) AS trace_id",
+        "concat('s', id) AS span_id",
+        "CASE WHEN kind = 'error' THEN concat('FP-', (u + k) % 40) END AS failure_pattern_id",
+        "unix_micros(ts) * 1000 AS timestamp_unix_nano",
+        "ts AS event_timestamp",
+    )
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root span per purchase and k % 3 child spans."""
+    spans = events(spark, sf_dir, "purchase").selectExpr(
+        "*", "explode(sequence(0, k % 3)) AS j", "unix_micros(ts) * 1000 AS began", f"{CENTS} * 10000 AS took"
+    )
+    return spans.selectExpr(
+        "concat('t', id) AS trace_id",
+        "concat('s', id, '-', j) AS span_id",
+        "CASE WHEN j = 0 THEN '' ELSE concat('s', id, '-0') END AS parent_span_id",
+        "concat('CALL svc-', u + j) AS operation_name",
+        "CASE WHEN j = 0 THEN 2L ELSE 3L END AS span_kind",
+        "began AS start_time_unix_nano",
+        "began + took AS end_time_unix_nano",
+        "took / 1000000.0 AS duration_ms",
+        "CASE WHEN k < 5 THEN 2L ELSE 1L END AS status_code",
+        "CASE WHEN j > 0 THEN NULL WHEN k < 5 THEN 'error' ELSE 'ok' END AS status_message",
+        "concat('svc-', u + j) AS service_name",
+        "CASE WHEN j > 0 THEN NULL WHEN k < 5 THEN '503' ELSE '200' END AS http_status_code",
+        "CASE WHEN j > 0 THEN concat('svc-', u + j) END AS peer_service",
+        "concat('svc-', u + j) AS resource_service_name",
+        ENVIRONMENT,
+        REGION,
+        "ts AS event_timestamp",
     )
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir, "purchase").select(
-        F.concat(F.lit("flow-"), id_()).alias("flow_id"),
-        F.col("ts").alias("event_timestamp"),
-        F.concat(F.lit("10.0.0."), u() % 250).alias("src_ip"),
-        (1024 + k()).cast("int").alias("src_port"),
-        F.concat(F.lit("10.0.1."), u() % 250).alias("dst_ip"),
-        F.lit(8080).cast("int").alias("dst_port"),
-        one_of(("TCP", "HTTP"), k() % 2).alias("protocol"),
-        (k() * 100).cast("bigint").alias("bytes_sent"),
-        (k() * 10).cast("bigint").alias("bytes_received"),
-        k().cast("bigint").alias("packets_sent"),
-        k().cast("bigint").alias("packets_received"),
-        F.round(v() * 100).cast("bigint").alias("latency_us"),
-        (k() % 6).cast("int").alias("retransmits"),
-        svc(u()).alias("src_service"),
-        F.when(k() == 77, "").otherwise(svc(u() + 1 + k() % 3)).alias("dst_service"),
-        F.lit("zone-a").alias("src_zone"),
-        F.lit("zone-b").alias("dst_zone"),
-        F.lit("egress").alias("direction"),
-        (k() % 10 == 0).alias("connection_reset"),
-        (k() % 20 == 0).alias("timeout"),
-        F.lit("TLSv1.3").alias("tls_version"),
-        F.lit("").alias("dns_query"),
-        F.lit(0).cast("int").alias("dns_response_code"),
-        F.concat(F.lit("lb-"), u() % 3).alias("load_balancer_id"),
-        _environment().alias("environment"),
-        _region().alias("region"),
+    return events(spark, sf_dir, "purchase").selectExpr(
+        "concat('flow-', id) AS flow_id",
+        "ts AS event_timestamp",
+        "concat('10.0.0.', u % 250) AS src_ip",
+        "1024 + k AS src_port",
+        "concat('10.0.1.', u % 250) AS dst_ip",
+        "8080 AS dst_port",
+        f"{one_of(('TCP', 'HTTP'), 'k % 2')} AS protocol",
+        "k * 100L AS bytes_sent",
+        "k * 10L AS bytes_received",
+        "cast(k AS bigint) AS packets_sent",
+        "cast(k AS bigint) AS packets_received",
+        f"{CENTS} AS latency_us",
+        "k % 6 AS retransmits",
+        "concat('svc-', u) AS src_service",
+        "CASE WHEN k = 77 THEN '' ELSE concat('svc-', u + 1 + k % 3) END AS dst_service",
+        "'zone-a' AS src_zone",
+        "'zone-b' AS dst_zone",
+        "'egress' AS direction",
+        "k % 10 = 0 AS connection_reset",
+        "k % 20 = 0 AS timeout",
+        "'TLSv1.3' AS tls_version",
+        "'' AS dns_query",
+        "0 AS dns_response_code",
+        "concat('lb-', u % 3) AS load_balancer_id",
+        ENVIRONMENT,
+        REGION,
     )
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = configure(spark).read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    word = one_of(QUESTION_WORDS, F.col("conv_id") % 6)
-    return turns.select("conv_id", "turn", F.concat("text", F.lit(" "), word).alias("question"))
+    return turns.selectExpr("conv_id", "turn", f"concat(text, ' ', {one_of(QUESTION_WORDS, 'conv_id % 6')}) AS question")
 
 
 def service_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("u").distinct().select(
-        svc(u()).alias("service_name"),
-        one_of(DOMAINS, u() % 3).alias("domain"),
-        one_of(("critical", "high", "medium"), u() % 3).alias("tier"),
-        one_of(UNITS, u() % 5).alias("business_unit"),
-        F.array(svc(u() + 1), svc(u() + 2)).alias("depends_on"),
+    return events(spark, sf_dir).select("u").distinct().selectExpr(
+        "concat('svc-', u) AS service_name",
+        f"{one_of(DOMAINS, 'u % 3')} AS domain",
+        f"{one_of(('critical', 'high', 'medium'), 'u % 3')} AS tier",
+        f"{one_of(UNITS, 'u % 5')} AS business_unit",
+        "array(concat('svc-', u + 1), concat('svc-', u + 2)) AS depends_on",
     )
 
 
 def impact_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per business unit; the rates are set by the mean event value of its users."""
-    per_unit = events(spark, sf_dir, "error").groupBy((u() % 5).alias("n")).agg(
+    """One row per business unit; the measured rates are the mean ``k`` of its error events."""
+    per_unit = events(spark, sf_dir, "error").groupBy((F.col("u") % 5).alias("n")).agg(
         F.round(F.avg("k")).cast("double").alias("rate")
     )
-    rows = per_unit.select(
-        one_of(UNITS, F.col("n")).alias("business_unit"),
-        one_of(MODELS, F.col("n")).alias("impact_type"),
-        F.col("rate").alias("shipments_per_hour"),
-        F.lit(12500.0).alias("avg_order_value_usd"),
-        F.col("rate").alias("affected_people"),
-        F.lit(None).cast("double").alias("loaded_rate_per_hour_usd"),
-        F.lit(None).cast("double").alias("trial_delay_cost_per_day_usd"),
-        F.lit(None).cast("double").alias("revenue_per_hour_usd"),
-        F.col("rate").alias("affected_users"),
-        F.lit(None).cast("double").alias("blended_rate_per_hour_usd"),
-        F.lit(None).cast("double").alias("productivity_loss_hours"),
-        F.lit(None).cast("double").alias("trial_delay_days"),
+    given = {
+        "shipments_per_hour": "rate",
+        "avg_order_value_usd": "12500D",
+        "affected_people": "rate",
+        "affected_users": "rate",
+    }
+    names = [c.split()[0] for c in MODEL_COLUMNS.split(", ")][2:]
+    return per_unit.selectExpr(
+        f"{one_of(UNITS, 'n')} AS business_unit",
+        f"{one_of(MODELS, 'n')} AS impact_type",
+        *[f"cast({given.get(c, 'NULL')} AS double) AS {c}" for c in names],
     )
-    assert rows.columns == [c.split()[0] for c in impact.MODEL_COLUMNS.split(", ")]
-    return rows
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -300,33 +299,6 @@ def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A root span per purchase and k % 3 child spans."""
-    start = F.unix_micros("ts") * 1000
-    spans = events(spark, sf_dir, "purchase").withColumn("j", F.explode(F.sequence(F.lit(0), k() % 3)))
-    j = F.col("j")
-    service = svc(u() + j)
-    return spans.select(
-        F.concat(F.lit("t"), id_()).alias("trace_id"),
-        F.concat(F.lit("s"), id_(), F.lit("-"), j).alias("span_id"),
-        F.when(j == 0, "").otherwise(F.concat(F.lit("s"), id_(), F.lit("-0"))).alias("parent_span_id"),
-        F.concat(F.lit("CALL "), service).alias("operation_name"),
-        F.when(j == 0, 2).otherwise(3).cast("bigint").alias("span_kind"),
-        start.alias("start_time_unix_nano"),
-        (start + F.round(v() * 100).cast("bigint") * 10000).alias("end_time_unix_nano"),
-        (F.round(v() * 100).cast("bigint") * 10000 / F.lit(1000000.0).cast("decimal(8,1)")).alias("duration_ms"),
-        F.when(k() < 5, 2).otherwise(1).cast("bigint").alias("status_code"),
-        F.when(j == 0, F.when(k() < 5, "error").otherwise("ok")).alias("status_message"),
-        service.alias("service_name"),
-        F.when(j == 0, F.when(k() < 5, "503").otherwise("200")).alias("http_status_code"),
-        F.when(j > 0, service).alias("peer_service"),
-        service.alias("resource_service_name"),
-        _environment().alias("environment"),
-        _region().alias("region"),
-        F.col("ts").alias("event_timestamp"),
-    )
-
-
 # Landing forms ---------------------------------------------------------------------------------
 
 

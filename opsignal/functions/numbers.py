@@ -10,12 +10,19 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def half_up(x: Column | str, digits: int) -> Column:
+def half_up_sql(x: str, digits: int) -> str:
     """Half-up rounding on the decimal value, so summation order cannot flip a tie.
 
     Values beyond the decimal's range have no digits left to round and pass through.
     """
-    x = col(x).cast("double")
+    return f"coalesce(cast(round(try_cast({x} AS decimal(28,10)), {digits}) AS double), cast({x} AS double))"
+
+
+def half_up(x: Column | str, digits: int) -> Column:
+    """``half_up_sql`` as a column."""
+    if isinstance(x, str):
+        return F.expr(half_up_sql(x, digits))
+    x = x.cast("double")
     return F.coalesce(F.round(x.try_cast("decimal(28,10)"), digits).cast("double"), x)
 
 
@@ -30,7 +37,7 @@ def count_if(condition: Column) -> Column:
 
 
 def or_zero(x: Column | str) -> Column:
-    return F.coalesce(col(x), F.lit(0))
+    return F.expr(f"coalesce({x}, 0)") if isinstance(x, str) else F.coalesce(x, F.lit(0))
 
 
 def _fixed(x: Column, digits: int) -> Column:

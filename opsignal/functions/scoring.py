@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import col, half_up, or_zero
+from .numbers import col, half_up
 
 # Result-defining labels, weights and limits.
 SEVERITY_LEVELS = {"P1": "critical", "P2": "high", "P3": "medium"}
@@ -32,126 +32,111 @@ DOMAIN_SYNONYMS = {
 }
 
 
-def pick(key: Column | str, values: dict, default) -> Column:
-    """``values[key]``, or the default for any other key and for NULL."""
-    branches = iter(values.items())
-    first_key, first_value = next(branches)
-    out = F.when(col(key) == first_key, F.lit(first_value))
-    for k, v in branches:
-        out = out.when(col(key) == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+def pick(key: str, values: dict, default) -> str:
+    """SQL for ``values[key]``, or the default for any other key and for NULL."""
 
+    def literal(x) -> str:
+        return f"'{x}'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
 
-def severity_level(severity: Column | str = "severity") -> Column:
-    return pick(severity, SEVERITY_LEVELS, "low")
+    branches = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in values.items())
+    return f"CASE {key} {branches} ELSE {literal(default)} END"
 
 
-def impact_score(severity="severity", blast="blast_radius", revenue="revenue_impact_usd") -> Column:
-    spread = 1 + F.log2(F.greatest(col(blast), F.lit(1)))
-    money = 1 + F.least(col(revenue) / 100000, F.lit(5))
-    return half_up(pick(severity, SEVERITY_WEIGHTS, 10) * spread * money, 2)
+def tier(value: str, limits: tuple, comparison: str, default: str) -> str:
+    """SQL for the label of the first limit the value meets."""
+    branches = " ".join(f"WHEN {value} {comparison} {limit} THEN '{label}'" for limit, label in limits)
+    return f"CASE {branches} ELSE '{default}' END"
 
 
-def breach_pct(actual="actual_value", threshold="threshold_value") -> Column:
-    a, t = col(actual), col(threshold)
-    return half_up(F.when(t > 0, (a - t) / t * 100).otherwise(0.0), 2)
+def severity_level() -> Column:
+    return F.expr(pick("severity", SEVERITY_LEVELS, "low"))
 
 
-def change_risk(level="risk_level", rollback="rollback_available", kind="change_type") -> Column:
-    kinds = F.lit(1.0)
-    for weight, names in CHANGE_CLASS_WEIGHTS.items():
-        kinds = F.when(col(kind).isin(*names), F.lit(weight)).otherwise(kinds)
-    safety = F.when(col(rollback), F.lit(1.0)).otherwise(F.lit(1.5))
-    return pick(level, RISK_LEVEL_WEIGHTS, 1.0) * safety * kinds
+def impact_score() -> Column:
+    spread = "1 + log2(greatest(blast_radius, 1))"
+    money = "1 + least(revenue_impact_usd / 100000, 5)"
+    return half_up(f"(({pick('severity', SEVERITY_WEIGHTS, 10)}) * ({spread}) * ({money}))", 2)
 
 
-def revenue_level(revenue="revenue_impact_usd") -> Column:
-    out = F
-    for limit, label in REVENUE_TIERS:
-        out = out.when(col(revenue) > limit, F.lit(label))
-    return out.otherwise(F.lit("low"))
+def breach_pct() -> Column:
+    over = "(actual_value - threshold_value) / threshold_value * 100"
+    return half_up(f"(CASE WHEN threshold_value > 0 THEN {over} ELSE 0D END)", 2)
+
+
+def change_risk() -> Column:
+    kinds = {name: weight for weight, names in CHANGE_CLASS_WEIGHTS.items() for name in names}
+    level, kind = pick("risk_level", RISK_LEVEL_WEIGHTS, 1.0), pick("change_type", kinds, 1.0)
+    return F.expr(f"({level}) * (CASE WHEN rollback_available THEN 1D ELSE 1.5D END) * ({kind})")
+
+
+def revenue_level() -> Column:
+    return F.expr(tier("revenue_impact_usd", REVENUE_TIERS, ">", "low"))
 
 
-def weighted_downtime(severity="severity", minutes="mttr_minutes", blast="blast_radius") -> Column:
-    return col(minutes) * col(blast) * pick(severity, DOWNTIME_WEIGHTS, 0.25)
+def weighted_downtime() -> Column:
+    return F.expr(f"mttr_minutes * blast_radius * ({pick('severity', DOWNTIME_WEIGHTS, 0.25)})")
 
 
-def health_score(max_cpu, max_memory, incidents, p1, errors) -> Column:
-    """100 minus load, incident and error-log penalties; it may fall below zero."""
-    load = F.least(or_zero(max_cpu), F.lit(100)) * 0.15 + F.least(or_zero(max_memory), F.lit(100)) * 0.10
-    events = or_zero(incidents) * 15 + or_zero(p1) * 25
-    logs = F.least(or_zero(errors) * 0.1, F.lit(20))
-    return half_up(100 - load - events - logs, 2)
+def health_score() -> Column:
+    """100 minus load, incident and error-log penalties; it may fall below zero.
 
+    Reads max_cpu_pct, max_memory_pct, incident_count, p1_count and error_count, any of them NULL.
+    """
+    load = "least(coalesce(max_cpu_pct, 0), 100) * 0.15D - least(coalesce(max_memory_pct, 0), 100) * 0.10D"
+    events = "coalesce(incident_count, 0) * 15 - coalesce(p1_count, 0) * 25"
+    logs = "least(coalesce(error_count, 0) * 0.1D, 20)"
+    return half_up(f"(100 - {load} - {events} - {logs})", 2)
 
-def _moved_up(recent: Column, previous: Column) -> Column:
-    return recent > previous * 1.2
 
+MOVED_UP, MOVED_DOWN = "recent_avg > previous_avg * 1.2D", "recent_avg < previous_avg * 0.8D"
 
-def trend_direction(recent="recent_avg", previous="previous_avg") -> Column:
-    r, p = col(recent), col(previous)
-    return F.when(_moved_up(r, p), "worsening").when(r < p * 0.8, "improving").otherwise("stable")
+
+def trend_direction() -> Column:
+    return F.expr(f"CASE WHEN {MOVED_UP} THEN 'worsening' WHEN {MOVED_DOWN} THEN 'improving' ELSE 'stable' END")
 
 
 def priority_score() -> Column:
     """Over the pattern columns plus ``trend_direction``."""
     return half_up(
-        col("occurrence_count") * 2.0
-        + col("total_revenue_impact") / 10000.0
-        + col("total_affected_users") / 10.0
-        + col("p1_count") * 20.0
-        + col("sla_breach_count") * 15.0
-        + col("avg_blast_radius") * 5.0
-        + F.when(col("trend_direction") == "worsening", 50).otherwise(0),
+        "(occurrence_count * 2D + total_revenue_impact / 10000D + total_affected_users / 10D + p1_count * 20D"
+        " + sla_breach_count * 15D + avg_blast_radius * 5D"
+        " + CASE WHEN trend_direction = 'worsening' THEN 50 ELSE 0 END)",
         2,
     )
 
 
+# The shorter sum that orders services; the full risk score adds to it.
+RANK_BASIS = "incident_count_as_root * 10D + p1_count * 30D + total_revenue_impact / 10000D + total_affected_users / 5D"
+
+
 def rank_basis() -> Column:
-    """The shorter sum that orders services; the full risk score adds to it."""
-    return (
-        col("incident_count_as_root") * 10.0
-        + col("p1_count") * 30.0
-        + col("total_revenue_impact") / 10000.0
-        + col("total_affected_users") / 5.0
-    )
+    return half_up(f"({RANK_BASIS})", 6)
 
 
 def risk_score() -> Column:
     return half_up(
-        rank_basis()
-        + col("sla_breaches") * 20.0
-        + col("avg_blast_radius") * 5.0
-        + col("times_impacted_by_others") * 2.0
-        + (100 - col("avg_health_score")) * 0.5
-        + col("risky_changes") * 8.0,
+        f"({RANK_BASIS} + sla_breaches * 20D + avg_blast_radius * 5D + times_impacted_by_others * 2D"
+        " + (100 - avg_health_score) * 0.5D + risky_changes * 8D)",
         2,
     )
 
 
 def domain_risk_score() -> Column:
     return half_up(
-        col("incident_count") * 10
-        + col("p1_count") * 25
-        + col("total_revenue_impact") / 5000
-        + col("total_affected_users") / 2
-        + col("sla_breaches") * 15
-        + col("changes_causing_incidents") * 8,
+        "(incident_count * 10 + p1_count * 25 + total_revenue_impact / 5000D + total_affected_users / 2D"
+        " + sla_breaches * 15 + changes_causing_incidents * 8)",
         2,
     )
 
 
-def correlation_window(minutes="minutes_between") -> Column:
-    out = F
-    for limit, label in LAG_WINDOWS:
-        out = out.when(col(minutes) <= limit, F.lit(label))
-    return out.otherwise(F.lit("long_delay"))
+def correlation_window() -> Column:
+    return F.expr(tier("minutes_between", LAG_WINDOWS, "<=", "long_delay"))
 
 
 def correlation_strength() -> Column:
     """Lag weight, half as much again on the root service itself, scaled by change risk."""
-    same = F.when(col("change_service") == col("incident_root_service"), F.lit(1.5)).otherwise(F.lit(1.0))
-    return half_up(pick("correlation_window", LAG_WEIGHTS, 0.2) * same * col("risk_score") / 3.0, 3)
+    same = "CASE WHEN change_service = incident_root_service THEN 1.5D ELSE 1D END"
+    return half_up(f"(({pick('correlation_window', LAG_WEIGHTS, 0.2)}) * ({same}) * risk_score / 3D)", 3)
 
 
 def normal_domain(domain: Column | str) -> Column:

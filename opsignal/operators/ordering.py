@@ -31,7 +31,7 @@ def row_numbers(
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     staged = cut_lineage(df.withColumn("_key", key))
     if staged.count() <= one_task_rows:
-        return staged.withColumn(name, F.row_number().over(Window.orderBy("_key"))).drop("_key")
+        return staged.withColumn(name, F.row_number().over(Window.orderBy("_key")).cast("bigint")).drop("_key")
 
     sample = staged.select("_key", F.xxhash64(unique).alias("_h"), unique).orderBy("_h", unique).limit(RANGES)
     bounds = sample.agg(F.sort_array(F.collect_list("_key"))).scalar()
@@ -43,4 +43,4 @@ def row_numbers(
     # at most RANGES + 1 rows
     placed = ranged.join(F.broadcast(starts), "_range")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return placed.withColumn(name, (inside + F.col("_start")).cast("int")).drop("_key", "_range", "_start")
+    return placed.withColumn(name, (inside + F.col("_start")).cast("bigint")).drop("_key", "_range", "_start")

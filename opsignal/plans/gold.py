@@ -199,7 +199,7 @@ def service_risk(incidents: DataFrame, health: DataFrame, changes: DataFrame) ->
 
 def with_risk_rank(services: DataFrame) -> DataFrame:
     """Rank by the shorter score, highest first; equal scores go by name."""
-    return row_numbers(services, "risk_rank", [-half_up(scoring.rank_basis(), 6), F.col("service_name")], "service_name")
+    return row_numbers(services, "risk_rank", [-scoring.rank_basis(), F.col("service_name")], "service_name")
 
 
 def service_risk_ranking(incidents: DataFrame, health: DataFrame, changes: DataFrame) -> DataFrame:

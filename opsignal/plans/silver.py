@@ -177,7 +177,6 @@ def silver_service_health(metrics: DataFrame, incidents: DataFrame, logs: DataFr
     out = daily_vitals(metrics)
     out = out.join(daily_incidents(incidents).withColumnRenamed("incident_date", "health_date"), key, "left")
     out = out.join(daily_error_logs(logs).withColumnRenamed("log_date", "health_date"), key, "left")
-    health = scoring.health_score(*map(F.col, ("max_cpu_pct", "max_memory_pct", "incident_count", "p1_count", "error_count")))
     return out.select(
         *key,
         "avg_cpu_pct",
@@ -194,7 +193,7 @@ def silver_service_health(metrics: DataFrame, incidents: DataFrame, logs: DataFr
         or_zero("error_count").alias("error_log_count"),
         or_zero("total_logs").alias("total_log_count"),
         F.coalesce(percent("error_count", "total_logs", 2), F.lit(0.0)).alias("error_rate_pct"),
-        health.alias("health_score"),
+        scoring.health_score().alias("health_score"),
     )
 
 

@@ -21,6 +21,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .appName("opsignal")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # recording the call site of every column expression makes plan building several times slower
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
