@@ -286,83 +286,74 @@ def analysis_context(patterns: DataFrame, services: DataFrame, pattern_id: str |
     return plain(chosen).select(F.to_json(doc).alias("context"))
 
 
-def _money(column: str):
-    return F.concat(F.lit("$"), F.format_number(or_zero(column), 0))
+def _report_lines() -> str:
+    """SQL for the array of (section, place, line) over ``a`` (patterns), ``b`` (services), ``how_many``."""
 
+    def money(x: str) -> str:
+        return f"'$', format_number(coalesce({x}.total_revenue_impact, 0), 0)"
 
-def _score(column: str):
-    """A score of two decimals printed with at least one."""
-    return F.regexp_replace(F.format_string("%.2f", F.col(column)), "0$", "")
+    def score(x: str) -> str:
+        """Two decimals, the last one only if it is not zero."""
+        return f"regexp_replace(format_string('%.2f', {x}), '0$', '')"
 
+    def name(x: str) -> str:
+        return f"coalesce({x}.failure_pattern_name, 'Unknown Pattern')"
 
-def rule_based_report(patterns: DataFrame, services: DataFrame, pattern_id: str | None = None) -> DataFrame:
-    """Ranked text lines (section, place, line): summary, top issue, fixes, riskiest services."""
-    chosen = _top_patterns(patterns, pattern_id, 5)
-    how_many = chosen.agg(F.count("*")).scalar()
-    order = F.struct((-F.col("priority_score")).alias("o"), *PATTERN_KEY)
-    five = chosen.orderBy(*_pattern_order("priority_score")).limit(5)
-    tops = five.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(*five.columns).alias("p")))).alias("a"))
-    listed = tops.select(F.posexplode("a").alias("_place", "e")).select((F.col("_place") + 1).alias("place"), "e.p.*")
-    name = F.coalesce("failure_pattern_name", F.lit("Unknown Pattern"))
-    root = F.coalesce("root_service", F.lit("unknown"))
-
-    head = listed.where("place = 1")
-    summary = F.concat(
-        F.lit("Analysis of "), how_many,
-        F.lit(" recurring failure patterns reveals systemic reliability issues centered on **"), root,
-        F.lit("** in the **"), F.coalesce("domain", F.lit("unknown")),
-        F.lit("** domain. The top pattern has occurred **"), F.col("occurrence_count"),
-        F.lit(" times** with a total revenue impact of **"), _money("total_revenue_impact"), F.lit("**."),
+    def root(x: str) -> str:
+        return f"coalesce({x}.root_service, 'unknown')"
+
+    def line(section: int, place: str, *parts: str) -> str:
+        return f"named_struct('section', {section}, 'place', cast({place} AS int), 'line', concat({', '.join(parts)}))"
+
+    first = "get(a, 0).p"
+    summary = line(
+        1, "1", "'Analysis of '", "how_many", "' recurring failure patterns reveals systemic reliability issues centered on **'",
+        root(first), "'** in the **'", f"coalesce({first}.domain, 'unknown')", "'** domain. The top pattern has occurred **'",
+        f"{first}.occurrence_count", "' times** with a total revenue impact of **'", money(first), "'**.'",
     )
     facts = [
-        F.concat(F.lit("**"), name, F.lit("**")),
-        F.concat(F.lit("- Root Service: `"), root, F.lit("`")),
-        F.concat(F.lit("- Occurrences: "), F.col("occurrence_count")),
-        F.concat(F.lit("- Trend: "), F.col("trend_direction")),
-        F.concat(F.lit("- Average MTTR: "), F.col("avg_mttr_minutes").cast("string"), F.lit(" minutes")),
-        F.concat(F.lit("- P1 incidents: "), F.col("p1_count")),
-        F.concat(F.lit("- SLA breaches: "), F.col("sla_breach_count")),
-        F.concat(F.lit("- Total user impact: "), F.col("total_affected_users"), F.lit(" users affected")),
-        F.concat(
-            F.lit("- Recurrence interval: every "),
-            F.coalesce(F.col("avg_days_between_occurrences").cast("string"), F.lit("N/A")),
-            F.lit(" days"),
-        ),
+        ("'**'", name(first), "'**'"),
+        ("'- Root Service: `'", root(first), "'`'"),
+        ("'- Occurrences: '", f"{first}.occurrence_count"),
+        ("'- Trend: '", f"{first}.trend_direction"),
+        ("'- Average MTTR: '", f"cast({first}.avg_mttr_minutes AS string)", "' minutes'"),
+        ("'- P1 incidents: '", f"{first}.p1_count"),
+        ("'- SLA breaches: '", f"{first}.sla_breach_count"),
+        ("'- Total user impact: '", f"{first}.total_affected_users", "' users affected'"),
+        ("'- Recurrence interval: every '", f"coalesce(cast({first}.avg_days_between_occurrences AS string), 'N/A')", "' days'"),
     ]
-    fix = F.concat(
-        F.col("place"), F.lit(". **Fix "), name, F.lit("** (Priority Score: "), _score("priority_score"),
-        F.lit(") - Affecting `"), root, F.lit("`, "), F.col("occurrence_count"), F.lit(" occurrences, "),
-        _money("total_revenue_impact"), F.lit(" impact"),
+    head = [summary, *[line(2, str(i), *parts) for i, parts in enumerate(facts, 1)]]
+    fix = line(
+        3, "i + 1", "i + 1", "'. **Fix '", name("e.p"), "'** (Priority Score: '", score("e.p.priority_score"), "') - Affecting `'",
+        root("e.p"), "'`, '", "e.p.occurrence_count", "' occurrences, '", money("e.p"), "' impact'",
     )
-    risky = _top_services(services, 5).select(
-        F.concat(
-            F.lit("- **"), F.col("service_name"), F.lit("**: Risk Score "), _score("risk_score"), F.lit(", "),
-            F.col("incident_count_as_root"), F.lit(" incidents as root cause, "),
-            _money("total_revenue_impact"), F.lit(" revenue impact"),
-        ).alias("line"),
-        (-F.col("risk_score")).alias("_o"),
-        "service_name",
-    )
-    risky = risky.agg(F.sort_array(F.collect_list(F.struct("_o", "service_name", "line"))).alias("a")).select(
-        F.posexplode("a").alias("p", "e")
+    risk = line(
+        4, "i + 1", "'- **'", "e.p.service_name", "'**: Risk Score '", score("e.p.risk_score"), "', '",
+        "e.p.incident_count_as_root", "' incidents as root cause, '", money("e.p"), "' revenue impact'",
     )
+    nothing = line(1, "1", "'No failure patterns detected in the analysis period.'")
+    found = f"concat(array({', '.join(head)}), transform(a, (e, i) -> {fix}), transform(b, (e, i) -> {risk}))"
+    return f"CASE WHEN size(a) = 0 THEN array({nothing}) ELSE {found} END"
 
-    def rows(df: DataFrame, section: int, place, line) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), place.cast("int").alias("place"), line.alias("line"))
-
-    facts_rows = head.select(F.posexplode(F.array(*facts)).alias("p", "line"))
-    none = tops.where(F.size("a") == 0)
-    parts = [
-        rows(none, 1, F.lit(1), F.lit("No failure patterns detected in the analysis period.")),
-        rows(head, 1, F.lit(1), summary),
-        rows(facts_rows, 2, F.col("p") + 1, F.col("line")),
-        rows(listed, 3, F.col("place"), fix),
-        rows(risky, 4, F.col("p") + 1, F.col("e.line")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy("section", "place")
+
+def rule_based_report(patterns: DataFrame, services: DataFrame, pattern_id: str | None = None) -> DataFrame:
+    """Ranked text lines (section, place, line): summary, top issue, fixes, riskiest services.
+
+    Five patterns and five services at most are gathered into one row; the lines come out of it.
+    """
+
+    def gathered(df: DataFrame, score: str, key: list[str], extra: list[str]) -> DataFrame:
+        order = F.struct((-F.col(score)).alias("o"), *key)
+        return df.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(*key, score, *extra).alias("p")))).alias("a"))
+
+    chosen = _top_patterns(patterns, pattern_id, 5)
+    five = chosen.orderBy(*_pattern_order("priority_score")).limit(5) if pattern_id else chosen
+    shown = [c for c in CONTEXT_PATTERN if c not in PATTERN_KEY and c != "priority_score"]
+    tops = gathered(five, "priority_score", PATTERN_KEY, shown)
+    risky = gathered(_top_services(services, 5), "risk_score", ["service_name"], ["incident_count_as_root", "total_revenue_impact"])
+    how_many = chosen.agg(F.count("*")).scalar() if pattern_id else F.size("a")
+    one = tops.select("a", risky.scalar().alias("b"), how_many.alias("how_many"))
+    return one.select(F.inline(F.expr(_report_lines()))).orderBy("section", "place")
 
 
 # Services --------------------------------------------------------------------------------------
