@@ -128,8 +128,9 @@ def i2_ingest_network_flows(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir, table):
-    docs, schema = fx.LANDING[table]
-    return documents.DOCUMENT_TABLES[table][1](fx.parsed(docs(spark, sf_dir), schema))
+    """Documents written to files, then read by the file source."""
+    landing = fx.land(fx.LANDING[table](spark, sf_dir), new_folder(spark, "landing"))
+    return documents.ingest(spark, table, landing)
 
 
 @query
@@ -159,7 +160,8 @@ def i7_ingest_changes(spark, sf_dir):
 
 @query
 def i8_attr_lookup(spark, sf_dir):
-    docs = fx.parsed(fx.log_documents(spark, sf_dir), RAW_LOGS)
+    landing = fx.land(fx.log_documents(spark, sf_dir), new_folder(spark, "landing"))
+    docs = documents.read_documents(spark, landing, RAW_LOGS)
     resource = F.col("resourceLogs")[0]
     record = resource["scopeLogs"][0]["logRecords"][0]
     return docs.select(
@@ -844,7 +846,7 @@ def b6_profile_enrichment(spark, sf_dir):
 def r1_incremental_event_ingest(spark, sf_dir):
     """The incident documents, landed as files and picked up by the streaming reader."""
     landing, target, checkpoint = (new_folder(spark, n) for n in ("landing", "bronze", "offsets"))
-    fx.incident_documents(spark, sf_dir).write.text(landing)
+    fx.land(fx.incident_documents(spark, sf_dir), landing)
     incremental_ingest(spark, "bronze_incidents", landing, target, checkpoint).awaitTermination()
     return spark.read.parquet(target).drop("ingested_at")
 

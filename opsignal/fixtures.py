@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.impact import MODEL_COLUMNS
-from .schemas import RAW_ALERTS, RAW_CHANGES, RAW_INCIDENTS, RAW_LOGS, RAW_TRACES
+from .schemas import RAW_ALERTS, RAW_CHANGES, RAW_INCIDENTS
 from .session import configure
 
 # Fixed values of the mapping.
@@ -397,17 +397,23 @@ def trace_documents(spark, sf_dir) -> DataFrame:
     return rows.select(F.to_json(doc).alias("value"))
 
 
-def parsed(documents: DataFrame, schema: str) -> DataFrame:
-    """JSON documents in column ``value`` as the columns of a landing schema."""
-    return documents.select(F.from_json("value", schema).alias("d")).select("d.*")
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core: the events are a single small file, landing files are many."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def land(documents: DataFrame, folder: str) -> str:
+    """Write documents to ``folder``, one per line."""
+    spread(documents).write.text(folder)
+    return folder
 
 
 LANDING = {
-    "bronze_incidents": (incident_documents, RAW_INCIDENTS),
-    "bronze_alerts": (alert_documents, RAW_ALERTS),
-    "bronze_topology_changes": (change_documents, RAW_CHANGES),
-    "bronze_logs": (log_documents, RAW_LOGS),
-    "bronze_traces": (trace_documents, RAW_TRACES),
+    "bronze_incidents": incident_documents,
+    "bronze_alerts": alert_documents,
+    "bronze_topology_changes": change_documents,
+    "bronze_logs": log_documents,
+    "bronze_traces": trace_documents,
 }
 
 
@@ -463,9 +469,8 @@ def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("service.name", "deployment.environment", "cloud.region", "host.name", "service.version")
     owner = ("service_name", "environment", "region", "host_name", "service_version")
     values = ("metric_name", "metric_unit", "metric_value", "histogram_count", "histogram_sum", "metric_type", "timestamp_unix_nano")
-    docs = metrics(spark, sf_dir).groupBy("event_id", *owner, "scope_name").agg(
-        F.sort_array(F.collect_list(F.struct(*values))).alias("points")
-    )
+    points = F.sort_array(F.collect_list(F.struct(*values))).alias("points")
+    docs = spread(metrics(spark, sf_dir).groupBy("event_id", *owner, "scope_name").agg(points))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -485,7 +490,7 @@ def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kinds = "".join(k for _, k in FLOW_FIELDS)
     names = [n for n, _ in FLOW_FIELDS]
-    rows_ = flows(spark, sf_dir).withColumn("nanos", F.unix_micros("event_timestamp") * 1000).select(*names)
+    rows_ = spread(flows(spark, sf_dir)).withColumn("nanos", F.unix_micros("event_timestamp") * 1000).select(*names)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

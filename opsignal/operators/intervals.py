@@ -15,8 +15,9 @@ def per_service(incidents: DataFrame, *keep: str) -> DataFrame:
     return incidents.select(*keep, F.explode(touched_services()).alias("service"))
 
 
-def _slot(ts: Column | str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / F.lit(seconds))
+def _slot(ts: str, seconds: int) -> Column:
+    at = F.unix_seconds(ts)
+    return at - F.pmod(at, F.lit(seconds))
 
 
 def change_incident_matches(
@@ -30,7 +31,7 @@ def change_incident_matches(
     pair meets once, and adaptive execution can split a slot that is too full.
     """
     left = changes.select("service", *change_cols).withColumn("_slot0", _slot("executed_at", within_seconds))
-    left = left.withColumn("_slot", F.explode(F.array("_slot0", F.col("_slot0") + 1))).drop("_slot0")
+    left = left.withColumn("_slot", F.explode(F.array("_slot0", F.col("_slot0") + within_seconds))).drop("_slot0")
     right = per_service(incidents, *incident_cols).withColumn("_slot", _slot("created_at", within_seconds))
     reach = F.col("executed_at") + F.make_dt_interval(secs=F.lit(within_seconds))
     joined = left.join(right, ["service", "_slot"]).where(
@@ -49,32 +50,32 @@ def following_counts(
     running count is taken inside short (service, slot) groups with the totals of the earlier slots
     added, so a service that holds most of the rows is still spread over its slots.
     """
-    instant = F.unix_micros("created_at")
-    points = per_service(incidents, "created_at").groupBy("service", instant.alias("pos")).agg(F.count("*").alias("n"))
-    points = points.select("service", "pos", F.lit(1).alias("turn"), "n", F.lit(None).cast("bigint").alias("at"),
-                           F.lit(None).cast("string").alias("probe"))
-
-    at = F.unix_micros("executed_at")
-    marks = [F.struct(F.lit("before").alias("probe"), at.alias("pos"), F.lit(0).alias("turn"))]
-    marks += [
-        F.struct(F.lit(name).alias("probe"), (at + secs * MICROS).alias("pos"), F.lit(2).alias("turn"))
-        for name, secs in horizons.items()
-    ]
-    asked = changes.where(F.col("service").isNotNull()).select("service", "executed_at").distinct()
-    probes = asked.select("service", at.alias("at"), F.inline(F.array(*marks)))
-    probes = probes.select("service", "pos", "turn", F.lit(0).cast("bigint").alias("n"), "at", "probe")
-
-    line = points.unionByName(probes).withColumn("slot", F.floor(F.col("pos") / F.lit(slot_seconds * MICROS)))
-    inside = Window.partitionBy("service", "slot").orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    running = line.withColumn("run", F.sum("n").over(inside))
-
-    # one row per (service, slot): bounded by the time span, not by the number of events
-    totals = running.groupBy("service", "slot").agg(F.max("run").alias("total"))
+    slot = f"pos - pmod(pos, {slot_seconds * MICROS}L) AS slot"
+    key = ["service", "slot"]
+
+    instants = per_service(incidents, "created_at").groupBy("service", F.unix_micros("created_at").alias("pos"))
+    points = instants.agg(F.count("*").alias("n"))
+    asked = changes.where(F.col("service").isNotNull()).select("service", F.unix_micros("executed_at").alias("at"))
+    asked = asked.distinct()
+
+    # turn 0 stands before the incidents of the same instant, turn 2 after them
+    marks = [("before", 0, 0), *[(name, secs * MICROS, 2) for name, secs in horizons.items()]]
+    structs = ", ".join(f"named_struct('probe', '{n}', 'pos', at + {ahead}L, 'turn', {turn})" for n, ahead, turn in marks)
+    probes = asked.selectExpr("service", "at", f"inline(array({structs}))")
+    line = points.selectExpr(
+        "service", slot, "pos", "1 AS turn", "n", "cast(NULL AS bigint) AS at", "cast(NULL AS string) AS probe"
+    ).unionByName(probes.selectExpr("service", slot, "pos", "turn", "0L AS n", "at", "probe"))
+    inside = Window.partitionBy(*key).orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    running = line.withColumn("run", F.sum("n").over(inside)).where("probe IS NOT NULL")
+
+    # one row per service and slot: bounded by the time span, not by the number of events
+    totals = line.groupBy(*key).agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy("service").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("service", "slot", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    offsets = totals.select(*key, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
 
-    answered = running.where(F.col("probe").isNotNull()).join(offsets, ["service", "slot"])
-    value = {p: F.max(F.when(F.col("probe") == p, F.col("run") + F.col("base"))) for p in ["before", *horizons]}
-    return answered.groupBy("service", "at").agg(
-        *[(value[name] - value["before"]).alias(name) for name in horizons]
-    ).select("service", F.timestamp_micros("at").alias("executed_at"), *horizons)
+    answered = running.join(offsets, key)
+    count_at = "max(CASE WHEN probe = '{}' THEN run + base END)"
+    counts = [F.expr(f"{count_at.format(h)} - {count_at.format('before')}").alias(h) for h in horizons]
+    return answered.groupBy("service", "at").agg(*counts).select(
+        "service", F.timestamp_micros("at").alias("executed_at"), *horizons
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,15 +49,25 @@ def derive(tables: Tables, targets: dict) -> Tables:
     return out
 
 
-def build_all(spark: SparkSession, bronze: Tables, folder: str) -> Tables:
-    """Write every table below ``folder`` and return them as read back. Repeating it replaces them."""
+def build_all(spark: SparkSession, bronze: Tables, folder: str, at_once: int = 4) -> Tables:
+    """Write every table below ``folder`` and return them as read back. Repeating it replaces them.
+
+    The tables of one layer do not read each other, so up to ``at_once`` of them run as concurrent
+    jobs; the next layer reads what the last one wrote.
+    """
     folder = folder.rstrip("/")
     done: Tables = {}
-    for name, df in bronze.items():
+
+    def land(name: str) -> DataFrame:
+        df = bronze[name]
         if name in DAY_OF:
             df = df.selectExpr("*", f"to_date({DAY_OF[name]}) AS event_date").hint("rebalance", "event_date")
-        done[name] = write_table(df, f"{folder}/{name}", "ingested_at", "event_date" if name in DAY_OF else None)
-    for name, target in {**SILVER, **GOLD}.items():
-        plan = derive(done, {name: target})[name]
-        done[name] = write_table(plan, f"{folder}/{name}")
+        return write_table(df, f"{folder}/{name}", "ingested_at", "event_date" if name in DAY_OF else None)
+
+    def refine(name: str) -> DataFrame:
+        return write_table(derive(done, {name: {**SILVER, **GOLD}[name]})[name], f"{folder}/{name}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for names, make in ((bronze, land), (SILVER, refine), (GOLD, refine)):
+            done.update(zip(names, pool.map(make, names)))
     return done

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, or_zero
 from ..functions.scoring import normal_domain
+from ..session import cut_lineage
 
 
 def service_domain_mode(incidents: DataFrame, alerts: DataFrame, changes: DataFrame) -> DataFrame:
@@ -82,14 +83,14 @@ def _hops(arcs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     set reached so far is read once per hop and the plan grows with the depth, not with its power.
     Only nodes found in the last hop are extended.
     """
-    arcs = arcs.distinct()
-    everyone = arcs.select("a").unionByName(seeds.select(F.col("seed").alias("a"))).unionByName(
-        arcs.select(F.col("b").alias("a"))
-    )
+    seeds = seeds.select("seed").distinct()
+    loops = arcs.select(F.explode(F.array("a", "b")).alias("a")).unionByName(seeds.select(F.col("seed").alias("a")))
     steps = arcs.where("a <> b").select("a", "b", F.lit(1).alias("step")).unionByName(
-        everyone.distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("step"))
+        loops.select("a", F.col("a").alias("b"), F.lit(0).alias("step"))
     )
-    reached = seeds.distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    # every hop reads the arcs again, so they are computed once
+    steps = cut_lineage(steps.distinct())
+    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     for level in range(1, depth + 1):
         onward = reached.join(steps, reached["node"] == steps["a"]).where(
             (F.col("step") == 0) | (F.col("hop") == level - 1)

@@ -1,6 +1,6 @@
 """Binary landing files: OTLP metric documents and network-flow batches.
 
-Both decoders run inside ``mapInPandas`` and yield bounded batches, so a file is never held as a list
+Both decoders run inside ``mapInArrow`` and yield bounded batches, so a file is never held as a list
 of rows. A reader cannot split a binary file; a file above ``split_bytes`` is therefore only cut into
 its records by the task that reads it, and the records are rebalanced over tasks before decoding.
 A file that cannot be decoded gives one row with ``decode_error`` set instead of failing the job.
@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schemas import BRONZE_FLOWS, BRONZE_METRICS
 
@@ -39,37 +42,46 @@ def _varint(buf: memoryview, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _fields(buf: memoryview) -> Iterator[tuple[int, int, object]]:
-    """(field number, wire type, value) of one message; sub-messages stay views into the file."""
+def _fields(buf) -> Iterator[tuple[int, int, object]]:
+    """(field number, wire type, value) of one message given as bytes or a view."""
     at, end = 0, len(buf)
     while at < end:
-        tag, at = _varint(buf, at)
+        tag = buf[at]
+        at += 1
+        if tag > 127:
+            tag, at = _varint(buf, at - 1)
         kind = tag & 7
-        if kind == 0:
+        if kind == 2:
+            size = buf[at]
+            at += 1
+            if size > 127:
+                size, at = _varint(buf, at - 1)
+        elif kind == 0:
             value, at = _varint(buf, at)
-            yield tag >> 3, kind, value
+            yield tag >> 3, 0, value
             continue
-        if kind == 2:
-            size, at = _varint(buf, at)
-        elif kind in (1, 5):
-            size = 8 if kind == 1 else 4
+        elif kind == 1:
+            size = 8
+        elif kind == 5:
+            size = 4
         else:
             raise ValueError(f"wire type {kind} at byte {at}")
-        if at + size > end:
+        stop = at + size
+        if stop > end:
             raise ValueError(f"field runs past the end at byte {at}")
-        yield tag >> 3, kind, buf[at : at + size]
-        at += size
+        yield tag >> 3, kind, buf[at:stop]
+        at = stop
 
 
-def _all(buf: memoryview, number: int) -> Iterator[memoryview]:
+def _all(buf, number: int) -> Iterator:
     return (v for n, kind, v in _fields(buf) if n == number and kind == 2)
 
 
-def _text(view) -> str:
-    return bytes(view).decode("utf-8")
+def _text(raw) -> str:
+    return str(raw, "utf-8")
 
 
-def _attribute(buf: memoryview) -> tuple[str, str]:
+def _attribute(buf) -> tuple[str, str]:
     key = value = ""
     for number, kind, v in _fields(buf):
         if number == 1 and kind == 2:
@@ -83,17 +95,19 @@ def _attribute(buf: memoryview) -> tuple[str, str]:
                 elif variant == 3:
                     value = str(x - (1 << 64) if x >> 63 else x)
                 elif variant == 4:
-                    value = str(struct.unpack("<d", x)[0])
+                    value = str(DOUBLE(x)[0])
                 break
     return key, value
 
 
+NANOS, DOUBLE, LONG = (struct.Struct(f).unpack for f in ("<Q", "<d", "<q"))
+
 # OTLP field numbers of the metric forms.
 FORMS = {5: "gauge", 7: "sum", 9: "histogram"}
 RESOURCE_KEYS = ("service.name", "deployment.environment", "cloud.region", "host.name", "service.version")
 
 
-def _metric_messages(content: bytes) -> Iterator[tuple[tuple, memoryview]]:
+def _metric_messages(content: bytes) -> Iterator[tuple[tuple, bytes]]:
     """(resource and scope values, metric message) for every metric of a document."""
     for resource_metrics in _all(memoryview(content), 1):
         attrs: dict[str, str] = {}
@@ -105,10 +119,10 @@ def _metric_messages(content: bytes) -> Iterator[tuple[tuple, memoryview]]:
             for s in _all(scope_metrics, 1):
                 scope = next(map(_text, _all(s, 1)), "")
             for metric in _all(scope_metrics, 2):
-                yield (*owner, scope), metric
+                yield (*owner, scope), bytes(metric)
 
 
-def _points(metric: memoryview) -> Iterator[tuple]:
+def _points(metric: bytes) -> Iterator[tuple]:
     """(name, unit, value, count, sum, form, nanos) for every data point of a metric."""
     name = unit = ""
     forms = []
@@ -124,16 +138,16 @@ def _points(metric: memoryview) -> Iterator[tuple]:
             nanos, value, count, total = 0, None, 0, 0.0
             for number, kind, v in _fields(point):
                 if number == 2 and kind == 1:
-                    (nanos,) = struct.unpack("<Q", v)
+                    (nanos,) = NANOS(v)
                 elif form == "histogram":
                     if number == 4 and kind == 0:
                         count = v
                     elif number == 5 and kind == 1:
-                        (total,) = struct.unpack("<d", v)
+                        (total,) = DOUBLE(v)
                 elif number == 4 and kind == 1:
-                    (value,) = struct.unpack("<d", v)
+                    (value,) = DOUBLE(v)
                 elif number == 6 and kind == 1:
-                    value = float(struct.unpack("<q", v)[0])
+                    value = float(LONG(v)[0])
             if form == "histogram":
                 yield name, unit, None, count, total, form, nanos
             else:
@@ -159,7 +173,7 @@ def _flow_text(buf, at: int) -> tuple[str, int]:
     return _text(buf[at + 2 : at + 2 + size]), at + 2 + size
 
 
-def _flow_records(content: bytes) -> Iterator[tuple[tuple, memoryview]]:
+def _flow_records(content: bytes) -> Iterator[tuple[tuple, bytes]]:
     buf = memoryview(content)
     if bytes(buf[:5]) != b"NFLOW":
         raise ValueError("no flow batch header")
@@ -170,11 +184,11 @@ def _flow_records(content: bytes) -> Iterator[tuple[tuple, memoryview]]:
         (size,) = struct.unpack_from(">i", buf, at)
         if at + 4 + size > len(buf):
             raise ValueError(f"record runs past the end at byte {at}")
-        yield (), buf[at + 4 : at + 4 + size]
+        yield (), bytes(buf[at + 4 : at + 4 + size])
         at += 4 + size
 
 
-def _flow(record: memoryview) -> Iterator[tuple]:
+def _flow(record: bytes) -> Iterator[tuple]:
     at, out = 0, []
     for _, kind in FLOW_FIELDS:
         if kind == "s":
@@ -198,60 +212,65 @@ def _guarded(path: str, rows: Callable[[], Iterator[tuple]], width: int) -> Iter
         yield (path, str(problem), *([None] * width))
 
 
-def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    batch = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == BATCH_ROWS:
-            yield pd.DataFrame(batch, columns=columns, dtype=object)
-            batch = []
-    if batch:
-        yield pd.DataFrame(batch, columns=columns, dtype=object)
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while block := list(islice(rows, BATCH_ROWS)):
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*block), schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """Values of the named columns, one row at a time, so that only one file is copied into Python."""
+    for batch in batches:
+        picked = [batch.column(c) for c in columns]
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in picked)
 
 
 def _decode(
     files: DataFrame, cut: Callable, read: Callable, owner: list[tuple[str, str]], fields: list[tuple[str, str]], split_bytes: int
 ) -> DataFrame:
-    """files (path, length, content) -> rows of owner and record fields, with path and decode_error."""
-    names = ["path", "decode_error", *[n for n, _ in owner], *[n for n, _ in fields]]
-    schema = ", ".join(f"{n} {t}" for n, t in [("path", "string"), ("decode_error", "string"), *owner, *fields])
-    cut_schema = ", ".join(f"{n} {t}" for n, t in [("path", "string"), ("decode_error", "string"), *owner, ("record", "binary")])
-    cut_names = ["path", "decode_error", *[n for n, _ in owner], "record"]
+    """files (path, length, content) -> rows of owner and record fields, with path and decode_error.
+
+    ``cut`` gives the records of a file, ``read`` the rows of a record.
+    """
+    lead = [("path", "string"), ("decode_error", "string")]
+
+    def schemas(columns: list[tuple[str, str]]) -> tuple[T.StructType, pa.Schema]:
+        spark_schema = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in columns))
+        return spark_schema, to_arrow_schema(spark_schema)
+
+    out_schema, out_arrow = schemas([*lead, *owner, *fields])
+    cut_schema, cut_arrow = schemas([*lead, *owner, ("record", "binary")])
     width = len(owner) + len(fields)
 
     def whole(batches):
         def rows():
-            for pdf in batches:
-                for path, content in zip(pdf["path"], pdf["content"]):
-                    yield from _guarded(
-                        path, lambda: ((*own, *r) for own, rec in cut(content) for r in read(rec)), width
-                    )
+            for path, content in _rows(batches, ["path", "content"]):
+                yield from _guarded(path, lambda: ((*own, *r) for own, rec in cut(content) for r in read(rec)), width)
 
-        yield from _batches(rows(), names)
+        yield from _batches(rows(), out_arrow)
 
     def cut_up(batches):
         def rows():
-            for pdf in batches:
-                for path, content in zip(pdf["path"], pdf["content"]):
-                    yield from _guarded(path, lambda: ((*own, bytes(rec)) for own, rec in cut(content)), len(owner) + 1)
+            for path, content in _rows(batches, ["path", "content"]):
+                yield from _guarded(path, lambda: ((*own, rec) for own, rec in cut(content)), len(owner) + 1)
 
-        yield from _batches(rows(), cut_names)
+        yield from _batches(rows(), cut_arrow)
 
     def pieces(batches):
         def rows():
-            for pdf in batches:
-                for path, error, *own, record in pdf[cut_names].itertuples(index=False, name=None):
-                    if error is not None:
-                        yield (path, error, *([None] * width))
-                    else:
-                        yield from _guarded(path, lambda: ((*own, *r) for r in read(memoryview(record))), width)
+            for path, error, *own, record in _rows(batches, cut_schema.names):
+                if error is not None:
+                    yield (path, error, *([None] * width))
+                else:
+                    yield from _guarded(path, lambda: ((*own, *r) for r in read(record)), width)
 
-        yield from _batches(rows(), names)
+        yield from _batches(rows(), out_arrow)
 
     usual = files.where(F.col("length") <= split_bytes).select("path", "content")
     large = files.where(F.col("length") > split_bytes).select("path", "content")
-    records = large.mapInPandas(cut_up, cut_schema).hint("rebalance")
-    return usual.mapInPandas(whole, schema).unionByName(records.mapInPandas(pieces, schema))
+    records = large.mapInArrow(cut_up, cut_schema).hint("rebalance")
+    return usual.mapInArrow(whole, out_schema).unionByName(records.mapInArrow(pieces, out_schema))
 
 
 METRIC_OWNER = [(n, "string") for n in ("service_name", "environment", "region", "host_name", "service_version", "scope_name")]
