@@ -19,7 +19,7 @@ from .functions import scoring
 from .functions.times import calendar, whole_minutes
 from .plans import build, gold, graph, impact, insight, serve, silver
 from .schemas import KEYS, RAW_LOGS, REFRESH, SNAPSHOT, TRIGGERED
-from .session import new_folder
+from .session import cut_lineage, new_folder
 from .sources import binary, documents, tables
 from .streaming.events import incremental_ingest
 
@@ -117,14 +117,19 @@ class Inputs:
 # Sources ---------------------------------------------------------------------------------------
 
 
+def landed(files: DataFrame) -> DataFrame:
+    """Encoded payloads stored once; Spark has no writer for binary files."""
+    return cut_lineage(files)
+
+
 @query
 def i1_ingest_otlp_metrics(spark, sf_dir):
-    return binary.metrics_table(binary.decode_metrics(fx.metric_files(spark, sf_dir)))
+    return binary.metrics_table(binary.decode_metrics(landed(fx.metric_files(spark, sf_dir))))
 
 
 @query
 def i2_ingest_network_flows(spark, sf_dir):
-    return binary.flows_table(binary.decode_flows(fx.flow_files(spark, sf_dir)))
+    return binary.flows_table(binary.decode_flows(landed(fx.flow_files(spark, sf_dir))))
 
 
 def _ingested(spark, sf_dir, table):
@@ -174,7 +179,7 @@ def i8_attr_lookup(spark, sf_dir):
 
 @query
 def i9_decode_summary(spark, sf_dir):
-    files = fx.metric_files(spark, sf_dir)
+    files = landed(fx.metric_files(spark, sf_dir))
     summary = binary.decode_summary(binary.decode_metrics(files), files)
     return summary.select("path", "service_name", "points", (F.col("size_kb") > 0).alias("has_size"))
 

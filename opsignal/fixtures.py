@@ -143,8 +143,8 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five points per view and purchase event."""
+def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per view and purchase event: the reporting host and an array of five points."""
 
     def point(name: str, unit: str, form: str, value: str = "NULL", count: str = "NULL", total: str = "NULL") -> str:
         return (
@@ -166,13 +166,20 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('host-', u % 10) AS host_name",
         "'1.0.0' AS service_version",
         "'otel' AS scope_name",
-        f"inline(array({', '.join(points)}))",
+        f"array({', '.join(points)}) AS points",
         "unix_micros(ts) * 1000 AS timestamp_unix_nano",
         "ts AS event_timestamp",
         "id AS event_id",
     )
 
 
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five points per view and purchase event."""
+    rows = metric_events(spark, sf_dir)
+    kept = [c for c in rows.columns if c not in ("points", "event_id")]
+    return rows.selectExpr(*kept, "inline(points)")
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).selectExpr(
         "*",
@@ -289,7 +296,7 @@ def impact_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
-        "bronze_metrics": metrics(spark, sf_dir).drop("event_id"),
+        "bronze_metrics": metrics(spark, sf_dir),
         "bronze_logs": logs(spark, sf_dir),
         "bronze_traces": traces(spark, sf_dir),
         "bronze_incidents": incidents(spark, sf_dir),
@@ -468,15 +475,14 @@ def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OTLP document per event, shaped like the rows of a binary file source."""
     names = ("service.name", "deployment.environment", "cloud.region", "host.name", "service.version")
     owner = ("service_name", "environment", "region", "host_name", "service_version")
-    values = ("metric_name", "metric_unit", "metric_value", "histogram_count", "histogram_sum", "metric_type", "timestamp_unix_nano")
-    points = F.sort_array(F.collect_list(F.struct(*values))).alias("points")
-    docs = spread(metrics(spark, sf_dir).groupBy("event_id", *owner, "scope_name").agg(points))
+    values = ("metric_name", "metric_unit", "metric_value", "histogram_count", "histogram_sum", "metric_type")
+    docs = spread(metric_events(spark, sf_dir))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                points = [tuple(p[v] for v in values) for p in r["points"]]
+                points = [(*(p[v] for v in values), r["timestamp_unix_nano"]) for p in r["points"]]
                 raw = encode_metric_document({n: r[o] for n, o in zip(names, owner)}, r["scope_name"], points)
                 rows.append((f"metrics/ev-{r['event_id']}.pb", len(raw), raw))
             yield pd.DataFrame(rows, columns=["path", "length", "content"])
