@@ -33,10 +33,9 @@ def read_documents(spark: SparkSession, path: str, schema: str, one_array_per_fi
 
 def rejected_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, line) of the lines that are not JSON of this schema; the readers give them as all-NULL rows."""
-    read = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return read.select("*", F.input_file_name().alias("path")).where(F.col("_bad").isNotNull()).select(
-        "path", F.col("_bad").alias("line")
-    )
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    parsed = F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return lines.where(parsed["_bad"].isNotNull())
 
 
 def logs_table(docs: DataFrame) -> DataFrame:
