@@ -11,12 +11,9 @@ ONE_TASK_ROWS = 200_000
 RANGES = 256
 
 
-def earliest(value: str, *order: str) -> Column:
-    """Value of the earliest row: a reproducible stand-in for "any value of the group".
-
-    The earliest row decides even when its value is NULL.
-    """
-    return F.min_by(F.col(value), F.struct(*order))
+def earliest(value: str, at: str, tie: str) -> Column:
+    """Value of the row with the least ``at``, then the least ``tie``: a reproducible "any value"."""
+    return F.min_by(value, F.struct(at, tie))
 
 
 def row_numbers(

@@ -13,6 +13,7 @@ from ..functions import scoring
 from ..functions.numbers import count_if, half_up, or_zero, percent
 from ..functions.times import whole_minutes
 from ..operators.intervals import change_incident_matches
+from ..operators.lookups import attach
 from ..operators.ordering import earliest, row_numbers
 
 
@@ -39,9 +40,8 @@ def impacted_services_by_pattern(incidents: DataFrame) -> DataFrame:
 
 
 def pattern_stats(incidents: DataFrame) -> DataFrame:
-    first = ("created_at", "incident_id")
     return _with_pattern(incidents).groupBy(*PATTERN_GRAIN).agg(
-        earliest("business_unit", *first).alias("business_unit"),
+        earliest("business_unit", "created_at", "business_unit").alias("business_unit"),
         F.count("*").alias("occurrence_count"),
         F.avg("mttr_minutes").alias("avg_mttr_minutes"),
         F.max("mttr_minutes").alias("max_mttr_minutes"),
@@ -60,8 +60,8 @@ def pattern_stats(incidents: DataFrame) -> DataFrame:
         count_if(F.col("sla_breached")).alias("sla_breach_count"),
         F.min("created_at").alias("first_occurrence"),
         F.max("created_at").alias("last_occurrence"),
-        earliest("revenue_model", *first).alias("revenue_model"),
-        earliest("root_cause_explanation", *first).alias("root_cause_explanation"),
+        earliest("revenue_model", "created_at", "revenue_model").alias("revenue_model"),
+        earliest("root_cause_explanation", "created_at", "root_cause_explanation").alias("root_cause_explanation"),
         # the root service is part of the grain, so its set has one member (none for NULL)
         F.when(F.col("root_service").isNull(), F.array().cast("array<string>"))
         .otherwise(F.array("root_service"))
@@ -121,19 +121,46 @@ def root_cause_patterns(incidents: DataFrame) -> DataFrame:
 # Service risk ----------------------------------------------------------------------------------
 
 
-def incident_stats(incidents: DataFrame) -> DataFrame:
-    return incidents.groupBy(F.col("root_service").alias("service_name")).agg(
-        earliest("business_unit", "created_at", "incident_id").alias("business_unit"),
-        F.count("*").alias("incident_count"),
+def _mean(name: str):
+    """Mean from the partial sum and count that ``_partials`` leaves behind."""
+    return F.expr(f"try_divide(sum({name}_sum), sum({name}_n))")
+
+
+def _partials(incidents: DataFrame, keys: list[str], means: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """First of two aggregation steps, by fine keys, with fixed-width states only.
+
+    Text states such as "value of the earliest row" would make Spark sort the raw rows; over the far
+    fewer rows of this step they cost nothing.
+    """
+    return incidents.groupBy(*keys).agg(
+        F.min("created_at").alias("first_at"),
+        F.count("*").alias("n"),
         *_severity_counts("P1", "P2", "P3"),
-        F.avg("mttr_minutes").alias("avg_mttr"),
-        F.sum("blast_radius").alias("total_blast_radius"),
-        F.avg("blast_radius").alias("avg_blast_radius"),
-        F.sum("revenue_impact_usd").alias("total_revenue_impact"),
-        F.sum("affected_user_count").alias("total_affected_users"),
-        count_if(F.col("sla_breached")).alias("sla_breaches"),
+        count_if(F.col("sla_breached")).alias("sla"),
+        *[f(c).alias(f"{c}_{tag}") for c in means for f, tag in ((F.sum, "sum"), (F.count, "n"))],
+        *[F.sum(c).alias(f"{c}_sum") for c in sums],
+    )
+
+
+def incident_stats(incidents: DataFrame) -> DataFrame:
+    fine = _partials(
+        incidents,
+        ["root_service", "business_unit", "failure_pattern_id"],
+        ("mttr_minutes", "blast_radius", "impact_score"),
+        ("revenue_impact_usd", "affected_user_count"),
+    )
+    return fine.groupBy(F.col("root_service").alias("service_name")).agg(
+        earliest("business_unit", "first_at", "business_unit").alias("business_unit"),
+        F.sum("n").alias("incident_count"),
+        *[F.sum(c).alias(c) for c in ("p1_count", "p2_count", "p3_count")],
+        _mean("mttr_minutes").alias("avg_mttr"),
+        F.sum("blast_radius_sum").alias("total_blast_radius"),
+        _mean("blast_radius").alias("avg_blast_radius"),
+        F.sum("revenue_impact_usd_sum").alias("total_revenue_impact"),
+        F.sum("affected_user_count_sum").alias("total_affected_users"),
+        F.sum("sla").alias("sla_breaches"),
         F.count_distinct("failure_pattern_id").alias("unique_failure_patterns"),
-        F.avg("impact_score").alias("avg_impact_score"),
+        _mean("impact_score").alias("avg_impact_score"),
     )
 
 
@@ -273,7 +300,7 @@ def change_incident_correlation(changes: DataFrame, incidents: DataFrame) -> Dat
         F.col("total_changes").alias("change_type_total_count"),
     )
     scored = pairs.withColumn("correlation_strength", scoring.correlation_strength())
-    return scored.join(rates, "change_type", "left")
+    return attach(scored, rates, "change_type")
 
 
 # Domains ---------------------------------------------------------------------------------------
@@ -347,21 +374,30 @@ def domain_impact_summary(incidents: DataFrame, alerts: DataFrame, changes: Data
 
 
 def business_impact_summary(incidents: DataFrame) -> DataFrame:
-    tickets, duplicates = F.sum("servicenow_ticket_count"), F.sum("servicenow_duplicate_tickets")
-    return incidents.groupBy("business_unit").agg(
-        F.count("*").alias("total_incidents"),
-        *_severity_counts("P1", "P2"),
-        half_up(F.avg("mttr_minutes"), 1).alias("avg_mttr_minutes"),
-        half_up(F.sum("revenue_impact_usd"), 2).alias("total_revenue_impact"),
-        earliest("revenue_model", "created_at", "incident_id").alias("primary_revenue_model"),
-        F.sum("affected_user_count").alias("total_affected_users"),
-        F.sum("productivity_loss_usd").alias("total_productivity_loss"),
-        F.sum("shipments_delayed").alias("total_shipments_delayed"),
-        tickets.alias("total_servicenow_tickets"),
-        duplicates.alias("total_duplicate_tickets"),
+    totals = {
+        "affected_user_count": "total_affected_users",
+        "productivity_loss_usd": "total_productivity_loss",
+        "shipments_delayed": "total_shipments_delayed",
+        "servicenow_ticket_count": "total_servicenow_tickets",
+        "servicenow_duplicate_tickets": "total_duplicate_tickets",
+    }
+    fine = _partials(
+        incidents,
+        ["business_unit", "revenue_model", "failure_pattern_id", "root_service"],
+        ("mttr_minutes", "blast_radius"),
+        ("revenue_impact_usd", *totals),
+    )
+    tickets, duplicates = F.sum("servicenow_ticket_count_sum"), F.sum("servicenow_duplicate_tickets_sum")
+    return fine.groupBy("business_unit").agg(
+        F.sum("n").alias("total_incidents"),
+        *[F.sum(c).alias(c) for c in ("p1_count", "p2_count")],
+        half_up(_mean("mttr_minutes"), 1).alias("avg_mttr_minutes"),
+        half_up(F.sum("revenue_impact_usd_sum"), 2).alias("total_revenue_impact"),
+        earliest("revenue_model", "first_at", "revenue_model").alias("primary_revenue_model"),
+        *[F.sum(f"{c}_sum").alias(name) for c, name in totals.items()],
         percent(duplicates, tickets, 1).alias("overall_duplicate_pct"),
-        half_up(F.avg("blast_radius"), 1).alias("avg_blast_radius"),
-        count_if(F.col("sla_breached")).alias("sla_breaches"),
+        half_up(_mean("blast_radius"), 1).alias("avg_blast_radius"),
+        F.sum("sla").alias("sla_breaches"),
         F.count_distinct("failure_pattern_id").alias("unique_failure_patterns"),
         F.count_distinct("root_service").alias("affected_services_count"),
     )

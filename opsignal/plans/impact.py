@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..operators.lookups import attach
 from ..session import cut_lineage
 from .graph import reverse_hops
 
@@ -49,20 +50,16 @@ def _impact_terms() -> dict:
 
 
 def with_models(incidents: DataFrame, models: DataFrame) -> DataFrame:
-    """Incidents beside the rates of their business unit.
+    """Incidents beside the rates of their business unit."""
+    return attach(incidents, models, "business_unit")
 
-    No broadcast is forced: the planner broadcasts the model table by itself when its size is under
-    the session's limit. Columns the models replace are dropped from the incidents.
-    """
-    clash = [c for c in models.columns if c in incidents.columns and c != "business_unit"]
-    return incidents.drop(*clash).join(models, "business_unit", "left")
 
+def _loss(t: dict):
+    return t["people"] * t["loss_hours"] * _rate("loaded_rate_per_hour_usd")
 
-def revenue_impact(incidents: DataFrame, models: DataFrame) -> DataFrame:
-    """(incident_id, revenue_impact_usd, shipments_delayed, productivity_loss_usd) by model type."""
-    t = _impact_terms()
-    kind = F.col("impact_type")
-    loss = t["people"] * t["loss_hours"] * _rate("loaded_rate_per_hour_usd")
+
+def _revenue(t: dict):
+    kind, loss = F.col("impact_type"), _loss(t)
     revenue = (
         F.when(kind == SHIPMENT, t["shipments"] * _rate("avg_order_value_usd"))
         .when(kind == PRODUCTIVITY, loss)
@@ -71,13 +68,20 @@ def revenue_impact(incidents: DataFrame, models: DataFrame) -> DataFrame:
         .when(kind == BLAST, _rate("affected_users") * t["hours"] * _rate("blended_rate_per_hour_usd"))
         .otherwise(0.0)
     )
-    return with_models(incidents, models).select(
+    return half_up(revenue, 2)
+
+
+def revenue_impact(incidents: DataFrame, models: DataFrame) -> DataFrame:
+    """(incident_id, revenue_impact_usd, shipments_delayed, productivity_loss_usd) by model type."""
+    t, kind = _impact_terms(), F.col("impact_type")
+    own = incidents.select("incident_id", "business_unit", "mttr_minutes")
+    return with_models(own, models).select(
         "incident_id",
-        half_up(revenue, 2).alias("revenue_impact_usd"),
+        _revenue(t).alias("revenue_impact_usd"),
         F.when(kind == SHIPMENT, F.bround(t["shipments"].cast("decimal(28,10)"), 0).cast("bigint"))
         .otherwise(0)
         .alias("shipments_delayed"),
-        half_up(F.when(kind == PRODUCTIVITY, loss).otherwise(0.0), 2).alias("productivity_loss_usd"),
+        half_up(F.when(kind == PRODUCTIVITY, _loss(t)).otherwise(0.0), 2).alias("productivity_loss_usd"),
     )
 
 
@@ -85,7 +89,6 @@ def impact_narrative(incidents: DataFrame, models: DataFrame) -> DataFrame:
     """(incident_id, narrative): one sentence in the terms of the model."""
     t = _impact_terms()
     kind = F.col("impact_type")
-    money = revenue_impact(incidents, models).select("incident_id", F.col("revenue_impact_usd").alias("_usd"))
 
     def whole(x):
         return F.format_number(x, 0)
@@ -96,7 +99,7 @@ def impact_narrative(incidents: DataFrame, models: DataFrame) -> DataFrame:
     def number(x):
         return F.regexp_replace(F.format_string("%.2f", half_up(x, 2)), r"\.?0+$", "")
 
-    usd = F.concat(F.lit("$"), whole(F.col("_usd")))
+    usd = F.concat(F.lit("$"), whole(_revenue(t)))
     text = (
         F.when(
             kind == SHIPMENT,
@@ -135,8 +138,8 @@ def impact_narrative(incidents: DataFrame, models: DataFrame) -> DataFrame:
             )
         )
     )
-    rows = with_models(incidents, models).join(money, "incident_id")
-    return rows.select("incident_id", text.alias("narrative"))
+    own = incidents.select("incident_id", "business_unit", "mttr_minutes", "affected_user_count", "blast_radius")
+    return with_models(own, models).select("incident_id", text.alias("narrative"))
 
 
 def sla_flag(severity: str = "severity", minutes: str = "mttr_minutes"):
