@@ -192,13 +192,12 @@ def k1_table_sink(spark, sf_dir):
 
 @query
 def k2_keyed_sync(spark, sf_dir):
-    """A copy taken before some changes were deleted, corrected and added, then refreshed by key."""
+    """A copy from before medium-risk changes arrived, network rows were corrected and deployments left."""
     source = Inputs(spark, sf_dir).scored_changes
-    number = F.col("change_id").substr(F.lit(5), F.length("change_id")).cast("bigint")
-    older = source.where(number % 7 != 0).withColumn(
-        "executed_by", F.when(number % 5 == 0, "unknown").otherwise(F.col("executed_by"))
+    older = source.where("risk_level <> 'medium'").withColumn(
+        "executed_by", F.when(F.col("domain") == "network", "unknown").otherwise(F.col("executed_by"))
     )
-    current = source.where(number % 11 != 0)
+    current = source.where("change_type <> 'deployment'")
     key, policy = KEYS["silver_changes"], REFRESH["silver_changes"]
     first = new_folder(spark, "copy")
     tables.sync_copy(spark, older, None, first, key, SNAPSHOT)

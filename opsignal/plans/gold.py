@@ -104,11 +104,9 @@ def days_between_occurrences():
 
 
 def root_cause_patterns(incidents: DataFrame) -> DataFrame:
-    out = pattern_stats(incidents)
-    out = out.join(impacted_services_by_pattern(incidents), "failure_pattern_id", "left")
-    out = out.join(trend_summary(incidents), "failure_pattern_id", "left")
+    out = pattern_stats(incidents).join(trend_summary(incidents), "failure_pattern_id", "left")
     out = out.withColumn("trend_direction", scoring.trend_direction())
-    return out.withColumns(
+    out = out.withColumns(
         {
             "recent_weekly_avg": half_up("recent_avg", 2),
             "previous_weekly_avg": half_up("previous_avg", 2),
@@ -116,6 +114,8 @@ def root_cause_patterns(incidents: DataFrame) -> DataFrame:
             "avg_days_between_occurrences": days_between_occurrences(),
         }
     ).drop("recent_avg", "previous_avg")
+    # last, so that the lists are copied once and not carried through the other join
+    return out.join(impacted_services_by_pattern(incidents), "failure_pattern_id", "left")
 
 
 # Service risk ----------------------------------------------------------------------------------

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may run without the setting; it then gets a new temporary folder.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)

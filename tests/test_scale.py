@@ -125,20 +125,18 @@ def test_shared_folder_is_required_on_a_cluster():
     from opsignal import session
 
     class Conf:
-        def get(self, _):
-            return None
+        def get(self, _name, default):
+            return default
 
     class Context:
         master = "spark://cluster"
 
-        def getConf(self):
-            return Conf()
-
         def getCheckpointDir(self):
             return None
 
     class Fake:
         sparkContext = Context()
+        conf = Conf()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Fake())
