@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.times import from_nanos
 from ..schemas import BRONZE_FLOWS, BRONZE_METRICS
 
 BATCH_ROWS = 20_000
@@ -31,15 +32,22 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pb") -> DataFra
 # Protocol buffer wire format -------------------------------------------------------------------
 
 
-def _varint(buf: memoryview, at: int) -> tuple[int, int]:
+def _varint(buf, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
         byte = buf[at]
         at += 1
         value |= (byte & 127) << shift
         if byte < 128:
-            return value, at
+            return value & (1 << 64) - 1, at
         shift += 7
+        if shift > 63:
+            raise ValueError(f"number too long at byte {at}")
+
+
+def _signed(value: int) -> int:
+    """The 64 bits as a signed number, the form a bigint column can hold."""
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _fields(buf) -> Iterator[tuple[int, int, object]]:
@@ -93,14 +101,14 @@ def _attribute(buf) -> tuple[str, str]:
                 elif variant == 2:
                     value = str(bool(x))
                 elif variant == 3:
-                    value = str(x - (1 << 64) if x >> 63 else x)
+                    value = str(_signed(x))
                 elif variant == 4:
                     value = str(DOUBLE(x)[0])
                 break
     return key, value
 
 
-NANOS, DOUBLE, LONG = (struct.Struct(f).unpack for f in ("<Q", "<d", "<q"))
+DOUBLE, LONG = (struct.Struct(f).unpack for f in ("<d", "<q"))
 
 # OTLP field numbers of the metric forms.
 FORMS = {5: "gauge", 7: "sum", 9: "histogram"}
@@ -138,10 +146,10 @@ def _points(metric: bytes) -> Iterator[tuple]:
             nanos, value, count, total = 0, None, 0, 0.0
             for number, kind, v in _fields(point):
                 if number == 2 and kind == 1:
-                    (nanos,) = NANOS(v)
+                    (nanos,) = LONG(v)
                 elif form == "histogram":
                     if number == 4 and kind == 0:
-                        count = v
+                        count = _signed(v)
                     elif number == 5 and kind == 1:
                         (total,) = DOUBLE(v)
                 elif number == 4 and kind == 1:
@@ -285,23 +293,19 @@ METRIC_FIELDS = [
 ]
 
 
-def _instant(nanos: str):
-    """Microsecond timestamp of epoch nanoseconds; zero means unknown."""
-    micros = F.call_function("div", F.col(nanos), F.lit(1000))
-    return F.when(F.col(nanos) != 0, F.timestamp_micros(micros))
-
-
 def decode_metrics(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per data point, plus ``path`` and ``decode_error``. Zero values stay zero."""
     rows = _decode(files, _metric_messages, _points, METRIC_OWNER, METRIC_FIELDS, split_bytes)
-    return rows.withColumn("event_timestamp", _instant("timestamp_unix_nano"))
+    # a point without a time has zero
+    known = F.when(F.col("timestamp_unix_nano") != 0, from_nanos("timestamp_unix_nano"))
+    return rows.withColumn("event_timestamp", known)
 
 
 def decode_flows(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per flow, plus ``path`` and ``decode_error``."""
     types = {"s": "string", "i": "int", "q": "bigint", "?": "boolean"}
     rows = _decode(files, _flow_records, _flow, [], [(n, types[t]) for n, t in FLOW_FIELDS], split_bytes)
-    return rows.withColumn("event_timestamp", _instant("nanos")).drop("nanos")
+    return rows.withColumn("event_timestamp", from_nanos("nanos")).drop("nanos")
 
 
 def _columns(schema: str) -> list[str]:

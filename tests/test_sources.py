@@ -60,6 +60,15 @@ def test_integer_attribute_is_signed():
     assert binary._attribute(b"\x0a\x01k\x12\x0b\x18" + ten_bytes) == ("k", "-1")
 
 
+def test_numbers_beyond_a_bigint_do_not_fail_the_job(spark, tmp_path):
+    huge = [("lat", "ms", None, 2**64 - 1, 1.0, "histogram", NANOS)]
+    write(tmp_path / "h", "huge.pb", fx.encode_metric_document(RESOURCE, "s", huge))
+    write(tmp_path / "h", "long.pb", b"\x0a" + b"\xff" * 11 + b"\x01")
+    decoded = binary.decode_metrics(binary.read_files(spark, str(tmp_path / "h")))
+    assert binary.metrics_table(decoded).first().histogram_count == -1
+    assert binary.rejected_files(decoded).first().decode_error.startswith("number too long")
+
+
 @pytest.mark.parametrize("split_bytes", [binary.SPLIT_BYTES, 10])
 def test_flow_files(spark, tmp_path, split_bytes):
     kinds = "".join(k for _, k in binary.FLOW_FIELDS)
