@@ -27,10 +27,6 @@ def whole_minutes(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("MINUTE", col(start), col(end))
 
 
-def hours(n: int) -> Column:
-    return F.make_dt_interval(hours=F.lit(n))
-
-
 def recent(df: DataFrame, ts: str, days: int, anchor: DataFrame | None = None) -> DataFrame:
     """Rows of the last ``days`` days counted back from the newest ``ts`` of the anchor table."""
     newest = (df if anchor is None else anchor).agg(F.max(ts)).scalar()

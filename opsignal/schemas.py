@@ -71,6 +71,8 @@ dns_query string, dns_response_code int, load_balancer_id string, environment st
 # Keys at the true grain of each table, and how its serving copy is refreshed. -------------------
 
 KEYS = {
+    "bronze_metrics": ["service_name", "metric_name", "event_timestamp"],
+    "bronze_network_flows": ["flow_id"],
     "silver_incidents": ["incident_id"],
     "silver_alerts": ["alert_id"],
     "silver_changes": ["change_id"],
@@ -84,4 +86,4 @@ KEYS = {
     "gold_business_impact_summary": ["business_unit"],
 }
 SNAPSHOT, TRIGGERED = "SNAPSHOT", "TRIGGERED"
-REFRESH = {"bronze_metrics": SNAPSHOT, "bronze_network_flows": SNAPSHOT, **{t: TRIGGERED for t in KEYS}}
+REFRESH = {t: SNAPSHOT if t.startswith("bronze_") else TRIGGERED for t in KEYS}
