@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, toxicity, wavelet
+from . import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, toxicity, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,10 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op1_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
