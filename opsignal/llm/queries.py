@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, toxicity, wavelet
+from . import ann, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pii, toxicity, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,24 @@ def op1_nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query
+def op6_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(k, F.col("base")).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.printed(F.col("base")), 256).alias("base_sha256"), pii.printed(F.col("spans")).alias("spans"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as a tree of files: source, language, and a folder for every hundred ids."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    path = F.concat_ws("/", part(F.col("source")), part(F.col("lang")), part(F.floor(F.col("doc_id") / 100)), part(F.col("doc_id")))
+    return docs.select(path.alias("path"), "text")
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    found = licenses.scan(as_files(table(spark, sf_dir, "documents")))
+    doc_id = F.regexp_extract("path", "[^/]+$", 0).try_cast("long")
+    return found.select(doc_id.alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), F.col("source").alias("license_source"), "license_dir")
