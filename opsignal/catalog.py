@@ -829,7 +829,7 @@ def b4_service_relationships(spark, sf_dir):
 
 @query
 def b5_dependency_blast_radius(spark, sf_dir):
-    return impact.dependency_blast_radius(Inputs(spark, sf_dir).relationships, 3)
+    return impact.dependency_blast_radius(Inputs(spark, sf_dir).relationships)
 
 
 @query
@@ -846,15 +846,29 @@ def b6_profile_enrichment(spark, sf_dir):
 # Streaming and ordering ------------------------------------------------------------------------
 
 
-@query
-def r1_incremental_event_ingest(spark, sf_dir):
-    """The incident documents, landed as files and picked up by the streaming reader."""
+def _streamed(spark, sf_dir, table):
+    """Documents landed as files and picked up by the streaming reader."""
     landing, target, checkpoint = (new_folder(spark, n) for n in ("landing", "bronze", "offsets"))
-    fx.land(fx.incident_documents(spark, sf_dir), landing)
-    incremental_ingest(spark, "bronze_incidents", landing, target, checkpoint).awaitTermination()
+    fx.land(fx.LANDING[table](spark, sf_dir), landing)
+    incremental_ingest(spark, table, landing, target, checkpoint).awaitTermination()
     return spark.read.parquet(target).drop("ingested_at")
 
 
+@query
+def r1_incremental_event_ingest(spark, sf_dir):
+    return _streamed(spark, sf_dir, "bronze_incidents")
+
+
+@query
+def r1_incremental_alert_ingest(spark, sf_dir):
+    return _streamed(spark, sf_dir, "bronze_alerts")
+
+
+@query
+def r1_incremental_change_ingest(spark, sf_dir):
+    return _streamed(spark, sf_dir, "bronze_topology_changes")
+
+
 @query
 def p1_build_all(spark, sf_dir):
     built = build.build_all(spark, fx.bronze(spark, sf_dir), new_folder(spark, "tables"))

@@ -160,8 +160,7 @@ def dependency_blast_radius(relationships: DataFrame, max_depth: int | None = No
     """How many services depend on each one, directly or through others.
 
     With ``max_depth`` the walk stops after that many relationships. Without it the reach is extended
-    until nothing new appears; each round joins the reach with itself, so a chain of length n needs
-    about log2(n) rounds, and each round is checkpointed.
+    until nothing new appears, and each round is checkpointed.
     """
     targets = relationships.select(F.col("target_service").alias("seed")).distinct()
     if max_depth is not None:
@@ -173,17 +172,18 @@ def dependency_blast_radius(relationships: DataFrame, max_depth: int | None = No
 
 
 def _closure(relationships: DataFrame) -> DataFrame:
+    """All (seed, node) with a path. A round joins only the pairs found in the last one with what is known, and
+    only what is new is added; paths double in length, so n relationships in a row take about log2(n) rounds."""
     pairs = relationships.select(F.col("target_service").alias("seed"), F.col("source_service").alias("node")).distinct()
-    reach = cut_lineage(pairs)
-    known = reach.count()
+    reach = new = cut_lineage(pairs)
     while True:
-        onward = reach.select(F.col("seed").alias("node"), F.col("node").alias("next"))
-        longer = reach.join(onward, "node").select("seed", F.col("next").alias("node"))
-        grown = cut_lineage(reach.unionByName(longer).distinct())
-        size = grown.count()
-        if size == known:
-            return grown
-        reach, known = grown, size
+        after = new.join(reach.select(F.col("seed").alias("node"), F.col("node").alias("next")), "node")
+        before = reach.join(new.select(F.col("seed").alias("node"), F.col("node").alias("next")), "node")
+        longer = after.unionByName(before).select("seed", F.col("next").alias("node")).distinct()
+        new = cut_lineage(longer.join(reach, ["seed", "node"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach = cut_lineage(reach.unionByName(new))
 
 
 def enrich_services(ranking: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Binary landing files: OTLP metric documents and network-flow batches.
 
 Both decoders run inside ``mapInArrow`` and yield bounded batches, so a file is never held as a list
-of rows. A reader cannot split a binary file; a file above ``split_bytes`` is therefore only cut into
-its records by the task that reads it, and the records are rebalanced over tasks before decoding.
-A file that cannot be decoded gives one row with ``decode_error`` set instead of failing the job.
+of rows. A reader cannot split a binary file; the task that reads it therefore only cuts it into its
+records, and the records are rebalanced over tasks before decoding. A record that cannot be decoded
+gives one row with ``decode_error`` set, and the next one goes on; a broken frame ends its file with
+such a row. Neither fails the job.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from ..functions.times import from_nanos
 from ..schemas import BRONZE_FLOWS, BRONZE_METRICS
 
 BATCH_ROWS = 20_000
-SPLIT_BYTES = 64 << 20
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pb") -> DataFrame:
@@ -212,7 +212,7 @@ def _flow(record: bytes) -> Iterator[tuple]:
 
 
 def _guarded(path: str, rows: Callable[[], Iterator[tuple]], width: int) -> Iterator[tuple]:
-    """Rows of one file with (path, error) in front; a failure becomes the file's last row."""
+    """Rows of one file or record with (path, error) in front; a failure becomes the last row."""
     try:
         for row in rows():
             yield (path, None, *row)
@@ -235,7 +235,7 @@ def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 
 
 def _decode(
-    files: DataFrame, cut: Callable, read: Callable, owner: list[tuple[str, str]], fields: list[tuple[str, str]], split_bytes: int
+    files: DataFrame, cut: Callable, read: Callable, owner: list[tuple[str, str]], fields: list[tuple[str, str]]
 ) -> DataFrame:
     """files (path, length, content) -> rows of owner and record fields, with path and decode_error.
 
@@ -251,13 +251,6 @@ def _decode(
     cut_schema, cut_arrow = schemas([*lead, *owner, ("record", "binary")])
     width = len(owner) + len(fields)
 
-    def whole(batches):
-        def rows():
-            for path, content in _rows(batches, ["path", "content"]):
-                yield from _guarded(path, lambda: ((*own, *r) for own, rec in cut(content) for r in read(rec)), width)
-
-        yield from _batches(rows(), out_arrow)
-
     def cut_up(batches):
         def rows():
             for path, content in _rows(batches, ["path", "content"]):
@@ -275,10 +268,8 @@ def _decode(
 
         yield from _batches(rows(), out_arrow)
 
-    usual = files.where(F.col("length") <= split_bytes).select("path", "content")
-    large = files.where(F.col("length") > split_bytes).select("path", "content")
-    records = large.mapInArrow(cut_up, cut_schema).hint("rebalance")
-    return usual.mapInArrow(whole, out_schema).unionByName(records.mapInArrow(pieces, out_schema))
+    records = files.select("path", "content").mapInArrow(cut_up, cut_schema).hint("rebalance")
+    return records.mapInArrow(pieces, out_schema)
 
 
 METRIC_OWNER = [(n, "string") for n in ("service_name", "environment", "region", "host_name", "service_version", "scope_name")]
@@ -293,18 +284,18 @@ METRIC_FIELDS = [
 ]
 
 
-def decode_metrics(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def decode_metrics(files: DataFrame) -> DataFrame:
     """One row per data point, plus ``path`` and ``decode_error``. Zero values stay zero."""
-    rows = _decode(files, _metric_messages, _points, METRIC_OWNER, METRIC_FIELDS, split_bytes)
+    rows = _decode(files, _metric_messages, _points, METRIC_OWNER, METRIC_FIELDS)
     # a point without a time has zero
     known = F.when(F.col("timestamp_unix_nano") != 0, from_nanos("timestamp_unix_nano"))
     return rows.withColumn("event_timestamp", known)
 
 
-def decode_flows(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def decode_flows(files: DataFrame) -> DataFrame:
     """One row per flow, plus ``path`` and ``decode_error``."""
     types = {"s": "string", "i": "int", "q": "bigint", "?": "boolean"}
-    rows = _decode(files, _flow_records, _flow, [], [(n, types[t]) for n, t in FLOW_FIELDS], split_bytes)
+    rows = _decode(files, _flow_records, _flow, [], [(n, types[t]) for n, t in FLOW_FIELDS])
     return rows.withColumn("event_timestamp", from_nanos("nanos")).drop("nanos")
 
 
@@ -330,7 +321,7 @@ def flows_table(decoded: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def rejected_files(decoded: DataFrame) -> DataFrame:
-    """(path, decode_error) of the files that could not be read to their end."""
+    """(path, decode_error) of every record that could not be decoded and every file not read to its end."""
     return decoded.where(F.col("decode_error").isNotNull()).select("path", "decode_error")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nested import attribute
 from ..functions.times import from_nanos
@@ -22,20 +23,41 @@ RESOURCE_FIELDS = {
 }
 
 
+#: Where the JSON reader puts a line that it cannot parse.
+BAD = "_bad"
+
+
+def _nested(schema: str) -> str:
+    """The columns of a schema as the fields of a struct."""
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
 def read_documents(spark: SparkSession, path: str, schema: str, one_array_per_file: bool = False) -> DataFrame:
     """Documents of a folder. ``one_array_per_file``: a file is one JSON array on a single line.
 
     Such a file cannot be split while reading; its documents are rebalanced over tasks afterwards.
+    Lines that are not JSON of this schema are left out; ``rejected_documents`` lists them.
     """
-    docs = spark.read.schema(schema).json(path)
+    docs = parsed(spark.read.text(path), schema, one_array_per_file)
     return docs.hint("rebalance") if one_array_per_file else docs
 
 
+def parsed(lines: DataFrame, schema: str, arrays: bool = False) -> DataFrame:
+    """The documents of text lines, without those that cannot be parsed. ``arrays``: a line is a JSON array of
+    documents, or one of them. Lines are parsed once, whatever columns are asked for."""
+    lines = lines.where(F.trim("value") != "")
+    if arrays:
+        return lines.select(F.inline(F.from_json("value", f"array<struct<{_nested(schema)}>>")))
+    row = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    return lines.select(F.inline(F.array(row))).where(F.col(BAD).isNull()).drop(BAD)
+
+
 def rejected_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(path, line) of the lines that are not JSON of this schema; the readers give them as all-NULL rows."""
+    """(path, line) of the lines that are neither JSON of this schema nor an array of it."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
-    parsed = F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return lines.where(parsed["_bad"].isNotNull())
+    parsed = F.from_json("line", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    array = F.from_json("line", f"array<struct<{_nested(schema)}>>")
+    return lines.where((F.trim("line") != "") & parsed[BAD].isNotNull() & ~(F.ltrim("line").startswith("[") & array.isNotNull()))
 
 
 def logs_table(docs: DataFrame) -> DataFrame:

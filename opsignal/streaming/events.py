@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.documents import DOCUMENT_TABLES
+from ..sources.documents import DOCUMENT_TABLES, parsed
 
 
 def incremental_ingest(
@@ -20,13 +20,14 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Append the rows of new files in ``landing`` to ``target``.
 
+    Lines that are not JSON are never appended; ``rejected_documents`` lists them.
     The checkpoint records which files were taken, so a restart neither repeats nor skips one.
     Without ``interval`` everything present is read in batches of ``max_files_per_trigger`` files
     and the query ends; with one, for instance ``"1 minute"``, it keeps running.
     """
     schema, build = DOCUMENT_TABLES[table]
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).json(landing)
-    rows = build(docs).withColumn("ingested_at", F.current_timestamp())
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(landing)
+    rows = build(parsed(lines, schema)).withColumn("ingested_at", F.current_timestamp())
     writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).queryName(f"ingest_{table}").start(target)

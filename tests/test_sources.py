@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opsignal import fixtures as fx
 from opsignal.plans.build import GOLD, SILVER, build_all
-from opsignal.schemas import KEYS, RAW_INCIDENTS, SNAPSHOT, TRIGGERED
+from opsignal.schemas import KEYS, RAW_INCIDENTS, RAW_TRACES, SNAPSHOT, TRIGGERED
 from opsignal.sources import binary, documents, tables
 from opsignal.streaming.events import incremental_ingest
 
@@ -29,8 +29,7 @@ def write(folder: Path, name: str, content: bytes) -> None:
     (folder / name).write_bytes(content)
 
 
-@pytest.mark.parametrize("split_bytes", [binary.SPLIT_BYTES, 10])
-def test_metric_files(spark, tmp_path, split_bytes):
+def test_metric_files(spark, tmp_path):
     folder = tmp_path / "m"
     write(folder, "a.pb", fx.encode_metric_document(RESOURCE, "scope", POINTS))
     write(folder, "empty.pb", b"")
@@ -38,7 +37,7 @@ def test_metric_files(spark, tmp_path, split_bytes):
     write(folder, "wire.pb", b"\x0b\x01")
     write(folder, "note.txt", b"not a metric file")
     files = binary.read_files(spark, str(folder))
-    decoded = binary.decode_metrics(files, split_bytes)
+    decoded = binary.decode_metrics(files)
     got = {r.metric_name: r for r in binary.metrics_table(decoded).collect()}
     assert set(got) == {"cpu", "req", "lat"}
     assert got["cpu"].metric_value == 0.0 and got["req"].metric_value == -3.0
@@ -69,8 +68,7 @@ def test_numbers_beyond_a_bigint_do_not_fail_the_job(spark, tmp_path):
     assert binary.rejected_files(decoded).first().decode_error.startswith("number too long")
 
 
-@pytest.mark.parametrize("split_bytes", [binary.SPLIT_BYTES, 10])
-def test_flow_files(spark, tmp_path, split_bytes):
+def test_flow_files(spark, tmp_path):
     kinds = "".join(k for _, k in binary.FLOW_FIELDS)
     sample = {"s": "é", "i": -7, "q": NANOS, "?": True}
     good = fx.encode_flow_batch([tuple(sample[k] for k in kinds)] * 3, kinds)
@@ -78,15 +76,35 @@ def test_flow_files(spark, tmp_path, split_bytes):
     write(folder, "a.pb", good)
     write(folder, "magic.pb", b"XFLOW" + good[5:])
     write(folder, "short.pb", good[:-1])
-    decoded = binary.decode_flows(binary.read_files(spark, str(folder)), split_bytes)
+    decoded = binary.decode_flows(binary.read_files(spark, str(folder)))
     rows = binary.flows_table(decoded).collect()
     # the two whole records of the short file are kept, its broken one is reported
     assert len(rows) == 5 and {r.flow_id for r in rows} == {"é"}
     assert rows[0].src_port == -7 and rows[0].timeout is True and rows[0].event_timestamp.microsecond == 123456
     errors = {r.path.rsplit("/", 1)[-1] for r in binary.rejected_files(decoded).collect()}
     assert errors == {"magic.pb", "short.pb"}
+    alone = tmp_path / "one"
+    write(alone, "magic.pb", b"XFLOW" + good[5:])
     with pytest.raises(Exception, match="no flow batch header"):
-        binary.flows_table(decoded, strict=True).collect()
+        binary.flows_table(binary.decode_flows(binary.read_files(spark, str(alone))), strict=True).collect()
+
+
+def test_a_broken_record_between_good_ones(spark, tmp_path):
+    one = fx.encode_metric_document(RESOURCE, "scope", POINTS[:1])
+    other = fx.encode_metric_document(RESOURCE, "scope", POINTS[1:2])
+    write(tmp_path / "m", "a.pb", one + b"\x0a\x06\x12\x04\x12\x02\x0b\x01" + other)
+    decoded = binary.decode_metrics(binary.read_files(spark, str(tmp_path / "m")))
+    assert {r.metric_name for r in binary.metrics_table(decoded).collect()} == {"cpu", "req"}
+    assert binary.rejected_files(decoded).count() == 1
+
+    kinds = "".join(k for _, k in binary.FLOW_FIELDS)
+    sample = {"s": "é", "i": -7, "q": NANOS, "?": True}
+    good = fx.encode_flow_batch([tuple(sample[k] for k in kinds)] * 3, kinds)
+    first = next(binary._flow_records(good))[1]
+    start = good.index(first, good.index(first) + 1)
+    write(tmp_path / "f", "a.pb", good[:start] + b"\xff\xff" + good[start + 2 :])
+    decoded = binary.decode_flows(binary.read_files(spark, str(tmp_path / "f")))
+    assert binary.flows_table(decoded).count() == 2 and binary.rejected_files(decoded).count() == 1
 
 
 @pytest.mark.parametrize("table", list(fx.LANDING))
@@ -113,6 +131,19 @@ def test_rejected_documents(spark, tmp_path):
     write(tmp_path / "d", "x.json", b'{"incident_id":"1"}\n{oops\n')
     bad = documents.rejected_documents(spark, str(tmp_path / "d"), RAW_INCIDENTS).collect()
     assert [r.line for r in bad] == ["{oops"]
+    assert [r.incident_id for r in documents.ingest(spark, "bronze_incidents", str(tmp_path / "d")).collect()] == ["1"]
+    write(tmp_path / "t", "a.json", b'[{"resourceSpans":[]},{"resourceSpans":[]}]')
+    write(tmp_path / "t", "b.json", b"[{oops")
+    bad = documents.rejected_documents(spark, str(tmp_path / "t"), RAW_TRACES).collect()
+    assert [r.line for r in bad] == ["[{oops"]
+
+
+@pytest.mark.parametrize("table, key", [("bronze_incidents", "incident_id"), ("bronze_alerts", "alert_id"), ("bronze_topology_changes", "change_id")])
+def test_stream_passes_over_bad_lines(spark, tmp_path, table, key):
+    landing, target, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "offsets"))
+    write(tmp_path / "landing", "x.json", f'{{"{key}":"1"}}\n{{oops\n'.encode())
+    incremental_ingest(spark, table, landing, target, checkpoint).awaitTermination()
+    assert [r[key] for r in spark.read.parquet(target).collect()] == ["1"]
 
 
 def test_write_table_replaces_content_and_schema(spark, tmp_path):
