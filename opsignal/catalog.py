@@ -541,15 +541,16 @@ def v12_pattern_signals(spark, sf_dir):
 def v13_analysis_context(spark, sf_dir):
     t = Inputs(spark, sf_dir)
     doc = serve.analysis_context(t.patterns, t.services)
-    pattern = "array<struct<failure_pattern_id: string, root_service: string, priority_score: double>>"
-    service = "array<struct<service_name: string, risk_score: double, total_user_impact: bigint>>"
-    top = doc.select(F.posexplode(F.from_json(F.get_json_object("context", "$.top_failure_patterns"), pattern)).alias("p", "e"))
-    risky = doc.select(F.posexplode(F.from_json(F.get_json_object("context", "$.highest_risk_services"), service)).alias("p", "e"))
-    return top.select(F.lit("pattern").alias("part"), F.col("p").alias("place"), F.col("e.failure_pattern_id").alias("name"),
-                      F.col("e.priority_score").alias("score")).unionByName(
-        risky.select(F.lit("service").alias("part"), F.col("p").alias("place"), F.col("e.service_name").alias("name"),
-                     F.col("e.risk_score").alias("score"))
-    )
+    pattern = T.ArrayType(t.patterns.schema)
+    service = ("array<struct<service_name: string, risk_score: double, incident_count_as_root: bigint, total_revenue_impact: double, "
+               "total_user_impact: bigint, avg_mttr_minutes: double, unique_failure_patterns: bigint>>")
+
+    def part(name, path, schema):
+        entries = F.from_json(F.get_json_object("context", f"$.{path}"), schema, {"timestampFormat": serve.CONTEXT_TIME})
+        return doc.select(F.posexplode(entries).alias("place", "e")).select(F.lit(name).alias("part"), "place", "e.*")
+
+    return part("pattern", "top_failure_patterns", pattern).unionByName(
+        part("service", "highest_risk_services", service), allowMissingColumns=True)
 
 
 @query

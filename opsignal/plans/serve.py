@@ -227,14 +227,15 @@ def pattern_signals(incidents: DataFrame, alerts: DataFrame, pattern_id: str) ->
     return _newest(tied, "fired_at", "alert_id", 50), own
 
 
-CONTEXT_PATTERN = [
-    "failure_pattern_id",
+CONTEXT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+# Columns of a pattern that the report prints.
+REPORT_PATTERN = [
     "failure_pattern_name",
     "root_service",
     "domain",
     "occurrence_count",
     "trend_direction",
-    "priority_score",
     "total_revenue_impact",
     "total_affected_users",
     "avg_mttr_minutes",
@@ -255,9 +256,9 @@ def _top_services(services: DataFrame, n: int) -> DataFrame:
 
 
 def analysis_context(patterns: DataFrame, services: DataFrame, pattern_id: str | None = None) -> DataFrame:
-    """One row whose ``context`` is a JSON document: the top patterns and the ten riskiest services."""
+    """One row whose ``context`` is a JSON document: the top patterns, whole rows, and the ten riskiest services."""
     chosen = _top_patterns(patterns, pattern_id, 5).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("priority_score")).alias("_o"), *CONTEXT_PATTERN))).alias("a")
+        F.sort_array(F.collect_list(F.struct((-F.col("priority_score")).alias("_o"), *patterns.columns))).alias("a")
     )
     risky = _top_services(services, 10).agg(
         F.sort_array(
@@ -283,7 +284,7 @@ def analysis_context(patterns: DataFrame, services: DataFrame, pattern_id: str |
         F.col("a").alias("top_failure_patterns"),
         plain(risky).scalar().alias("highest_risk_services"),
     )
-    return plain(chosen).select(F.to_json(doc).alias("context"))
+    return plain(chosen).select(F.to_json(doc, {"timestampFormat": CONTEXT_TIME}).alias("context"))
 
 
 def _report_lines() -> str:
@@ -309,30 +310,34 @@ def _report_lines() -> str:
     summary = line(
         1, "1", "'Analysis of '", "how_many", "' recurring failure patterns reveals systemic reliability issues centered on **'",
         root(first), "'** in the **'", f"coalesce({first}.domain, 'unknown')", "'** domain. The top pattern has occurred **'",
-        f"{first}.occurrence_count", "' times** with a total revenue impact of **'", money(first), "'**.'",
+        f"coalesce({first}.occurrence_count, 0)", "' times** with a total revenue impact of **'", money(first), "'**.'",
     )
     facts = [
         ("'**'", name(first), "'**'"),
         ("'- Root Service: `'", root(first), "'`'"),
-        ("'- Occurrences: '", f"{first}.occurrence_count"),
-        ("'- Trend: '", f"{first}.trend_direction"),
-        ("'- Average MTTR: '", f"cast({first}.avg_mttr_minutes AS string)", "' minutes'"),
-        ("'- P1 incidents: '", f"{first}.p1_count"),
-        ("'- SLA breaches: '", f"{first}.sla_breach_count"),
-        ("'- Total user impact: '", f"{first}.total_affected_users", "' users affected'"),
+        ("'- Occurrences: '", f"coalesce({first}.occurrence_count, 0)"),
+        ("'- Trend: '", f"coalesce({first}.trend_direction, 'unknown')"),
+        ("'- Average MTTR: '", f"coalesce(cast({first}.avg_mttr_minutes AS string), '0')", "' minutes'"),
+        ("'- P1 incidents: '", f"coalesce({first}.p1_count, 0)"),
+        ("'- SLA breaches: '", f"coalesce({first}.sla_breach_count, 0)"),
+        ("'- Total user impact: '", f"coalesce({first}.total_affected_users, 0)", "' users affected'"),
         ("'- Recurrence interval: every '", f"coalesce(cast({first}.avg_days_between_occurrences AS string), 'N/A')", "' days'"),
     ]
-    head = [summary, *[line(2, str(i), *parts) for i, parts in enumerate(facts, 1)]]
+    # The headings of the report.
+    headings = ["Executive Summary", "Top Systemic Issue", "Remediation Roadmap", "Highest Risk Services"]
+    titles = [line(i, "0", f"'## {h}'") for i, h in enumerate(headings, 1)]
+    head = [titles[0], summary, titles[1], *[line(2, str(i), *parts) for i, parts in enumerate(facts, 1)], titles[2]]
     fix = line(
-        3, "i + 1", "i + 1", "'. **Fix '", name("e.p"), "'** (Priority Score: '", score("e.p.priority_score"), "') - Affecting `'",
-        root("e.p"), "'`, '", "e.p.occurrence_count", "' occurrences, '", money("e.p"), "' impact'",
+        3, "i + 1", "i + 1", "'. **Fix '", name("e.p"), "'** (Priority Score: '", score("coalesce(e.p.priority_score, 0D)"), "') - Affecting `'",
+        root("e.p"), "'`, '", "coalesce(e.p.occurrence_count, 0)", "' occurrences, '", money("e.p"), "' impact'",
     )
     risk = line(
-        4, "i + 1", "'- **'", "e.p.service_name", "'**: Risk Score '", score("e.p.risk_score"), "', '",
-        "e.p.incident_count_as_root", "' incidents as root cause, '", money("e.p"), "' revenue impact'",
+        4, "i + 1", "'- **'", "coalesce(e.p.service_name, 'N/A')", "'**: Risk Score '", score("coalesce(e.p.risk_score, 0D)"), "', '",
+        "coalesce(e.p.incident_count_as_root, 0)", "' incidents as root cause, '", money("e.p"), "' revenue impact'",
     )
     nothing = line(1, "1", "'No failure patterns detected in the analysis period.'")
-    found = f"concat(array({', '.join(head)}), transform(a, (e, i) -> {fix}), transform(b, (e, i) -> {risk}))"
+    found = f"concat(array({', '.join(head)}), transform(a, (e, i) -> {fix}), "
+    found += f"filter(array({titles[3]}), x -> size(b) > 0), transform(b, (e, i) -> {risk}))"
     return f"CASE WHEN size(a) = 0 THEN array({nothing}) ELSE {found} END"
 
 
@@ -348,7 +353,7 @@ def rule_based_report(patterns: DataFrame, services: DataFrame, pattern_id: str
 
     chosen = _top_patterns(patterns, pattern_id, 5)
     five = chosen.orderBy(*_pattern_order("priority_score")).limit(5) if pattern_id else chosen
-    shown = [c for c in CONTEXT_PATTERN if c not in PATTERN_KEY and c != "priority_score"]
+    shown = [c for c in REPORT_PATTERN if c not in PATTERN_KEY]
     tops = gathered(five, "priority_score", PATTERN_KEY, shown)
     risky = gathered(_top_services(services, 5), "risk_score", ["service_name"], ["incident_count_as_root", "total_revenue_impact"])
     how_many = chosen.agg(F.count("*")).scalar() if pattern_id else F.size("a")
