@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Bytes of ids in one batch on the way back to Spark.
 BATCH_BYTES = 1 << 23
@@ -37,13 +37,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        words = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         rows: list[list] = [[] for _ in fields]
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.encode(text.as_py()), dtype=encoder.dtype).astype("<u4").tobytes() + end
+                ids = np.frombuffer(words.encode(text.as_py()), dtype=words.dtype).astype("<u4").tobytes() + end
                 at, n = 0, len(ids) // 4
                 for length in piece_lengths(n, longest):
                     for column, value in zip(rows, (doc_id, at, length, ids[4 * at : 4 * (at + length)], n)):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -110,3 +111,9 @@ class Encoder:
                 if len(self.words) < WORDS and len(words[i]) <= LONGEST and "\n" not in words[i]:
                     self.words[words[i]] = ids
         return first + b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so that its tasks share what they remember."""
+    return Encoder(path)

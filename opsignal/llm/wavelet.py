@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_folder
 from .common import staged, whole_text
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC = b"WMATRIX1"
 #: Bits per entry of the rank directory.
@@ -181,16 +181,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        bits = max(1, max(encoder.tokenizer.get_vocab_size() - 1, end_id).bit_length())
+        words = encoder(tokenizer)
+        end = np.array([end_id], dtype=words.dtype).tobytes()
+        bits = max(1, max(words.tokenizer.get_vocab_size() - 1, end_id).bit_length())
         part, seq, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pd.DataFrame:
             files, root = _open(folder)
             files.create_dir(root, recursive=True)
-            lengths = np.array([len(x) for x in held]) // encoder.dtype.itemsize
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), dtype=encoder.dtype), bits)
+            lengths = np.array([len(x) for x in held]) // words.dtype.itemsize
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), dtype=words.dtype), bits)
             name = f"part-{part:06d}-{seq:06d}.wm"
             attempt = f"{root}/.{name}-{uuid.uuid4().hex}"
             with files.open_output_stream(attempt) as out:
@@ -200,9 +200,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                held.append(encoder.encode(text) + end)
+                held.append(words.encode(text) + end)
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
-                size += len(held[-1]) // encoder.dtype.itemsize
+                size += len(held[-1]) // words.dtype.itemsize
                 if size >= shard_tokens:
                     yield close()
                     seq, held, ids, size = seq + 1, [], [], 0
