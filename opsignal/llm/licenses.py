@@ -67,7 +67,10 @@ def statements(files: DataFrame, words: DataFrame, idf: DataFrame, threshold: fl
     key = ["path", "digest", "total", "line", "n_words"]
     length = counted.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("length"))
     dots = counted.join(weights.select("license", "token", "w"), "token").groupBy(*key, "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dots.join(length, key).join(norms, "license").withColumn("score", F.least(F.lit(1.0), F.col("dot") / (F.col("length") * F.col("norm"))))
+    length = length.withColumnRenamed("path", "_p").drop("total", "n_words")
+    same = F.col("path").eqNullSafe(F.col("_p"))
+    scored = dots.alias("x").join(length.alias("y"), same & (F.col("x.digest") == F.col("y.digest")) & (F.col("x.line") == F.col("y.line")))
+    scored = scored.select(*[f"x.{k}" for k in key], "license", "dot", "length").join(norms, "license").withColumn("score", F.least(F.lit(1.0), F.col("dot") / (F.col("length") * F.col("norm"))))
     good = scored.where(F.col("score") >= threshold).groupBy(*key).agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return good.select(*key, F.col("b.license").alias("license"), "score")
 

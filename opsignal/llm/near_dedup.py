@@ -16,11 +16,11 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5 coordinates: texts of similarity 0.8 share none with probability 3 in a million.
 BANDS, ROWS = 32, 5
-#: Two texts that are both this near to a third can be similar; below, one that is similar to the third cannot
-#: be similar to the other (distances 1 - similarity obey the triangle inequality).
-FAR = 2 * SIMILARITY - 1
-#: Groups of at most so many texts are finished at once, larger ones pivot by pivot.
-SMALL = 64
+#: Pairs whose signatures agree in a smaller share are not compared exactly. At similarity 0.8 that is more than
+#: five standard deviations off.
+AGREE = 0.62
+#: Nodes of a group that meet in one task at most (in expectation).
+BLOCK = 1024
 
 u64 = np.uint64
 STEP, BASE = u64(0x9E3779B97F4A7C15), 0x100000001B3
@@ -133,20 +133,22 @@ def set_id(found: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, id (of the set of shingles), n (its size), bands (keys)."""
+    """doc_id, id (of the set of shingles), n (its size), bands (keys), signature (16 bits a coordinate)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sizes, bands = [], [], []
+            ids, sizes, bands, marks = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
                 ids.append(set_id(found))
                 sizes.append(len(found))
-                bands.append(band_keys(signature(found)) if len(found) else np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "n": sizes, "bands": bands})
+                names = signature(found) if len(found) else np.zeros(0, dtype=u64)
+                bands.append(band_keys(names) if len(found) else names.view(np.int64))
+                marks.append((names >> u64(48)).astype("<u2").tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "n": sizes, "bands": bands, "signature": marks})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInPandas(read, "doc_id long, id long, n long, bands array<long>")
+    return texts.mapInPandas(read, "doc_id long, id long, n long, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,24 +168,73 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInPandas(read, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity), exact, for pairs whose sizes allow more than FAR."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar, exactly."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.select("a", "b", (common / (F.size("_x") + F.size("_y") - common)).alias("similarity"))
+    return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select("a", "b")
+
+
+def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> DataFrame:
+    """Pairs (a, b) of nodes of a group that are in different components, of sizes that allow the similarity,
+    and whose signatures agree often enough.
+
+    ``groups``: key, id, component, n, signature, m (nodes in the group). Groups are cut into blocks that
+    meet pairwise, so that a large one is many tasks of bounded size; only the pairs found leave a task.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK)
+    mine = F.pmod(F.xxhash64("id"), F.col("_nb"))
+    meets = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1),
+        lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j"), (x < F.col("_b")).alias("right")),
+    )
+    rows = groups.withColumn("_nb", blocks).withColumn("_b", mine).select("key", "id", "component", "n", "signature", F.explode(meets).alias("_m"))
+    rows = rows.select("key", "_m.i", "_m.j", "_m.right", "id", "component", "n", "signature")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame | None:
+        ids, comps, sizes = (part[c].to_numpy() for c in ("id", "component", "n"))
+        right = part["right"].to_numpy()
+        marks = np.stack([np.frombuffer(x, dtype="<u2") for x in part["signature"]])
+        x, y = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(part)),) * 2
+        found = []
+        for i in x:
+            near = y[(comps[y] != comps[i]) & (sizes[y] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[y])]
+            if len(near):
+                found += [(ids[i], b) for b in ids[near[(marks[near] == marks[i]).mean(axis=1) >= agree]]]
+        pairs = {(min(a, b), max(a, b)) for a, b in found}
+        return pd.DataFrame(list(pairs), columns=["a", "b"]) if pairs else None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by group and block pair; one may go on in the next batch
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            names = batch[["key", "i", "j"]].to_numpy()
+            if held and (held[-1][["key", "i", "j"]].to_numpy()[-1] != names[0]).any():
+                yield from filter(lambda x: x is not None, [compare(pd.concat(held))])
+                held = []
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), len(batch)]
+            for lo, hi in zip(starts, starts[1:]):
+                held.append(batch.iloc[lo:hi])
+                if hi < len(batch):
+                    yield from filter(lambda x: x is not None, [compare(pd.concat(held) if len(held) > 1 else held[0])])
+                    held = []
+        if held:
+            yield from filter(lambda x: x is not None, [compare(pd.concat(held))])
+
+    block = ["key", "i", "j"]
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(read, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with the class it is in: documents connected by links of this similarity or more.
 
     Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node. Nodes that
-    share a band are compared exactly with the smallest node of their group, not with each other. Links
-    make components; a group that is then not all in one component is taken up again without that node:
-    the nodes near to it by themselves, and those not similar to it by themselves, as no link can join the
-    similar ones with the far ones. Groups of at most SMALL nodes are then compared in full. This ends when no
-    group is left, so of the pairs that share a band none is lost and none is cut off.
+    share a band are a group. All are compared exactly with the smallest node of their group; the links make
+    components. In a group that is then not all in one component, the signatures of all nodes of different
+    components are compared, and exactly those pairs that may be similar. So of the pairs that share a band none
+    is cut off, and a large group of near copies costs one comparison a member.
 
     Returns doc_id, class_id (its smallest doc_id), class_size, kept (whether it is the one that stays).
 
@@ -192,65 +243,40 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     and marked alike. The same doc_id with another text is another document. Null doc_ids count last; a
     class of them has a null class_id. Other columns are ignored. An empty table gives an empty result.
     """
-    far = 2 * similarity - 1
     rows = staged(sketch(docs), "sketches")
     nodes = staged(
-        rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n")), "nodes"
+        rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n"), F.first("signature").alias("signature")),
+        "nodes",
     )
     banded = rows.select("id", F.explode("bands").alias("key")).distinct()
     groups = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
     members = staged(banded.join(groups, "key").select("key", "id", "pivot", "m"), "members")
     size = nodes.select("id", "n")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Exact similarities of distinct pairs whose sizes allow them to be near."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The similar ones of these distinct pairs."""
         sized = (
-            pairs.distinct()
-            .join(size.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a")
+            pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a")
             .join(size.select(F.col("id").alias("b"), F.col("n").alias("_nb")), "b")
-            .where(F.least("_na", "_nb") >= far * F.greatest("_na", "_nb"))
+            .where(F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb"))
             .select("a", "b")
         )
         sized = staged(sized, "pairs")
         wanted = sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id"))).distinct()
         sets = staged(shingle_sets(docs, wanted.join(nodes.select("id", "doc_id"), "id")), "shingle-sets")
-        return staged(verified(sized, sets), "similarities")
-
-    known = compared(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    found = components(known.where(F.col("similarity") >= similarity))
-    # what is left: groups of three or more that are in several components
-    work = members.where("m > 2")
-    while True:
-        placed = work.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = (
-            placed.groupBy("key")
-            .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            .where("_lo != _hi").select("key")
-        )
-        open_rows = placed.join(split, "key").where("id != pivot")
-        to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "similarity")
-        rated = open_rows.join(to_pivot, ["pivot", "id"], "left").withColumn("_s", F.coalesce("similarity", F.lit(0.0)))
-        middle = F.max(((F.col("_s") >= far) & (F.col("_s") < similarity)).cast("int"))
-        with_middle = rated.groupBy("key").agg(middle.alias("_mid")).where("_mid = 1").select("key")
-        near = rated.where(F.col("_s") >= far).join(with_middle, "key").withColumn("key", F.xxhash64("key", F.lit(1)))
-        others = rated.where(F.col("_s") < similarity).withColumn("key", F.xxhash64("key", F.lit(2)))
-        again = staged(near.unionByName(others).select("key", "id", "component"), "open-members")
-        counted = (
-            again.groupBy("key")
-            .agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            .where("_lo != _hi").drop("_lo", "_hi")
-        )
-        work = staged(again.join(counted, "key"), "open-groups")
-        if work.isEmpty():
-            break
-        few = work.where(F.col("m") <= SMALL)
-        x, y = few.select("key", F.col("id").alias("a"), F.col("component").alias("_ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("_cb"))
-        pairs = x.join(y, "key").where("a < b AND _ca != _cb").select("a", "b")
-        work = work.where(F.col("m") > SMALL).select("key", "id", "pivot", "m")
-        star = work.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        new = compared(pairs.unionByName(star).join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        known = staged(known.unionByName(new), "similarities")
-        found = components(known.where(F.col("similarity") >= similarity))
+        return staged(verified(sized, sets, similarity), "links")
+
+    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    links = linked(star)
+    found = components(links)
+    placed = members.where("m > 2").join(found, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
+    split = (
+        placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
+    )
+    open_groups = placed.join(split, "key").join(nodes.select("id", "n", "signature"), "id")
+    pairs = staged(screened(open_groups, similarity).join(star, ["a", "b"], "left_anti"), "screened")
+    if not pairs.isEmpty():
+        found = components(links.unionByName(linked(pairs)))
     classed = nodes.join(found, "id", "left").select("id", "doc_id", "n_docs", F.coalesce("component", "id").alias("class"))
     classed = staged(classed, "classes")
     per_class = staged(
@@ -261,7 +287,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     by_node = join_counted(classed.select("id", "n_docs", "class"), per_class, "class", "_nodes", total)
     by_node = staged(by_node.select("id", "n_docs", "class_id", "class_size"), "node-classes")
     out = join_counted(rows.select("doc_id", "id"), by_node, "id", "n_docs", rows.count())
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("id").alias("set_id"))
+    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
