@@ -6,6 +6,8 @@ silver incidents are not needed, so callers may pass the join-free form.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,17 +187,38 @@ def change_stats(changes: DataFrame) -> DataFrame:
     )
 
 
+def by_key(key: list[str], **parts: DataFrame) -> DataFrame:
+    """One row per key out of tables that have one row per key and no other column in common, and ``sources``,
+    the tables it came from. A key with a missing part is kept apart per table, as no equality ever matches it."""
+    tagged = [df.withColumn("_source", F.lit(name)) for name, df in parts.items()]
+    rows = tagged[0]
+    for df in tagged[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    rows = rows.withColumn("_apart", F.when(missing, F.col("_source")))
+    values = [c for c in rows.columns if c not in (*key, "_source", "_apart")]
+    return rows.groupBy(*key, "_apart").agg(
+        *[F.max(c).alias(c) for c in values], F.collect_set("_source").alias("sources")
+    ).drop("_apart")
+
+
 def service_risk(incidents: DataFrame, health: DataFrame, changes: DataFrame) -> DataFrame:
     """Every service that caused, suffered or reported anything, with its risk score but no rank.
 
     Change figures attach to services that are root or impacted somewhere, not to those known from
     health alone.
     """
-    involved = incident_stats(incidents).join(impacted_stats(incidents), "service_name", "full")
-    touched = involved.join(
-        change_stats(changes).withColumnRenamed("service", "service_name"), "service_name", "left"
+    merged = by_key(
+        ["service_name"],
+        root=incident_stats(incidents),
+        hit=impacted_stats(incidents),
+        health=health_stats(health),
+        change=change_stats(changes).withColumnRenamed("service", "service_name"),
     )
-    merged = touched.join(health_stats(health), "service_name", "full")
+    involved = F.array_contains("sources", "root") | F.array_contains("sources", "hit")
+    merged = merged.where(involved | F.array_contains("sources", "health"))
+    for c in ("total_changes", "changes_followed_by_incidents"):
+        merged = merged.withColumn(c, F.when(involved, F.col(c)))
     out = merged.select(
         "service_name",
         F.coalesce("business_unit", F.lit("shared-infrastructure")).alias("business_unit"),
@@ -343,9 +366,13 @@ def domain_changes_daily(changes: DataFrame) -> DataFrame:
 def domain_impact_summary(incidents: DataFrame, alerts: DataFrame, changes: DataFrame) -> DataFrame:
     """Domain by day, whichever of the three sources has rows."""
     key = ["domain", "summary_date"]
-    out = domain_incidents_daily(incidents).withColumnRenamed("incident_date", "summary_date")
-    out = out.join(domain_alerts_daily(alerts).withColumnRenamed("alert_date", "summary_date"), key, "full")
-    out = out.join(domain_changes_daily(changes).withColumnRenamed("change_date", "summary_date"), key, "full")
+    daily = domain_incidents_daily(incidents).drop("affected_services", "failure_patterns")
+    out = by_key(
+        key,
+        incident=daily.withColumnRenamed("incident_date", "summary_date"),
+        alert=domain_alerts_daily(alerts).withColumnRenamed("alert_date", "summary_date"),
+        change=domain_changes_daily(changes).withColumnRenamed("change_date", "summary_date"),
+    )
     measures = (
         "total_blast_radius",
         "total_revenue_impact",
