@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
-BROADCAST_ROWS = 100_000
 
-
-def attach(rows: DataFrame, lookup: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows`` left-joined with ``lookup``, which has one narrow row per key.
 
-    The lookup is computed once and counted. Up to ``broadcast_rows`` rows it travels to the large
-    side, which then needs no shuffle, however few keys share its rows. Beyond that both sides are
-    shuffled and adaptive execution splits the partitions of hot keys.
+    The lookup is written to the shared folder and read back, so the planner knows its bytes: below the
+    session's broadcast threshold it travels to the large side, beyond that both sides are shuffled and
+    adaptive execution splits the partitions of hot keys.
     """
-    lookup = cut_lineage(lookup)
-    if lookup.count() <= broadcast_rows:
-        lookup = F.broadcast(lookup)
-    return rows.join(lookup, key, "left")
+    return rows.join(stored(lookup, "lookup"), key, "left")

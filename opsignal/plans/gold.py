@@ -17,6 +17,7 @@ from ..functions.times import whole_minutes
 from ..operators.intervals import change_incident_matches
 from ..operators.lookups import attach
 from ..operators.ordering import earliest, row_numbers
+from ..session import stored
 
 
 def _severity_counts(*levels: str):
@@ -37,33 +38,45 @@ def _with_pattern(incidents: DataFrame) -> DataFrame:
 
 
 def impacted_services_by_pattern(incidents: DataFrame) -> DataFrame:
+    """Distinct services first, spread over all tasks, then the list."""
     listed = _with_pattern(incidents).select("failure_pattern_id", F.explode("impacted_services").alias("svc"))
-    return listed.groupBy("failure_pattern_id").agg(_set_of("svc").alias("all_impacted_services"))
+    return listed.distinct().groupBy("failure_pattern_id").agg(_set_of("svc").alias("all_impacted_services"))
 
 
 def pattern_stats(incidents: DataFrame) -> DataFrame:
-    return _with_pattern(incidents).groupBy(*PATTERN_GRAIN).agg(
-        earliest("business_unit", "created_at", "business_unit").alias("business_unit"),
-        F.count("*").alias("occurrence_count"),
-        F.avg("mttr_minutes").alias("avg_mttr_minutes"),
+    """In two steps: by minutes and texts with fixed-width states, then percentiles and texts over those rows."""
+    totals = {
+        "revenue_impact_usd": "total_revenue_impact",
+        "affected_user_count": "total_affected_users",
+        "servicenow_ticket_count": "total_servicenow_tickets",
+        "servicenow_duplicate_tickets": "total_duplicate_tickets",
+    }
+    texts = ("business_unit", "revenue_model", "root_cause_explanation")
+    fine = _partials(
+        _with_pattern(incidents),
+        [*PATTERN_GRAIN, "mttr_minutes", *texts],
+        ("blast_radius", "revenue_impact_usd", "affected_user_count"),
+        ("servicenow_ticket_count", "servicenow_duplicate_tickets"),
+        most=("created_at", "blast_radius"),
+    )
+    minutes = F.expr("try_divide(sum(mttr_minutes * n), sum(if(mttr_minutes IS NULL, 0, n)))")
+    return fine.groupBy(*PATTERN_GRAIN).agg(
+        *[earliest(c, "first_at", c).alias(c) for c in texts],
+        F.sum("n").alias("occurrence_count"),
+        minutes.alias("avg_mttr_minutes"),
         F.max("mttr_minutes").alias("max_mttr_minutes"),
         F.min("mttr_minutes").alias("min_mttr_minutes"),
-        F.percentile("mttr_minutes", 0.5).alias("p50_mttr_minutes"),
-        F.percentile("mttr_minutes", 0.95).alias("p95_mttr_minutes"),
-        F.avg("blast_radius").alias("avg_blast_radius"),
-        F.max("blast_radius").alias("max_blast_radius"),
-        F.sum("revenue_impact_usd").alias("total_revenue_impact"),
-        F.avg("revenue_impact_usd").alias("avg_revenue_impact"),
-        F.sum("affected_user_count").alias("total_affected_users"),
-        F.avg("affected_user_count").alias("avg_affected_users"),
-        F.sum("servicenow_ticket_count").alias("total_servicenow_tickets"),
-        F.sum("servicenow_duplicate_tickets").alias("total_duplicate_tickets"),
-        *_severity_counts("P1", "P2", "P3"),
-        count_if(F.col("sla_breached")).alias("sla_breach_count"),
-        F.min("created_at").alias("first_occurrence"),
-        F.max("created_at").alias("last_occurrence"),
-        earliest("revenue_model", "created_at", "revenue_model").alias("revenue_model"),
-        earliest("root_cause_explanation", "created_at", "root_cause_explanation").alias("root_cause_explanation"),
+        F.percentile("mttr_minutes", 0.5, F.col("n")).alias("p50_mttr_minutes"),
+        F.percentile("mttr_minutes", 0.95, F.col("n")).alias("p95_mttr_minutes"),
+        _mean("blast_radius").alias("avg_blast_radius"),
+        F.max("blast_radius_max").alias("max_blast_radius"),
+        *[F.sum(f"{c}_sum").alias(name) for c, name in totals.items()],
+        _mean("revenue_impact_usd").alias("avg_revenue_impact"),
+        _mean("affected_user_count").alias("avg_affected_users"),
+        *[F.sum(c).alias(c) for c in ("p1_count", "p2_count", "p3_count")],
+        F.sum("sla").alias("sla_breach_count"),
+        F.min("first_at").alias("first_occurrence"),
+        F.max("created_at_max").alias("last_occurrence"),
         # the root service is part of the grain, so its set has one member (none for NULL)
         F.when(F.col("root_service").isNull(), F.array().cast("array<string>"))
         .otherwise(F.array("root_service"))
@@ -128,7 +141,9 @@ def _mean(name: str):
     return F.expr(f"try_divide(sum({name}_sum), sum({name}_n))")
 
 
-def _partials(incidents: DataFrame, keys: list[str], means: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+def _partials(
+    incidents: DataFrame, keys: list[str], means: tuple[str, ...], sums: tuple[str, ...], most: tuple[str, ...] = ()
+) -> DataFrame:
     """First of two aggregation steps, by fine keys, with fixed-width states only.
 
     Text states such as "value of the earliest row" would make Spark sort the raw rows; over the far
@@ -141,6 +156,7 @@ def _partials(incidents: DataFrame, keys: list[str], means: tuple[str, ...], sum
         count_if(F.col("sla_breached")).alias("sla"),
         *[f(c).alias(f"{c}_{tag}") for c in means for f, tag in ((F.sum, "sum"), (F.count, "n"))],
         *[F.sum(c).alias(f"{c}_sum") for c in sums],
+        *[F.max(c).alias(f"{c}_max") for c in most],
     )
 
 
@@ -316,7 +332,8 @@ def change_type_stats(pairs: DataFrame) -> DataFrame:
 
 
 def change_incident_correlation(changes: DataFrame, incidents: DataFrame) -> DataFrame:
-    pairs = change_incident_pairs(changes, incidents)
+    # the most expensive join of the build: once, for the rates and for the result
+    pairs = stored(change_incident_pairs(changes, incidents), "pairs")
     rates = change_type_stats(pairs).select(
         "change_type",
         F.col("incident_rate_pct").alias("change_type_incident_rate"),
@@ -330,14 +347,21 @@ def change_incident_correlation(changes: DataFrame, incidents: DataFrame) -> Dat
 
 
 def domain_incidents_daily(incidents: DataFrame) -> DataFrame:
-    return incidents.groupBy("domain", F.to_date("created_at").alias("incident_date")).agg(
-        F.count("*").alias("incident_count"),
-        *_severity_counts("P1", "P2", "P3"),
-        F.avg("mttr_minutes").alias("avg_mttr"),
-        F.sum("blast_radius").alias("total_blast_radius"),
-        F.sum("revenue_impact_usd").alias("total_revenue_impact"),
-        F.sum("affected_user_count").alias("total_affected_users"),
-        count_if(F.col("sla_breached")).alias("sla_breaches"),
+    """In two steps, so that the sets are made of distinct services and patterns, not of raw rows."""
+    fine = _partials(
+        incidents.withColumn("incident_date", F.to_date("created_at")),
+        ["domain", "incident_date", "root_service", "failure_pattern_id"],
+        ("mttr_minutes",),
+        ("blast_radius", "revenue_impact_usd", "affected_user_count"),
+    )
+    return fine.groupBy("domain", "incident_date").agg(
+        F.sum("n").alias("incident_count"),
+        *[F.sum(c).alias(c) for c in ("p1_count", "p2_count", "p3_count")],
+        _mean("mttr_minutes").alias("avg_mttr"),
+        F.sum("blast_radius_sum").alias("total_blast_radius"),
+        F.sum("revenue_impact_usd_sum").alias("total_revenue_impact"),
+        F.sum("affected_user_count_sum").alias("total_affected_users"),
+        F.sum("sla").alias("sla_breaches"),
         _set_of("root_service").alias("affected_services"),
         _set_of("failure_pattern_id").alias("failure_patterns"),
     ).select(

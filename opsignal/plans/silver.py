@@ -37,11 +37,12 @@ def scored_incidents(incidents: DataFrame) -> DataFrame:
 
 
 def correlated_alerts(alerts: DataFrame) -> DataFrame:
-    """Per incident id: sorted distinct alert names and the number of alerts."""
-    named = alerts.where(F.col("incident_id").isNotNull())
+    """Per incident id: sorted distinct alert names and the number of alerts. Counted by name first, so that
+    the raw rows meet fixed-width states only."""
+    named = alerts.where(F.col("incident_id").isNotNull()).groupBy("incident_id", "alert_name").agg(F.count("*").alias("n"))
     return named.groupBy("incident_id").agg(
-        F.sort_array(F.collect_set("alert_name")).alias("correlated_alert_types"),
-        F.count("*").alias("correlated_alert_count"),
+        F.sort_array(F.collect_list("alert_name")).alias("correlated_alert_types"),
+        F.sum("n").alias("correlated_alert_count"),
     )
 
 

@@ -105,8 +105,8 @@ def test_ranking_covers_health_only_services_without_their_changes(spark):
 def test_ranges_give_the_same_numbers_as_one_window(spark):
     df = spark.range(3000).selectExpr("concat('n', id) AS name", "pmod(xxhash64(id), 7) / 2 AS score")
     order = [-F.col("score"), F.col("name")]
-    split = row_numbers(df, "rank", order, "name", one_task_rows=10)
-    whole = row_numbers(df, "rank", order, "name")
+    split = row_numbers(df, "rank", order, "name", ranges=10)
+    whole = row_numbers(df, "rank", order, "name", ranges=1)
     assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
     assert split.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (1, 3000, 3000)
 
