@@ -7,6 +7,7 @@ form two engines print alike: times and dates as text, lists sorted and joined,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,21 @@ from .streaming.events import incremental_ingest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# A figure by which the rows of a written table are compared.
+FIGURES = {
+    "silver_incidents": "impact_score",
+    "silver_alerts": "duration_minutes",
+    "silver_changes": "incidents_within_24h",
+    "silver_service_health": "health_score",
+    "silver_business_impact": "weighted_downtime_minutes",
+    "silver_servicenow_correlation": "duplicate_pct",
+    "gold_root_cause_patterns": "priority_score",
+    "gold_service_risk_ranking": "risk_score",
+    "gold_change_incident_correlation": "correlation_strength",
+    "gold_domain_impact_summary": "domain_risk_score",
+    "gold_business_impact_summary": "total_revenue_impact",
+}
+
 # Parameters of the parameterised queries; the SQL side uses the same.
 SERVICE, DOMAIN, PATTERN, DAYS = "svc-7", "application", "FP-7", 20
 
@@ -215,9 +231,19 @@ def q1_pk_check(spark, sf_dir):
     return tables.key_violations(Inputs(spark, sf_dir).alerts, ["incident_id"])
 
 
+def _all_tables(spark, sf_dir):
+    return build.derive(fx.bronze(spark, sf_dir), {**build.SILVER, **build.GOLD})
+
+
+@query
+def q1_key_audit(spark, sf_dir):
+    """Every table with a declared key."""
+    return tables.key_audit(_all_tables(spark, sf_dir), KEYS)
+
+
 @query
 def q2_row_count_audit(spark, sf_dir):
-    return tables.row_counts(fx.bronze(spark, sf_dir))
+    return tables.row_counts(_all_tables(spark, sf_dir))
 
 
 @query
@@ -874,3 +900,15 @@ def r1_incremental_change_ingest(spark, sf_dir):
 def p1_build_all(spark, sf_dir):
     built = build.build_all(spark, fx.bronze(spark, sf_dir), new_folder(spark, "tables"))
     return tables.row_counts(built)
+
+
+@query
+def p1_written_tables(spark, sf_dir):
+    """One figure of every row of the silver and gold tables, as written and read back."""
+    built = build.build_all(spark, fx.bronze(spark, sf_dir), new_folder(spark, "tables"))
+    parts = [
+        built[name].select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS[name]]).alias("row_key"),
+                           F.col(figure).cast("double").alias("figure"))
+        for name, figure in FIGURES.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

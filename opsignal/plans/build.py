@@ -20,6 +20,14 @@ DAY_OF = {
     "bronze_network_flows": "event_timestamp",
 }
 
+# The column with the time of the run; every other silver and gold table has computed_at.
+STAMP: dict[str, str | None] = {
+    "silver_incidents": "enriched_at",
+    "silver_alerts": "enriched_at",
+    "silver_changes": "enriched_at",
+    "silver_servicenow_correlation": None,
+}
+
 # table -> (builder, names of the tables it reads); order is the order of writing.
 SILVER: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "silver_incidents": (silver.silver_incidents, ("bronze_incidents", "bronze_alerts", "bronze_topology_changes")),
@@ -45,7 +53,7 @@ def derive(tables: Tables, targets: dict) -> Tables:
     """The targets as plans over ``tables``, without writing anything."""
     out = dict(tables)
     for name, (build, inputs) in targets.items():
-        out[name] = build(*[out[i].drop("ingested_at", "computed_at", "event_date") for i in inputs])
+        out[name] = build(*[out[i].drop("ingested_at", "enriched_at", "computed_at", "event_date") for i in inputs])
     return out
 
 
@@ -65,7 +73,7 @@ def build_all(spark: SparkSession, bronze: Tables, folder: str, at_once: int = 4
         return write_table(df, f"{folder}/{name}", "ingested_at", "event_date" if name in DAY_OF else None)
 
     def refine(name: str) -> DataFrame:
-        return write_table(derive(done, {name: {**SILVER, **GOLD}[name]})[name], f"{folder}/{name}")
+        return write_table(derive(done, {name: {**SILVER, **GOLD}[name]})[name], f"{folder}/{name}", STAMP.get(name, "computed_at"))
 
     with ThreadPoolExecutor(at_once) as pool:
         for names, make in ((bronze, land), (SILVER, refine), (GOLD, refine)):

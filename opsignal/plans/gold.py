@@ -40,7 +40,10 @@ def _with_pattern(incidents: DataFrame) -> DataFrame:
 def impacted_services_by_pattern(incidents: DataFrame) -> DataFrame:
     """Distinct services first, spread over all tasks, then the list."""
     listed = _with_pattern(incidents).select("failure_pattern_id", F.explode("impacted_services").alias("svc"))
-    return listed.distinct().groupBy("failure_pattern_id").agg(_set_of("svc").alias("all_impacted_services"))
+    return listed.distinct().groupBy("failure_pattern_id").agg(
+        # not collect_set, before which Spark would take the distinct away
+        F.sort_array(F.collect_list("svc")).alias("all_impacted_services")
+    )
 
 
 def pattern_stats(incidents: DataFrame) -> DataFrame:

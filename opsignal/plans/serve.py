@@ -433,7 +433,10 @@ def hour_label(ts: str):
 
 
 def metrics_window(metrics: DataFrame, service: str, start: str, end: str) -> DataFrame:
-    """Hourly maxima and mean latency of one service between two instants, both included."""
+    """Hourly maxima and mean latency of one service between two instants, both included. A table laid out by
+    day is read for these days only."""
+    if "event_date" in metrics.columns:
+        metrics = metrics.where(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     inside = metrics.where(
         (F.col("service_name") == F.lit(service))
         & F.col("event_timestamp").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))

@@ -163,9 +163,10 @@ def daily_vitals(metrics: DataFrame) -> DataFrame:
     name, value = F.col("metric_name"), F.col("metric_value")
     aggs = [F.count(F.when(name == CPU, 1)).alias("_cpu_points")]
     for metric, label in ((CPU, "cpu_pct"), (MEMORY, "memory_pct"), (LATENCY, "latency_ms")):
-        picked = F.when(name == metric, value)
+        # a day that is not known holds for the CPU points themselves only: nothing can be put beside them
+        picked = F.when((name == metric) & ((name == CPU) | F.col("event_timestamp").isNotNull()), value)
         aggs += [F.avg(picked).alias(f"avg_{label}"), F.max(picked).alias(f"max_{label}")]
-    latency = [F.sum(F.when(name == LATENCY, F.col(c))) for c in ("histogram_sum", "histogram_count")]
+    latency = [F.sum(F.when((name == LATENCY) & F.col("event_timestamp").isNotNull(), F.col(c))) for c in ("histogram_sum", "histogram_count")]
     aggs.append((latency[0] / F.nullif(latency[1], F.lit(0))).alias("hist_avg_latency_ms"))
     wanted = metrics.where(F.col("service_name").isNotNull() & name.isin(CPU, MEMORY, LATENCY))
     daily = wanted.groupBy("service_name", F.to_date("event_timestamp").alias("health_date")).agg(*aggs)

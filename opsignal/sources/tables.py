@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..schemas import SNAPSHOT
 
 
-def write_table(df: DataFrame, path: str, stamp: str = "computed_at", partition_by: str | None = None) -> DataFrame:
-    """Replace the table at ``path``, content and schema, with the run time in column ``stamp``."""
-    writer = df.withColumn(stamp, F.current_timestamp()).write.mode("overwrite")
+def write_table(df: DataFrame, path: str, stamp: str | None = "computed_at", partition_by: str | None = None) -> DataFrame:
+    """Replace the table at ``path``, content and schema, with the run time in column ``stamp``, if any."""
+    writer = (df.withColumn(stamp, F.current_timestamp()) if stamp else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -85,6 +85,12 @@ def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def key_audit(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """(table_name, violations): how many key values of each table are NULL or occur more than once."""
+    counts = [key_violations(tables[n], k).agg(F.lit(n).alias("table_name"), F.count("*").alias("violations")) for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("cnt")) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, counts)

@@ -140,3 +140,32 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Fake())
+
+
+def test_a_window_of_days_reads_only_their_folders(spark, tmp_path):
+    from opsignal.plans.serve import metrics_window
+    from opsignal.sources.tables import write_table
+
+    rows = [("svc", T0 + timedelta(days=i), "system.cpu.utilization", float(i), None, None) for i in range(4)]
+    points = spark.createDataFrame(
+        rows, "service_name string, event_timestamp timestamp, metric_name string, metric_value double, histogram_count long, histogram_sum double"
+    )
+    table = write_table(points.withColumn("event_date", F.to_date("event_timestamp")), str(tmp_path / "m"), partition_by="event_date")
+    day = str((T0 + timedelta(days=1)).date())
+    window = metrics_window(table, "svc", f"{day} 00:00:00", f"{day} 23:59:59")
+    assert "PartitionFilters: []" not in plan_of(window) and "PartitionFilters: [isnotnull(event_date" in plan_of(window)
+    assert window.count() == 1
+
+
+def test_no_set_or_list_is_gathered_from_raw_rows(spark, inputs):
+    from opsignal.plans import gold
+
+    for df in (
+        gold.impacted_services_by_pattern(inputs.incidents),
+        gold.domain_incidents_daily(inputs.scored),
+        gold.pattern_stats(inputs.scored),
+        silver.correlated_alerts(inputs.alerts),
+    ):
+        text = plan_of(df)
+        first = [x for x in text.splitlines() if "Aggregate(" in x][-1]
+        assert "HashAggregate" in first and "ObjectHash" not in first, text
