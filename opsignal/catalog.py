@@ -119,6 +119,19 @@ class Inputs:
         lambda s: s._once("gd", lambda: gold.domain_impact_summary(s.scored, s.silver_alerts, s.silver_changes))
     )
     units = property(lambda s: s._once("gu", lambda: gold.business_impact_summary(s.scored)))
+    # the days of derived tables, read off their sources: a window over a plan needs no second run of it
+    health_days = property(
+        lambda s: s.metrics.where((F.col("metric_name") == silver.CPU) & F.col("service_name").isNotNull()).select(
+            F.to_date("event_timestamp").alias("health_date")
+        )
+    )
+    domain_days = property(
+        lambda s: reduce(
+            DataFrame.unionByName,
+            [df.select(F.to_date(c).alias("summary_date")) for df, c in
+             ((s.incidents, "created_at"), (s.alerts, "fired_at"), (s.changes, "executed_at"))],
+        )
+    )
     edges = property(lambda s: s._once("edges", lambda: graph.topology_edges(s.flows, s.incidents)))
     service_domains = property(
         lambda s: s._once("sd", lambda: graph.service_domain_mode(s.incidents, s.alerts, s.changes))
@@ -592,7 +605,8 @@ def v15_risk_ranking(spark, sf_dir):
 
 @query
 def v16_health_timeline(spark, sf_dir):
-    return serve.health_timeline(Inputs(spark, sf_dir).health, SERVICE, DAYS)
+    t = Inputs(spark, sf_dir)
+    return serve.health_timeline(t.health, SERVICE, DAYS, t.health_days)
 
 
 @query
@@ -648,12 +662,14 @@ def v25_domain_summary(spark, sf_dir):
 
 @query
 def v26_domain_heatmap(spark, sf_dir):
-    return serve.domain_heatmap(Inputs(spark, sf_dir).domains, DAYS)
+    t = Inputs(spark, sf_dir)
+    return serve.domain_heatmap(t.domains, DAYS, t.domain_days)
 
 
 @query
 def v27_domain_trend(spark, sf_dir):
-    return serve.domain_trend(Inputs(spark, sf_dir).domains, None, DAYS)
+    t = Inputs(spark, sf_dir)
+    return serve.domain_trend(t.domains, None, DAYS, t.domain_days)
 
 
 @query

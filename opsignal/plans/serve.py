@@ -390,8 +390,9 @@ def risk_ranking(ranking: DataFrame) -> DataFrame:
     ).orderBy("risk_rank")
 
 
-def health_timeline(health: DataFrame, service: str, days: int = 30) -> DataFrame:
-    return recent(health, "health_date", days).where(F.col("service_name") == F.lit(service)).select(
+def health_timeline(health: DataFrame, service: str, days: int = 30, anchor: DataFrame | None = None) -> DataFrame:
+    """``anchor``: where the newest health_date is read, if ``health`` is not a written table."""
+    return recent(health, "health_date", days, anchor).where(F.col("service_name") == F.lit(service)).select(
         "health_date",
         "health_score",
         "avg_cpu_pct",
@@ -601,8 +602,9 @@ def domain_summary(domains: DataFrame) -> DataFrame:
     ).orderBy(F.desc("cumulative_risk_score"), "domain")
 
 
-def domain_heatmap(domains: DataFrame, days: int = 90) -> DataFrame:
-    return recent(domains, "summary_date", days).select(
+def domain_heatmap(domains: DataFrame, days: int = 90, anchor: DataFrame | None = None) -> DataFrame:
+    """``anchor``: where the newest summary_date is read, if ``domains`` is not a written table."""
+    return recent(domains, "summary_date", days, anchor).select(
         "domain",
         "summary_date",
         "incident_count",
@@ -616,8 +618,9 @@ def domain_heatmap(domains: DataFrame, days: int = 90) -> DataFrame:
     ).orderBy("summary_date", "domain")
 
 
-def domain_trend(domains: DataFrame, domain: str | None = None, days: int = 90) -> DataFrame:
-    rows = recent(domains, "summary_date", days)
+def domain_trend(domains: DataFrame, domain: str | None = None, days: int = 90, anchor: DataFrame | None = None) -> DataFrame:
+    """``anchor`` as in ``domain_heatmap``."""
+    rows = recent(domains, "summary_date", days, anchor)
     if domain:
         rows = rows.where(F.col("domain") == F.lit(domain))
     week = F.weekofyear("summary_date").alias("week_num")
