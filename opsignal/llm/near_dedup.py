@@ -19,8 +19,12 @@ BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree in a smaller share are not compared exactly. At similarity 0.8 that is more than
 #: five standard deviations off.
 AGREE = 0.62
-#: Nodes of a group that meet in one task at most (in expectation).
-BLOCK = 1024
+#: Nodes of a group that meet in one task at most (in expectation), twice that for two blocks.
+BLOCK = 512
+#: Blocks with more pairs to check than so many for each node are compared in place.
+DENSE = 4
+#: Columns of the matrix by which a block is compared in place.
+COLUMNS = 4096
 
 u64 = np.uint64
 STEP, BASE = u64(0x9E3779B97F4A7C15), 0x100000001B3
@@ -177,54 +181,105 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select("a", "b")
 
 
-def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that are in different components, of sizes that allow the similarity,
-    and whose signatures agree often enough.
-
-    ``groups``: key, id, component, n, signature, m (nodes in the group). Groups are cut into blocks that
-    meet pairwise, so that a large one is many tasks of bounded size; only the pairs found leave a task.
-    """
-    blocks = F.ceil(F.col("m") / BLOCK)
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` (key, id, m, ...) with i and j: a group is cut into blocks that meet pairwise, so that a large one
+    is many tasks of bounded size. Every row is repeated for each block that its own meets."""
     mine = F.pmod(F.xxhash64("id"), F.col("_nb"))
     meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1),
-        lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j"), (x < F.col("_b")).alias("right")),
+        F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j"))
     )
-    rows = groups.withColumn("_nb", blocks).withColumn("_b", mine).select("key", "id", "component", "n", "signature", F.explode(meets).alias("_m"))
-    rows = rows.select("key", "_m.i", "_m.j", "_m.right", "id", "component", "n", "signature")
+    rows = groups.withColumn("_nb", F.ceil(F.col("m") / BLOCK)).withColumn("_b", mine)
+    return rows.withColumn("_m", F.explode(meets)).withColumns({"i": F.col("_m.i"), "j": F.col("_m.j")}).drop("_nb", "_b", "_m", "m")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame | None:
-        ids, comps, sizes = (part[c].to_numpy() for c in ("id", "component", "n"))
-        right = part["right"].to_numpy()
-        marks = np.stack([np.frombuffer(x, dtype="<u2") for x in part["signature"]])
-        x, y = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(part)),) * 2
-        found = []
-        for i in x:
-            near = y[(comps[y] != comps[i]) & (sizes[y] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[y])]
-            if len(near):
-                found += [(ids[i], b) for b in ids[near[(marks[near] == marks[i]).mean(axis=1) >= agree]]]
-        pairs = {(min(a, b), max(a, b)) for a, b in found}
-        return pd.DataFrame(list(pairs), columns=["a", "b"]) if pairs else None
+
+def per_block(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` (pandas to pandas or None) applied to the rows of each (key, i, j). Many blocks are small, so a
+    task takes them one after the other out of sorted batches."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows come sorted by group and block pair; one may go on in the next batch
         held: list[pd.DataFrame] = []
+        last = None
         for batch in batches:
             names = batch[["key", "i", "j"]].to_numpy()
-            if held and (held[-1][["key", "i", "j"]].to_numpy()[-1] != names[0]).any():
-                yield from filter(lambda x: x is not None, [compare(pd.concat(held))])
-                held = []
             starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), len(batch)]
             for lo, hi in zip(starts, starts[1:]):
-                held.append(batch.iloc[lo:hi])
-                if hi < len(batch):
-                    yield from filter(lambda x: x is not None, [compare(pd.concat(held) if len(held) > 1 else held[0])])
+                if held and (names[lo] != last).any():
+                    if (out := compare(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+                        yield out
                     held = []
-        if held:
-            yield from filter(lambda x: x is not None, [compare(pd.concat(held))])
+                held.append(batch.iloc[lo:hi])
+                last = names[lo]
+        if held and (out := compare(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+            yield out
 
     block = ["key", "i", "j"]
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(read, "a long, b long").distinct()
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(read, schema)
+
+
+def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> DataFrame:
+    """Pairs (a, b) of nodes of a group that are in different components, of sizes that allow the similarity,
+    and whose signatures agree often enough. A block with more than DENSE pairs a node gives no pairs, but
+    one row with its key, i and j.
+
+    ``groups``: key, id, component, n, signature, m (nodes in the group).
+    """
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame | None:
+        ids, comps, sizes = (part[c].to_numpy() for c in ("id", "component", "n"))
+        marks = np.stack([np.frombuffer(x, dtype="<u2") for x in part["signature"]])
+        found: list[tuple] = []
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            near = y[(comps[y] != comps[x]) & (sizes[y] >= similarity * sizes[x]) & (sizes[x] >= similarity * sizes[y])]
+            if len(near):
+                near = near[(marks[near] == marks[x]).mean(axis=1) >= agree]
+                found += zip(np.minimum(ids[near], ids[x]).tolist(), np.maximum(ids[near], ids[x]).tolist())
+            if len(found) > DENSE * len(ids):
+                return part[["key", "i", "j"]].head(1).assign(a=None, b=None)[["a", "b", "key", "i", "j"]]
+        return pd.DataFrame(found, columns=["a", "b"]).assign(key=None, i=None, j=None) if found else None
+
+    rows = in_blocks(groups).select("key", "i", "j", "id", "component", "n", "signature")
+    return per_block(rows, compare, "a long, b long, key long, i long, j long").distinct()
+
+
+def similar_rows(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets are similar, exactly: a square matrix. Elements of one set only are left out of the products."""
+    sizes = np.array([len(s) for s in sets], dtype=np.float32)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))[shared[column]]
+    column = (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[row[part], column[part] - lo] = 1
+        common += held @ held.T
+    return common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+
+
+def links_in_place(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what the exact similarities within a block connect: at most one a node.
+    ``rows``: key, i, j, id, shingles."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame | None:
+        ids = part["id"].to_numpy()
+        near = similar_rows([np.asarray(s, dtype=np.int64) for s in part["shingles"]], similarity)
+        left, found = np.ones(len(ids), dtype=bool), []
+        for start in range(len(ids)):
+            todo = [start] if left[start] else []
+            left[start] = False
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(near[x] & left)
+                left[new] = False
+                todo += new.tolist()
+                found += [(int(ids[x]), int(y)) for y in ids[new]]
+        return pd.DataFrame(found, columns=["a", "b"]) if found else None
+
+    return per_block(rows.select("key", "i", "j", "id", "shingles"), compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -233,8 +288,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node. Nodes that
     share a band are a group. All are compared exactly with the smallest node of their group; the links make
     components. In a group that is then not all in one component, the signatures of all nodes of different
-    components are compared, and exactly those pairs that may be similar. So of the pairs that share a band none
-    is cut off, and a large group of near copies costs one comparison a member.
+    components are compared, and exactly those pairs that may be similar; where these are many, a whole block
+    of the group is compared exactly in one task, of which only the links leave that connect it. So of the
+    pairs that share a band none is cut off, and no step sends more rows than a few for each member.
 
     Returns doc_id, class_id (its smallest doc_id), class_size, kept (whether it is the one that stays).
 
@@ -253,6 +309,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = staged(banded.join(groups, "key").select("key", "id", "pivot", "m"), "members")
     size = nodes.select("id", "n")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # staged, so that few wanted texts are known to be few and the others are not shuffled
+        return shingle_sets(docs, staged(ids.distinct().join(nodes.select("id", "doc_id"), "id"), "wanted"))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The similar ones of these distinct pairs."""
         sized = (
@@ -262,8 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             .select("a", "b")
         )
         sized = staged(sized, "pairs")
-        wanted = sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id"))).distinct()
-        sets = staged(shingle_sets(docs, wanted.join(nodes.select("id", "doc_id"), "id")), "shingle-sets")
+        sets = staged(sets_of(sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id")))), "shingle-sets")
         return staged(verified(sized, sets, similarity), "links")
 
     star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -273,10 +332,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     split = (
         placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
     )
-    open_groups = placed.join(split, "key").join(nodes.select("id", "n", "signature"), "id")
-    pairs = staged(screened(open_groups, similarity).join(star, ["a", "b"], "left_anti"), "screened")
-    if not pairs.isEmpty():
-        found = components(links.unionByName(linked(pairs)))
+    open_groups = staged(placed.join(split, "key"), "open-groups")
+    seen = staged(screened(open_groups.join(nodes.select("id", "n", "signature"), "id"), similarity), "screened")
+    pairs = staged(seen.where("a IS NOT NULL").select("a", "b").join(star, ["a", "b"], "left_anti"), "more-pairs")
+    dense = in_blocks(open_groups).join(seen.where("a IS NULL").select("key", "i", "j"), ["key", "i", "j"])
+    dense = staged(dense.select("key", "i", "j", "id"), "dense-blocks")
+    more = links.limit(0) if pairs.isEmpty() else linked(pairs)
+    if not dense.isEmpty():
+        sets = staged(sets_of(dense.select("id")), "shingle-sets")
+        more = more.unionByName(staged(links_in_place(dense.join(sets, "id"), similarity), "links"))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     classed = nodes.join(found, "id", "left").select("id", "doc_id", "n_docs", F.coalesce("component", "id").alias("class"))
     classed = staged(classed, "classes")
     per_class = staged(

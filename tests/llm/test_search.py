@@ -108,11 +108,29 @@ def test_signatures_estimate_weighted_similarity():
     assert (near_dedup.signature(a[:1], k=160) == near_dedup.signature(a[:1], k=160)).all()
 
 
-def test_screening_in_blocks_finds_what_one_block_finds(spark, monkeypatch):
+def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     marks = [np.arange(160, dtype="<u2").tobytes(), (np.arange(160) + 7).astype("<u2").tobytes()]
     rows = [(1, i, i, 10 + i % 2, marks[i % 2], 20) for i in range(20)]
     df = spark.createDataFrame(rows, "key long, id long, component long, n long, signature binary, m long")
-    whole = sorted(tuple(r) for r in near_dedup.screened(df, 0.8).collect())
-    monkeypatch.setattr(near_dedup, "BLOCK", 6)
-    assert sorted(tuple(r) for r in near_dedup.screened(df, 0.8).collect()) == whole
+    dense = near_dedup.screened(df, 0.8).collect()
+    assert [(r.a, r.b, r.key, r.i, r.j) for r in dense] == [(None, None, 1, 0, 0)]
+    monkeypatch.setattr(near_dedup, "DENSE", 100)
+    whole = sorted((r.a, r.b) for r in near_dedup.screened(df, 0.8).collect())
     assert len(whole) == 2 * 45
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    assert sorted((r.a, r.b) for r in near_dedup.screened(df, 0.8).collect()) == whole
+
+
+def test_dense_groups_give_the_same_classes(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DENSE", 0)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rnd.choice((1, 2, 3))):
+            copy[rnd.randrange(120)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(documents(*rows)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size, r.kept) for r in got), key=str) == brute_classes(rows)
