@@ -41,21 +41,35 @@ def rarity(files: DataFrame, words: DataFrame) -> DataFrame:
     known = F.array(*map(F.lit, sorted(terms)))
     held = files.select(F.explode(F.array_intersect(known, F.split(F.lower(whole_text()), "[^a-z0-9]+"))).alias("token"))
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = files.agg(F.count(F.lit(1)).alias("n"))
-    return (
-        words.select("token").distinct().join(df, "token", "left").join(F.broadcast(n))
-        .select("token", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
+    n = float(files.count())
+    return words.select("token").distinct().join(df, "token", "left").select(
+        "token", (F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
     )
 
 
+def telling(weights: DataFrame, threshold: float) -> list[str]:
+    """Words of which a line must hold one to reach the threshold with any template: for each, the heaviest ones
+    without which the others could not make up enough of its length."""
+    held: dict[str, list[tuple[float, str]]] = {}
+    for r in weights.collect():  # bounded by the fixed templates
+        held.setdefault(r["license"], []).append((r["w"] ** 2, r["token"]))
+    found = set()
+    for words in held.values():
+        rest = total = sum(w for w, _ in words)
+        for w, token in sorted(words, reverse=True):
+            if rest < threshold**2 * total * (1 - 1e-9):
+                break
+            found.add(token)
+            rest -= w
+    return sorted(found)
+
+
 def statements(files: DataFrame, words: DataFrame, idf: DataFrame, threshold: float) -> DataFrame:
     """(path, digest, total, line, n_words, license, score): lines whose sparse TF-IDF vector has at least this cosine
     with a template's; the best template of each line. Words that no template has carry no weight."""
     weights = staged(words.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf")), "template-weights")
     norms = weights.groupBy("license").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    # a line can only reach the threshold if it holds a word that is in few templates
-    telling = [r["token"] for r in weights.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n <= 2").select("token").collect()]
-    sign = rf"(?i)\b({'|'.join(sorted(telling))})\b"
+    sign = rf"(?i)\b({'|'.join(telling(weights, threshold))})\b"
     texts = files.select("path", whole_text().alias("text")).where(F.col("text").rlike(sign))
     lines = texts.select("path", F.unhex(F.md5("text")).alias("digest"), F.size(tokens(F.col("text"))).alias("total"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     lines = lines.where(F.col("text").rlike(sign)).select("path", "digest", "total", "line", tokens(F.col("text")).alias("words"))
@@ -106,7 +120,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), (F.sum("n_words") >= MOSTLY * F.first("total")).alias("mostly")
     )
     listed = files.select("path", F.unhex(F.md5(whole_text())).alias("digest"))
-    own = own.withColumnsRenamed({"path": "_p", "digest": "_t"})
+    own = staged(own.withColumnsRenamed({"path": "_p", "digest": "_t"}), "best-statements")
     files_found = listed.join(own, F.col("path").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_t")), "left").select(
         "path", directory(F.col("path")).alias("dir"), F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"),
         (F.col("path").rlike(NAMED) | F.col("mostly")).alias("is_licence"),
