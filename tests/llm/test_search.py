@@ -112,6 +112,7 @@ def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     marks = [np.arange(160, dtype="<u2").tobytes(), (np.arange(160) + 7).astype("<u2").tobytes()]
     rows = [(1, i, i, 10 + i % 2, marks[i % 2], 20) for i in range(20)]
     df = spark.createDataFrame(rows, "key long, id long, component long, n long, signature binary, m long")
+    monkeypatch.setattr(near_dedup, "DENSE", 4)
     dense = near_dedup.screened(df, 0.8).collect()
     assert [(r.a, r.b, r.key, r.i, r.j) for r in dense] == [(None, None, 1, 0, 0)]
     monkeypatch.setattr(near_dedup, "DENSE", 100)
