@@ -22,7 +22,7 @@ AGREE = 0.62
 #: Nodes of a group that meet in one task at most (in expectation), twice that for two blocks.
 BLOCK = 512
 #: Blocks with more pairs to check than so many for each node are compared in place.
-DENSE = 32
+DENSE = 4
 #: Columns of the matrix by which a block is compared in place.
 COLUMNS = 4096
 
