@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, join_counted, packed, staged, whole_text
@@ -136,8 +136,14 @@ def set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_digest() -> Column:
+    """With the doc_id it names a document."""
+    return F.unhex(F.md5(whole_text()))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, id (of the set of shingles), n (its size), bands (keys), signature (16 bits a coordinate)."""
+    """doc_id, digest (of the text), id (of the set of shingles), n (its size), bands (keys), signature (16 bits a
+    coordinate)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,10 +155,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names = signature(found) if len(found) else np.zeros(0, dtype=u64)
                 bands.append(band_keys(names) if len(found) else names.view(np.int64))
                 marks.append((names >> u64(48)).astype("<u2").tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "n": sizes, "bands": bands, "signature": marks})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "id": ids, "n": sizes, "bands": bands, "signature": marks})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInPandas(read, "doc_id long, id long, n long, bands array<long>, signature binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
+    return texts.mapInPandas(read, "doc_id long, digest binary, id long, n long, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -283,6 +289,11 @@ def links_in_place(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``classes`` without the digest: doc_id, class_id, class_size, kept."""
+    return classes(docs, similarity).drop("digest")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with the class it is in: documents connected by links of this similarity or more.
 
     Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node. Nodes that
@@ -292,7 +303,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     of the group is compared exactly in one task, of which only the links leave that connect it. So of the
     pairs that share a band none is cut off, and no step sends more rows than a few for each member.
 
-    Returns doc_id, class_id (its smallest doc_id), class_size, kept (whether it is the one that stays).
+    Returns doc_id, digest (md5 of the text), class_id (its smallest doc_id), class_size, kept (whether it is the one
+    that stays).
 
     Cases: null and empty texts and texts of white space have no shingles and are one class. A text of
     fewer than five words is one shingle. Rows that repeat doc_id and text are one document: each is listed
@@ -352,16 +364,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     total = classed.count()
     by_node = join_counted(classed.select("id", "n_docs", "class"), per_class, "class", "_nodes", total)
     by_node = staged(by_node.select("id", "n_docs", "class_id", "class_size"), "node-classes")
-    out = join_counted(rows.select("doc_id", "id"), by_node, "id", "n_docs", rows.count())
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = join_counted(rows.select("doc_id", "digest", "id"), by_node, "id", "n_docs", rows.count())
+    return out.select("doc_id", "digest", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each class the rows with the smallest doc_id stay.
 
-    Cases as in ``near_duplicates``; of a class in which every doc_id is null all rows stay. If another text
-    bears the doc_id of a row that stays, it stays as well.
+    Cases as in ``near_duplicates``; of a class in which every doc_id is null all rows stay. Each text is judged
+    in its own class: a null doc_id, or one that another text bears too, does not take that text along.
     """
-    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_d")).distinct()
-    left = docs.select(packed(docs).alias("_doc"))
-    return left.join(gone, F.col("_doc.doc_id").eqNullSafe(F.col("_d")), "left_anti").select("_doc.*")
+    named = [F.col("doc_id").cast("long").alias("_id"), text_digest().alias("_digest")]
+    gone = classes(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_t")).distinct()
+    left = docs.select(packed(docs).alias("_doc"), *named)
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_digest") == F.col("_t"))
+    return left.join(gone, same, "left_anti").select("_doc.*")

@@ -97,6 +97,14 @@ def test_one_of_each_class_stays(documents):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns[-3:] == ["key", "hash", "n"]
 
 
+def test_each_text_of_a_doc_id_is_judged_in_its_own_class(documents):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(1, a), (7, a), (7, b), (None, a), (None, c), (None, c), (None, None), (2, d), (1, d)]
+    kept = near_dedup.keep_one(documents(*rows)).collect()
+    want = [(1, a), (7, b), (None, c), (None, c), (None, None), (1, d)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 1 << 62, 400).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64)
