@@ -116,7 +116,8 @@ def met(base: DataFrame, asked: DataFrame, block: int, k: int) -> DataFrame:
         "bucket", F.ceil(F.col("_n") / block).alias("_nb"), F.ceil(F.col("_m") / block).alias("_mb")
     )
     shape = staged(shape, "bucket-sizes")
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    # by the vector too: rows that share a vec_id are spread as well
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = base.join(shape, "bucket").select("bucket", mine("_nb").alias("b"), every("_mb").alias("q"), "vec_id", "vec")
     right = asked.join(shape, "bucket").select("bucket", every("_nb").alias("b"), mine("_mb").alias("q"), "vec_id", "vec")
@@ -152,7 +153,9 @@ def nearest(
     columns are ignored. An empty table gives an empty result.
     """
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
-    vectors, queries = clean(base), clean(asked).dropDuplicates(["vec_id", "vec"])
+    # copies would take places of a block, and all land in one
+    vectors, queries = (clean(df).dropDuplicates(["vec_id", "vec"]) for df in (base, asked))
+    vectors = staged(vectors, "vectors")
     hashed, looking = buckets(vectors, tables, hashes, 1), buckets(queries, tables, hashes, count)
     found = staged(best(met(hashed, looking, block, k), k), "neighbours")
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)

@@ -47,6 +47,13 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert [r.vec_id for r in ann.nearest(copies, copies.where("vec_id = 3")).orderBy("rank").collect()] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_copies_of_a_vector_take_one_place(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.01])] * 30, *[(i, [1.0, i / 50]) for i in range(2, 20)]]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = sorted((r["rank"], r.vec_id) for r in ann.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(i, i) for i in range(1, 11)]
+
+
 def sets_of(text):
     words = (text or "").lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
