@@ -182,3 +182,31 @@ def test_pipeline(spark, sf_dir):
     assert per_doc.where("count > 2").isEmpty() and per_doc.select("doc_id").subtract(single.select("doc_id")).isEmpty()
     assert last.select("doc_id").distinct().count() == per_doc.count()
     assert last.select("sequence_id").distinct().count() == last.count()
+
+
+def licence_text(name):
+    return dict(licenses.licence_texts())[name]
+
+
+def test_licence_texts_headers_and_windows(spark):
+    filler = " ".join(f"the word {w} is in a list of" for w in "abcdefghijklmnopqrstuvwxyz")
+    gpl_header = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 2 of the License, or
+# (at your option) any later version."""
+    files = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licence_text("MIT")), ("m/x.py", "x"),
+        ("a/LICENSE", licence_text("Apache-2.0")), ("g/COPYING", licence_text("GPL-3.0")), ("g/two.txt", licence_text("GPL-2.0")),
+        ("b/LICENSE", licence_text("BSD-2-Clause")), ("h/h.py", gpl_header), ("h/spdx.py", "// SPDX-License-Identifier: MIT"),
+        ("h/plus.py", "SPDX-License-Identifier: GPL-2.0+"), ("h/later.py", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("n/none.py", "SPDX-License-Identifier: Foo-2.0"),
+        ("c/cc.md", "Licensed under CC BY 4.0."), ("c/nc.md", "Licensed under CC BY-NC-SA 3.0"),
+        ("w/long.txt", filler + " and is Licensed under the Apache License, Version 2.0 but " + filler),
+        ("w/wrapped.txt", "/* Licensed under the\n * Apache License,\n * Version 2.0 */"),
+        ("o/one.txt", "Apache License, Version 7.0"),
+    ]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        "m/LICENSE": "MIT", "m/x.py": "MIT", "a/LICENSE": "Apache-2.0", "g/COPYING": "GPL-3.0", "g/two.txt": "GPL-2.0", "b/LICENSE": "BSD-2-Clause",
+        "h/h.py": "GPL-2.0-or-later", "h/spdx.py": "MIT", "h/plus.py": "GPL-2.0-or-later", "h/later.py": "LGPL-2.1-or-later", "n/none.py": None,
+        "c/cc.md": "CC-BY-4.0", "c/nc.md": "CC-BY-NC-SA-3.0", "w/long.txt": "Apache-2.0", "w/wrapped.txt": "Apache-2.0", "o/one.txt": None,
+    }
