@@ -162,19 +162,17 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted sets. ``wanted``: id and a doc_id that has it."""
+    """(id, shingles) of the wanted sets. ``wanted``: id, and doc_id and digest of a text that has it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 sets = [shingles(t) for t in part["text"]]
-                known = pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})
-                # another text may bear the same doc_id
-                yield known[[set_id(s) == i for s, i in zip(sets, known["id"])]]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), whole_text().alias("text"))
-    rows = texts.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_digest().alias("_t"), whole_text().alias("text"))
+    rows = texts.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("digest"))).select("id", "text")
     return rows.mapInPandas(read, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
@@ -313,7 +311,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = staged(sketch(docs), "sketches")
     nodes = staged(
-        rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n"), F.first("signature").alias("signature")),
+        rows.groupBy("id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("w"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+        .select("id", "w.doc_id", "w.digest", "n_docs", "n", "signature"),
         "nodes",
     )
     banded = rows.select("id", F.explode("bands").alias("key")).distinct()
@@ -323,7 +323,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         # staged, so that few wanted texts are known to be few and the others are not shuffled
-        return shingle_sets(docs, staged(ids.distinct().join(nodes.select("id", "doc_id"), "id"), "wanted"))
+        return shingle_sets(docs, staged(ids.distinct().join(nodes.select("id", "doc_id", "digest"), "id"), "wanted"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The similar ones of these distinct pairs."""

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from opsignal.llm import ann, near_dedup
 
@@ -112,6 +113,17 @@ def test_each_text_of_a_doc_id_is_judged_in_its_own_class(documents):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
 
 
+def test_each_text_meets_its_own_set_only(spark, documents, monkeypatch):
+    rows = [(None, f"{i} words of a text of its own {i}") for i in range(20)]
+    docs = documents(*rows)
+    wanted = near_dedup.sketch(docs).select("id", "doc_id", "digest")
+    monkeypatch.setattr(DataFrame, "dropDuplicates", lambda self, *_: self)
+    assert len(near_dedup.shingle_sets(docs, wanted).collect()) == 20
+    plan = near_dedup.shingle_sets(docs, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert "_t#" in join and "digest#" in join
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 1 << 62, 400).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64)
