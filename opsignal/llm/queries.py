@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pii, toxicity, wavelet
+from . import ann, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, toxicity, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,70 @@ def op8_license_scan(spark, sf_dir):
     found = licenses.scan(as_files(table(spark, sf_dir, "documents")))
     doc_id = F.regexp_extract("path", "[^/]+$", 0).try_cast("long")
     return found.select(doc_id.alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), F.col("source").alias("license_source"), "license_dir")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(docs.withColumn("found", F.when(tampered, F.replace("text", F.lit("\n"), F.lit("")))))
+
+
+def crc32_sql(blob: str) -> str:
+    """Unsigned crc32 of a blob, bit by bit: a byte is mixed in, then eight shifts, written as -1."""
+    step = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    byte = f"CAST('0x' || substr(hex({blob}), 2 * k + 1, 2) AS BIGINT)"
+    todo = f"flatten(list_transform(range(octet_length({blob})), lambda k: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {todo}), lambda a, x: {step}), 4294967295)"
+
+
+CODED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF = "sha256(" + " || ".join(CODED.format(c) for c in merkle.FIELDS[:-1]) + " || {0})"
+# per tree: all nodes by level, and the two texts of digests beside each
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, source, {LEAF.format(CODED.format("text"))} AS leaf,
+         {LEAF.format(CODED.format("replace(text, chr(10), '')"))} AS cut,
+         doc_id IS NOT NULL AND {crc32_sql("encode(CAST(doc_id AS VARCHAR))")} % 2 = 0 AS tampered FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM l),
+low AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT source, any_value(lvl) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY source, pos // 3),
+heads AS (SELECT source, node AS subroot, lvl AS height FROM low WHERE n = 1),
+named AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot, count(*) OVER () AS n FROM heads),
+high AS (
+  SELECT 0 AS lvl, spot AS pos, n, subroot AS node FROM named
+  UNION ALL
+  SELECT any_value(lvl) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY pos // 3),
+beside AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM low a JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY ALL),
+above AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM high a JOIN high b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+steps AS (
+  SELECT p.source, p.pos, s.lvl, s.before, s.after FROM placed p
+  JOIN beside s ON p.source IS NOT DISTINCT FROM s.source AND p.pos // CAST(pow(3, s.lvl) AS BIGINT) = s.pos
+  UNION ALL
+  SELECT p.source, p.pos, h.height + s.lvl, s.before, s.after FROM placed p
+  JOIN named h ON p.source IS NOT DISTINCT FROM h.source JOIN above s ON h.spot // CAST(pow(3, s.lvl) AS BIGINT) = s.pos),
+proofs AS (SELECT source, pos, sha256(string_agg(before || after, '' ORDER BY lvl)) AS proof_sha256, max(lvl) + 1 AS height FROM steps GROUP BY ALL),
+folded AS (
+  SELECT source, pos, 0 AS lvl, CASE WHEN tampered THEN cut ELSE leaf END AS node FROM placed
+  UNION ALL
+  SELECT f.source, f.pos, f.lvl + 1, sha256(s.before || f.node || s.after) FROM folded f
+  JOIN steps s ON f.source IS NOT DISTINCT FROM s.source AND f.pos = s.pos AND f.lvl = s.lvl),
+root AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT p.doc_id, p.leaf, h.subroot, r.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = r.root AS verified
+FROM placed p JOIN heads h ON p.source IS NOT DISTINCT FROM h.source CROSS JOIN root r
+LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.pos = q.pos
+JOIN folded f ON p.source IS NOT DISTINCT FROM f.source AND p.pos = f.pos AND f.lvl = coalesce(q.height, 0)
+"""
