@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, toxicity, wavelet
+from . import ann, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, secret_scan, toxicity, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +153,55 @@ def op8_license_scan(spark, sf_dir):
     return found.select(doc_id.alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), F.col("source").alias("license_source"), "license_dir")
 
 
+@query
+def op11_secret_scan(spark, sf_dir):
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    base = secret_scan.of_base(F.col("spans"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.printed(base), 256).alias("base_sha256"), secret_scan.printed(F.col("spans")).alias("spans"))
+
+
+def either_case(pattern: str) -> str:
+    """ASCII letters in either case, spelled out: the engine's own flag also folds other letters."""
+    return re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", pattern)
+
+
+# per rule: the expression, and the one for the part whose length counts
+ASSIGN = either_case("(?:password|passwd|secret|token|api_?key)") + r"""["'']?\x20*[:=]\x20*["'']?"""
+SECRET_RULES = [
+    (f"{ASSIGN}[A-Za-z0-9+/_.=-]+", ASSIGN),
+    ("AKIA[A-Z0-9]+", "AKIA"),
+    ("[0-9a-f]+", ""),
+    ("gh[opsu]_[A-Za-z0-9]+", "gh[opsu]_"),
+    ("xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-"),
+    ("AIza[A-Za-z0-9_-]+", "AIza"),
+    (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."),
+    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY----"),
+]
+MATCHED = "\n  UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, '{rule.kind}' AS name, regexp_extract_all(text, '{expression}') AS m, "
+    f"string_split_regex(text, '{expression}') AS gaps, '^(?:{head})' AS head, {rule.tail} AS tail FROM t"
+    for k, (rule, (expression, head)) in enumerate(zip(secret_scan.RULES, SECRET_RULES))
+)
+# a match starts after all earlier matches and gaps
+ORACLE["op11_secret_scan"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({MATCHED}),
+each AS (SELECT doc_id, kind, name, head, tail, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM matched WHERE len(m) > 0),
+placed AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM each),
+kept AS (
+  SELECT doc_id, kind, name, stop - length(m) AS start, stop FROM placed
+  WHERE length(CASE WHEN head = '^(?:)' THEN m ELSE regexp_replace(m, head, '') END) >= tail),
+spans AS (SELECT doc_id, kind, start, name || ':' || start || ':' || stop AS span FROM kept)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM t LEFT JOIN spans ON t.doc_id = spans.doc_id GROUP BY t.doc_id
+"""
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
