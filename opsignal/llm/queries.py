@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, secret_scan, toxicity, wavelet
+from . import ann, exact_dedup, licenses, line_dedup, merkle, mixing, near_dedup, packing, pii, secret_scan, spelling, toxicity, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,11 +202,17 @@ FROM t LEFT JOIN spans ON t.doc_id = spans.doc_id GROUP BY t.doc_id
 """
 
 
+def misspelled(doc_id, run):
+    """A run whose crc32 with its document is divisible by 31 loses the code point that the crc32 names."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.left(run, at), F.substr(run, at + 2))).otherwise(run)
+
+
 @query
-def op13_merkle_manifest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    return merkle.manifest(docs.withColumn("found", F.when(tampered, F.replace("text", F.lit("\n"), F.lit("")))))
+def op12_spelling_variants(spark, sf_dir):
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), 7, 2, misspelled)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def crc32_sql(blob: str) -> str:
@@ -217,6 +223,41 @@ def crc32_sql(blob: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {todo}), lambda a, x: {step}), 4294967295)"
 
 
+LOWER = AZ.format("coalesce(text, '')")
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS run FROM documents),
+hashed AS (SELECT run, {crc32_sql("encode(id || ':' || run)")} AS h FROM runs),
+spelled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+shorter AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM places),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM shorter a JOIN words w ON a.d = w.word
+  UNION SELECT w.word, a.word, a.n FROM shorter a JOIN words w ON a.d = w.word),
+ranked AS (
+  SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS r FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.near END AS form,
+         CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
+chain AS (
+  SELECT word, word AS root, form AS onward FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.onward = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word AND c.onward IS NULL
+"""
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(docs.withColumn("found", F.when(tampered, F.replace("text", F.lit("\n"), F.lit("")))))
+
+
 CODED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
 LEAF = "sha256(" + " || ".join(CODED.format(c) for c in merkle.FIELDS[:-1]) + " || {0})"
 # per tree: all nodes by level, and the two texts of digests beside each
