@@ -1,8 +1,9 @@
-"""Joining a per-key lookup onto a large table."""
+"""Joining lookups onto large tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import stored
 
@@ -15,3 +16,18 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     adaptive execution splits the partitions of hot keys.
     """
     return rows.join(stored(lookup, "lookup"), key, "left")
+
+
+def join_salted(rows: DataFrame, lookup: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``rows`` inner-joined with ``lookup`` on ``key`` where some keys may hold most of ``rows``.
+
+    A key with more than ``most`` rows is cut into parts of about that size, and its lookup rows go to each part. At
+    most ``rows / most`` keys are that large: this list, one number a key, is what is broadcast.
+    """
+    large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    large = F.broadcast(large.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    cut = F.when(parts > 1, F.pmod(F.xxhash64(*rows.columns), parts)).otherwise(0).cast("int")
+    left = rows.join(large, key, "left").withColumn("_part", cut).drop("_parts")
+    right = lookup.join(large, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")

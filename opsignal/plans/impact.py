@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..operators.lookups import attach
-from ..session import cut_lineage
+from ..operators.reach import reach_sizes
 from .graph import reverse_hops
 
 # Model names and the rates used where a model row leaves one out.
@@ -157,33 +157,14 @@ def service_relationships(profiles: DataFrame) -> DataFrame:
 
 
 def dependency_blast_radius(relationships: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """How many services depend on each one, directly or through others.
-
-    With ``max_depth`` the walk stops after that many relationships. Without it the reach is extended
-    until nothing new appears, and each round is checkpointed.
-    """
+    """How many services depend on each one, directly or through others; with ``max_depth`` through at most so
+    many relationships."""
+    if max_depth is None:
+        arcs = relationships.select(F.col("target_service").alias("a"), F.col("source_service").alias("b"))
+        return reach_sizes(arcs).where("n > 0").select(F.col("node").alias("service_name"), F.col("n").alias("blast_radius"))
     targets = relationships.select(F.col("target_service").alias("seed")).distinct()
-    if max_depth is not None:
-        reach = reverse_hops(relationships, targets, max_depth).where("hop > 0")
-    else:
-        reach = _closure(relationships)
-    reach = reach.where("seed <> node")
-    return reach.groupBy(F.col("seed").alias("service_name")).agg(F.count_distinct("node").alias("blast_radius"))
-
-
-def _closure(relationships: DataFrame) -> DataFrame:
-    """All (seed, node) with a path. A round joins only the pairs found in the last one with what is known, and
-    only what is new is added; paths double in length, so n relationships in a row take about log2(n) rounds."""
-    pairs = relationships.select(F.col("target_service").alias("seed"), F.col("source_service").alias("node")).distinct()
-    reach = new = cut_lineage(pairs)
-    while True:
-        after = new.join(reach.select(F.col("seed").alias("node"), F.col("node").alias("next")), "node")
-        before = reach.join(new.select(F.col("seed").alias("node"), F.col("node").alias("next")), "node")
-        longer = after.unionByName(before).select("seed", F.col("next").alias("node")).distinct()
-        new = cut_lineage(longer.join(reach, ["seed", "node"], "left_anti"))
-        if new.isEmpty():
-            return reach
-        reach = cut_lineage(reach.unionByName(new))
+    reach = reverse_hops(relationships, targets, max_depth).where("seed <> node")
+    return reach.groupBy(F.col("seed").alias("service_name")).agg(F.count("*").alias("blast_radius"))
 
 
 def enrich_services(ranking: DataFrame, profiles: DataFrame) -> DataFrame:
