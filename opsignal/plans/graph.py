@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, or_zero
 from ..functions.scoring import normal_domain
-from ..session import cut_lineage
+from ..operators.lookups import cut_hot, join_cut
+from ..session import stored
 
 
 def service_domain_mode(incidents: DataFrame, alerts: DataFrame, changes: DataFrame) -> DataFrame:
@@ -76,40 +79,44 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src_service", "dst_service")).alias("service_name"))
 
 
-def _hops(arcs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Least number of arcs from each seed to each node, up to ``depth``.
+#: Arcs of one node that one task joins; a node with more is cut.
+ARCS_AT_ONCE = 100_000
+
+
+def _hops(arcs: DataFrame, seeds: DataFrame, depth: int, both_ways: bool) -> DataFrame:
+    """Least number of arcs from each seed to each node, up to ``depth``; ``arcs`` (a, b), ``seeds`` (seed).
 
-    ``arcs`` (a, b); ``seeds`` (seed). Every node also carries an arc of length 0 to itself, so the
-    set reached so far is read once per hop and the plan grows with the depth, not with its power.
-    Only nodes found in the last hop are extended.
+    A hop joins the nodes found by the last one with their arcs, and keeps what is not known yet. With arcs
+    ``both_ways`` a neighbour of the last hop was found by the last two hops or not at all, so only these are
+    compared. Each hop is written; the walk ends when one is empty. Nodes with very many arcs are cut.
     """
-    seeds = seeds.select("seed").distinct()
-    loops = arcs.select(F.explode(F.array("a", "b")).alias("a")).unionByName(seeds.select(F.col("seed").alias("a")))
-    steps = arcs.where("a <> b").select("a", "b", F.lit(1).alias("step")).unionByName(
-        loops.select("a", F.col("a").alias("b"), F.lit(0).alias("step"))
-    )
-    # every hop reads the arcs again, so they are computed once
-    steps = cut_lineage(steps.distinct())
-    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    cut, large = cut_hot(arcs.where("a <> b").distinct(), "a", ARCS_AT_ONCE)
+    cut = stored(cut, "arcs")
+    large = stored(large, "hubs")
+    start = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    found = [stored(start, "hop")]
     for level in range(1, depth + 1):
-        onward = reached.join(steps, reached["node"] == steps["a"]).where(
-            (F.col("step") == 0) | (F.col("hop") == level - 1)
-        )
-        reached = onward.groupBy("seed", F.col("b").alias("node")).agg(F.min(F.col("hop") + F.col("step")).alias("hop"))
-    return reached
+        last = found[-1].select("seed", F.col("node").alias("a"))
+        onward = join_cut(cut, large, last, "a").select("seed", F.col("b").alias("node")).distinct()
+        known = reduce(DataFrame.unionByName, found[-2:] if both_ways else found).select("seed", "node")
+        fresh = stored(onward.join(known, ["seed", "node"], "left_anti").withColumn("hop", F.lit(level)), "hop")
+        if fresh.isEmpty():
+            break
+        found.append(fresh)
+    return reduce(DataFrame.unionByName, found)
 
 
 def k_hop_neighborhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hop) over undirected edges; the seed itself has hop 0."""
     there = edges.select(F.col("src_service").alias("a"), F.col("dst_service").alias("b"))
     back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return _hops(there.unionByName(back), seeds, depth)
+    return _hops(there.unionByName(back), seeds, depth, both_ways=True)
 
 
 def reverse_hops(relationships: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hop): services that depend on the seed through at most ``depth`` relationships."""
     against = relationships.select(F.col("target_service").alias("a"), F.col("source_service").alias("b"))
-    return _hops(against, seeds, depth)
+    return _hops(against, seeds, depth, both_ways=False)
 
 
 def propagation_signal(edges: DataFrame) -> DataFrame:

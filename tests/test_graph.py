@@ -41,6 +41,29 @@ def test_k_hop(spark):
     assert got == want
 
 
+def test_a_hop_reads_its_frontier_only(spark, monkeypatch):
+    """Rows written by each hop: the nodes at that distance, none twice, and nothing after the end of a short walk."""
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(9)] + [("c03", f"leaf{i}") for i in range(50)]
+    frame = spark.createDataFrame([("c03",)], "seed string")
+    written, joined = [], []
+    real, real_join = graph.stored, graph.join_cut
+    monkeypatch.setattr(graph, "stored", lambda df, label: (out := real(df, label), label == "hop" and written.append(out.count()))[0])
+    monkeypatch.setattr(graph, "join_cut", lambda cut, large, last, key: (joined.append(last.count()), real_join(cut, large, last, key))[1])
+    got = graph.k_hop_neighborhood(edge_frame(spark, chain), frame, 20)
+    assert got.count() == 10 + 50
+    # from c03: 52 neighbours, then both ways along the chain until its far end
+    assert written == [1, 52, 2, 2, 1, 1, 1, 0] and joined == written[:-1]
+
+
+def test_a_hub_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ARCS_AT_ONCE", 10)
+    edges = [("hub", f"n{i}") for i in range(95)] + [(f"n{i}", f"m{i}") for i in range(5)]
+    frame = spark.createDataFrame([("n0",), ("hub",), ("gone",)], "seed string")
+    both = edges + [(b, a) for a, b in edges]
+    got = {(r.seed, r.node): r.hop for r in graph.k_hop_neighborhood(edge_frame(spark, edges), frame, 3).collect()}
+    assert got == {(s, n): h for s in ("n0", "hub", "gone") for n, h in breadth_first(both, s, 3).items()}
+
+
 def test_blast_radius_bounded_and_to_the_end(spark):
     chain = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", "c9"), ("x", "c12"), ("x", "x")]
     rel = spark.createDataFrame(chain, "source_service string, target_service string")
