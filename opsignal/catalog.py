@@ -641,13 +641,14 @@ def v21_change_timeline(spark, sf_dir):
 
 @query
 def v22_high_correlation(spark, sf_dir):
-    return serve.high_correlation(Inputs(spark, sf_dir).correlation, 0.5)
+    t = Inputs(spark, sf_dir)
+    return serve.high_correlation(t.scored_changes, t.scored, 0.5)
 
 
 @query
 def v23_risky_change_types(spark, sf_dir):
     t = Inputs(spark, sf_dir)
-    return serve.risky_change_types(t.scored_changes, t.pairs)
+    return serve.risky_change_types(t.scored_changes, t.incidents)
 
 
 @query
@@ -829,7 +830,7 @@ def d6_risk_scatter(spark, sf_dir):
 @query
 def d7_change_totals(spark, sf_dir):
     t = Inputs(spark, sf_dir)
-    return insight.change_totals(serve.risky_change_types(t.scored_changes, t.pairs))
+    return insight.change_totals(serve.risky_change_types(t.scored_changes, t.incidents))
 
 
 @query

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if
-from .serve import hour_label, window_parts, window_values
+from .serve import MERGED, hour_label, window_parts, window_values
 
 
 def daily_overlay(changes: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -46,12 +46,63 @@ def radar_normalize(patterns: DataFrame, key: list[str]) -> DataFrame:
     return patterns.select(*key, F.inline(F.array(*axes)))
 
 
+#: A block of this power of two, in microseconds, holds a whole hour.
+HOUR_BLOCK = 32
+
+
+def _edges(windows: DataFrame, instants: DataFrame) -> DataFrame:
+    """(incident_id, service_name, hour_ts, parts) of the first and the last hour of each window.
+
+    A sweep over the points of a (service, hour) with the ends of windows among them: running maxima and sums
+    from the right answer a start, those from the left an end. Both edges of a window inside one hour are cut
+    apart at the roundest instant between them and answered in the blocks beside it; points are laid into such
+    smaller blocks only where an end asks for them. Ends and points meet in one line, not in a join.
+    """
+    first, last = F.date_trunc("hour", "_start"), F.date_trunc("hour", "_end")
+    since = lambda ts, hour: F.unix_micros(ts) - F.unix_micros(hour)
+    start, end = since(F.col("_start"), first), since(F.col("_end"), last)
+    apart = F.when((first == last) & (start > 0), F.length(F.bin(start.bitwiseXOR(end))) - 1).otherwise(HOUR_BLOCK)
+    alike = (first == last) & (start == end)
+
+    def mark(hour, at, turn, block):
+        return F.struct(hour.alias("hour_ts"), at.alias("at"), F.lit(turn).alias("turn"), F.when(alike & (start > 0), 0).otherwise(block).alias("block"))
+
+    from_start = F.when((start > 0) & ~alike, mark(first, start, -1, apart))
+    ends = windows.select(
+        "incident_id", "service_name", F.inline(F.array_compact(F.array(from_start, mark(last, end, 1, apart))))
+    )
+    nothing = {c: t for c, t in instants.dtypes if c in MERGED}
+    line = ends.select(
+        "incident_id", "service_name", "hour_ts", "at", "turn", "block", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()]
+    ).unionByName(
+        instants.select(
+            F.lit(None).cast("string").alias("incident_id"), "service_name", "hour_ts", "at", F.lit(0).alias("turn"), F.lit(None).cast("int").alias("block"), *nothing
+        )
+    )
+    # the sizes of the blocks that ends ask for in this hour, as bits
+    asked = F.bit_or(F.expr("shiftleft(1L, block)")).over(Window.partitionBy("service_name", "hour_ts"))
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(HOUR_BLOCK)), lambda k: F.call_function("shiftright", F.col("_asked"), k) % 2 == 1)
+    line = line.withColumn("_asked", asked).where("_asked IS NOT NULL")
+    line = line.withColumn("block", F.explode(F.when(F.col("turn") == 0, wanted).otherwise(F.array("block"))))
+    line = line.withColumn("_cell", F.expr("shiftright(at, block)"))
+    cell = Window.partitionBy("service_name", "hour_ts", "block", "_cell")
+    # an end comes after the points of its own instant, from either side
+    later = F.abs("turn")
+    left = cell.orderBy("at", later).rowsBetween(Window.unboundedPreceding, 0)
+    right = cell.orderBy(F.desc("at"), later).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("turn") == 0
+    swept = [F.when(F.col("turn") > 0, m(c).over(left)).otherwise(m(c).over(right)).alias(c) for c, m in MERGED.items()]
+    seen = F.when(F.col("turn") > 0, F.count_if(own).over(left)).otherwise(F.count_if(own).over(right))
+    answered = line.select("incident_id", "service_name", "hour_ts", "turn", seen.alias("_seen"), *swept).where("turn <> 0 AND _seen > 0")
+    return answered.groupBy("incident_id", "service_name", "hour_ts").agg(*[m(c).alias(c) for c, m in MERGED.items()])
+
+
 def incident_metrics_window(incidents: DataFrame, metrics: DataFrame) -> DataFrame:
     """Hourly metrics of the root service around every incident.
 
     The window runs from 12 h before creation to 12 h after resolution, or 24 h after creation while
-    open. Whole hours inside it read one pre-aggregated row per service and hour; only the first and
-    last hour of a window go back to the points.
+    open. Points are first merged by service and instant. Whole hours inside a window read one
+    pre-aggregated row per service and hour; its first and last hour are answered by a sweep.
     """
     start = F.col("created_at") - F.make_dt_interval(hours=F.lit(12))
     end = F.coalesce(
@@ -60,20 +111,21 @@ def incident_metrics_window(incidents: DataFrame, metrics: DataFrame) -> DataFra
     )
     windows = incidents.where(F.col("root_service").isNotNull()).select(
         "incident_id", F.col("root_service").alias("service_name"), start.alias("_start"), end.alias("_end")
-    )
-    first, last = F.date_trunc("hour", "_start"), F.date_trunc("hour", "_end")
-    hours = windows.where("_start <= _end").withColumn(
-        "hour_ts", F.explode(F.sequence(first, last, F.make_dt_interval(hours=F.lit(1))))
-    )
-    whole = (F.col("hour_ts") >= F.col("_start")) & (F.col("hour_ts") != last)
-
-    points = metrics.withColumn("hour_ts", F.date_trunc("hour", "event_timestamp"))
+    ).where("_start <= _end")
+    hour = F.date_trunc("hour", "event_timestamp")
     key = ["service_name", "hour_ts"]
-    rollup = points.groupBy(*key).agg(*window_parts())
-    inner = hours.where(whole).select("incident_id", *key).join(rollup, key)
-    edge = hours.where(~whole).join(points, key).where(F.col("event_timestamp").between(F.col("_start"), F.col("_end")))
-    edge = edge.groupBy("incident_id", *key).agg(*window_parts())
-    return inner.unionByName(edge).select(
+    at = (F.unix_micros("event_timestamp") - F.unix_micros(hour)).alias("at")
+    named = metrics.where("service_name IS NOT NULL AND event_timestamp IS NOT NULL")
+    instants = named.groupBy("service_name", hour.alias("hour_ts"), at).agg(*window_parts())
+    rollup = instants.groupBy(*key).agg(*[m(c).alias(c) for c, m in MERGED.items()])
+
+    an_hour = F.make_dt_interval(hours=F.lit(1))
+    hours = windows.select(
+        "incident_id", "service_name", "_start", F.date_trunc("hour", "_end").alias("_last"),
+        F.explode(F.sequence(F.date_trunc("hour", "_start"), F.date_trunc("hour", "_end"), an_hour)).alias("hour_ts"),
+    ).where("hour_ts >= _start AND hour_ts <> _last")
+    inner = hours.select("incident_id", *key).join(rollup, key)
+    return inner.unionByName(_edges(windows, instants)).select(
         "incident_id", "service_name", "hour_ts", hour_label("hour_ts").alias("hour_label"), *window_values()
     )
 

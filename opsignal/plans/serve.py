@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..functions.numbers import count_if, half_up, or_zero, percent
 from ..functions.times import recent
+from ..operators.intervals import MICROS, following, per_service, preceding_by_type
+from ..session import stored
+from .gold import change_incident_pairs
 from .silver import ACTIVE, CPU, LATENCY, MEMORY
 
 
@@ -420,6 +424,10 @@ def window_parts() -> list:
     ]
 
 
+#: How the parts of two sets of points become those of both.
+MERGED = {"cpu": F.max, "mem": F.max, "act": F.max, "lat_sum": F.sum, "lat_n": F.sum}
+
+
 def window_values() -> list:
     return [
         half_up("cpu", 1).alias("cpu_pct"),
@@ -527,8 +535,32 @@ def change_timeline(changes: DataFrame, incidents: DataFrame, days: int = 90) ->
     return recent_changes.orderBy("executed_at", "change_id"), recent_incidents_.orderBy("created_at", "incident_id")
 
 
-def high_correlation(correlation: DataFrame, min_strength: float = 0.5) -> DataFrame:
-    return correlation.where(F.col("correlation_strength") >= F.lit(min_strength)).select(
+def high_correlation(changes: DataFrame, incidents: DataFrame, min_strength: float = 0.5, limit: int = 50) -> DataFrame:
+    """The strongest change/incident pairs, without building the others.
+
+    Strength depends on the lag window, on whether the change was made on the root service, and on the risk of the
+    change. So running counts tell how many incidents of each strength every change has. The first ``limit``
+    (change, strength) in the order of the result hold the first ``limit`` pairs, and only they are joined.
+    """
+    ends = {label: (minutes + 1) * 60 * MICROS - 1 for minutes, label in scoring.LAG_WINDOWS} | {"long_delay": 24 * 3600 * MICROS}
+    at_root = incidents.where("root_service IS NOT NULL").select(F.col("root_service").alias("service"), "created_at")
+    every = following(changes, per_service(incidents, "created_at"), ends)
+    root = following(changes, at_root, ends).withColumnsRenamed({label: f"root_{label}" for label in ends})
+    counted = changes.select("change_id", "service", "executed_at", "risk_score").join(every, ["service", "executed_at"]).join(root, ["service", "executed_at"])
+    groups, before = [], []
+    for label in ends:
+        same, both = [F.col(c) - (F.col(before[-1][i]) if before else 0) for i, c in enumerate((f"root_{label}", label))]
+        before.append((f"root_{label}", label))
+        for n, on_root in ((same, F.col("service")), (both - same, F.lit(None).cast("string"))):
+            groups.append(F.struct(F.lit(label).alias("correlation_window"), on_root.alias("incident_root_service"), n.alias("n")))
+    held = counted.select("change_id", F.col("service").alias("change_service"), "risk_score", F.inline(F.array(*groups))).where("n > 0")
+    scored = held.select("change_id", scoring.correlation_strength().alias("correlation_strength")).distinct()
+    order = [F.desc("correlation_strength"), "change_id"]
+    first = stored(scored.where(F.col("correlation_strength") >= F.lit(min_strength)).orderBy(*order).limit(limit), "strongest")
+
+    pairs = change_incident_pairs(changes.join(first.select("change_id").distinct(), "change_id", "left_semi"), incidents)
+    strong = pairs.withColumn("correlation_strength", scoring.correlation_strength())
+    return strong.join(first, ["change_id", "correlation_strength"], "left_semi").select(
         "change_id",
         "change_service",
         "change_type",
@@ -546,15 +578,19 @@ def high_correlation(correlation: DataFrame, min_strength: float = 0.5) -> DataF
         "revenue_impact_usd",
         "blast_radius",
         "failure_pattern_id",
-    ).orderBy(F.desc("correlation_strength"), "change_id", "incident_id").limit(50)
+    ).orderBy(*order, "incident_id").limit(limit)
+
 
+def risky_change_types(changes: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Incident rate over all changes of a type, whether or not an incident followed within 24 hours.
 
-def risky_change_types(changes: DataFrame, correlation: DataFrame) -> DataFrame:
-    """Incident rate over all changes of a type, whether or not an incident followed."""
+    An incident counts once for a type; its revenue counts once for every change of the type before it. Both come
+    from counts of the changes before an incident; no pair is built.
+    """
     made = changes.groupBy("change_type").agg(F.count("*").alias("total_changes"))
-    caused = correlation.groupBy("change_type").agg(
-        F.count_distinct("incident_id").alias("_incidents"),
-        _rounded(F.sum, "revenue_impact_usd", 2, "_impact"),
+    caused = preceding_by_type(changes, incidents, 24 * 3600, "revenue_impact_usd")
+    caused = caused.withColumn("_revenue", F.col("revenue_impact_usd") * F.col("n")).groupBy("change_type").agg(
+        F.count("*").alias("_incidents"), _rounded(F.sum, "_revenue", 2, "_impact")
     )
     return made.join(caused, "change_type", "left").select(
         "change_type",
