@@ -21,7 +21,7 @@ from .functions.times import calendar, whole_minutes
 from .plans import build, gold, graph, impact, insight, serve, silver
 from .schemas import KEYS, RAW_LOGS, REFRESH, SNAPSHOT, TRIGGERED
 from .session import cut_lineage, new_folder
-from .sources import binary, documents, tables
+from .sources import binary, documents, tables, versions
 from .streaming.events import incremental_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,13 +228,13 @@ def k2_keyed_sync(spark, sf_dir):
     )
     current = source.where("change_type <> 'deployment'")
     key, policy = KEYS["silver_changes"], REFRESH["silver_changes"]
-    first = new_folder(spark, "copy")
-    tables.sync_copy(spark, older, None, first, key, SNAPSHOT)
-    second = new_folder(spark, "copy")
-    done = tables.sync_copy(spark, current, first, second, key, policy)
+    copy = new_folder(spark, "copy")
+    tables.sync_copy(spark, older, copy, key, SNAPSHOT)
+    done = tables.sync_copy(spark, current, copy, key, policy)
     assert policy == TRIGGERED
-    state = spark.read.parquet(second).agg(F.lit("rows after").alias("op"), F.count("*").alias("n"))
-    left = tables.changes_since(current, spark.read.parquet(second), key)
+    after = versions.read_table(spark, copy)
+    state = after.agg(F.lit("rows after").alias("op"), F.count("*").alias("n"))
+    left = tables.changes_since(current, after, key)
     return done.unionByName(state).unionByName(left.agg(F.lit("still different").alias("op"), F.count("*").alias("n")))
 
 
@@ -919,6 +919,14 @@ def p1_build_all(spark, sf_dir):
     return tables.row_counts(built)
 
 
+@query
+def p1_build_configured(spark, sf_dir):
+    """The tables that depend on configuration: rows of each, with the profiles and rates among the inputs."""
+    config = {"config_service_profiles": fx.service_profiles(spark, sf_dir), "config_impact_models": fx.impact_models(spark, sf_dir)}
+    built = build.build_all(spark, {**fx.bronze(spark, sf_dir), **config}, new_folder(spark, "tables"))
+    return tables.row_counts({name: built[name] for name in build.CONFIGURED})
+
+
 @query
 def p1_written_tables(spark, sf_dir):
     """One figure of every row of the silver and gold tables, as written and read back."""

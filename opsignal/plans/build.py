@@ -7,8 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import write_table
-from . import gold, silver
+from ..sources.tables import stamped
+from ..sources.versions import Version, commit, prepared
+from . import gold, impact, silver
 
 Tables = dict[str, DataFrame]
 
@@ -48,6 +49,15 @@ GOLD: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "gold_business_impact_summary": (gold.business_impact_summary, ("silver_incidents",)),
 }
 
+# Built where the configuration tables are given: profiles of the services, rates of the business units.
+CONFIGURED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "silver_revenue_impact": (impact.revenue_impact, ("bronze_incidents", "config_impact_models")),
+    "gold_service_relationships": (impact.service_relationships, ("config_service_profiles",)),
+    "gold_dependency_blast_radius": (impact.profile_blast_radius, ("config_service_profiles",)),
+    "gold_service_profiles": (impact.enrich_services, ("gold_service_risk_ranking", "config_service_profiles")),
+    "gold_business_unit_profiles": (impact.enrich_business_units, ("gold_business_impact_summary", "config_impact_models")),
+}
+
 
 def derive(tables: Tables, targets: dict) -> Tables:
     """The targets as plans over ``tables``, without writing anything."""
@@ -61,21 +71,31 @@ def build_all(spark: SparkSession, bronze: Tables, folder: str, at_once: int = 4
     """Write every table below ``folder`` and return them as read back. Repeating it replaces them.
 
     The tables of one layer do not read each other, so up to ``at_once`` of them run as concurrent
-    jobs; the next layer reads what the last one wrote.
+    jobs; the next layer reads what the last one wrote. All tables are written before the first one is
+    committed: readers see the old build until then, and a build that fails changes nothing. ``bronze`` may hold
+    the configuration tables; the tables that depend on them are then built too.
     """
     folder = folder.rstrip("/")
+    targets = {**SILVER, **GOLD, **CONFIGURED}
+    written: dict[str, Version] = {}
     done: Tables = {}
 
-    def land(name: str) -> DataFrame:
+    def write(name: str, df: DataFrame, stamp: str | None, partition_by: str | None = None) -> None:
+        written[name] = prepared(stamped(df, stamp), f"{folder}/{name}", partition_by)
+
+    def land(name: str) -> None:
         df = bronze[name]
         if name in DAY_OF:
             df = df.selectExpr("*", f"to_date({DAY_OF[name]}) AS event_date").hint("rebalance", "event_date")
-        return write_table(df, f"{folder}/{name}", "ingested_at", "event_date" if name in DAY_OF else None)
+        write(name, df, "ingested_at", "event_date" if name in DAY_OF else None)
 
-    def refine(name: str) -> DataFrame:
-        return write_table(derive(done, {name: {**SILVER, **GOLD}[name]})[name], f"{folder}/{name}", STAMP.get(name, "computed_at"))
+    def refine(name: str) -> None:
+        write(name, derive(done, {name: targets[name]})[name], STAMP.get(name, "computed_at"))
 
     with ThreadPoolExecutor(at_once) as pool:
-        for names, make in ((bronze, land), (SILVER, refine), (GOLD, refine)):
-            done.update(zip(names, pool.map(make, names)))
+        for names, make in ((list(bronze), land), (list(SILVER), refine), (list(GOLD), refine), (list(CONFIGURED), refine)):
+            names = [n for n in names if n not in CONFIGURED or set(CONFIGURED[n][1]) <= set(done)]
+            list(pool.map(make, names))
+            done.update((n, written[n].read(spark)) for n in names)
+        list(pool.map(lambda v: commit(spark, v), written.values()))
     return done

@@ -167,6 +167,11 @@ def dependency_blast_radius(relationships: DataFrame, max_depth: int | None = No
     return reach.groupBy(F.col("seed").alias("service_name")).agg(F.count("*").alias("blast_radius"))
 
 
+def profile_blast_radius(profiles: DataFrame) -> DataFrame:
+    """Blast radius by the dependency lists of the service profiles."""
+    return dependency_blast_radius(service_relationships(profiles))
+
+
 def enrich_services(ranking: DataFrame, profiles: DataFrame) -> DataFrame:
     """Service ranking with tier, domain and business unit of the service profile."""
     extra = profiles.select("service_name", "tier", F.col("domain").alias("profile_domain"), F.col("business_unit").alias("profile_business_unit"))

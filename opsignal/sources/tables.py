@@ -4,39 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import SNAPSHOT
+from ..session import stored
+from .versions import Version, commit, new_data_folder, prepared, version_of
+
+
+def stamped(df: DataFrame, stamp: str | None) -> DataFrame:
+    """With the time of the run in column ``stamp``, if any."""
+    return df.withColumn(stamp, F.current_timestamp()) if stamp else df
 
 
 def write_table(df: DataFrame, path: str, stamp: str | None = "computed_at", partition_by: str | None = None) -> DataFrame:
-    """Replace the table at ``path``, content and schema, with the run time in column ``stamp``, if any."""
-    writer = (df.withColumn(stamp, F.current_timestamp()) if stamp else df).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replace the table at ``path``, content and schema, by a new committed version, and read that. Whoever reads
+    the old version goes on doing so; a write that fails changes nothing."""
+    spark = df.sparkSession
+    return commit(spark, prepared(stamped(df, stamp), path, partition_by)).read(spark)
 
 
 # Keyed copies ----------------------------------------------------------------------------------
 
 
-def _fingerprint(df: DataFrame):
+def _fingerprint(df: DataFrame) -> Column:
     """Digest of the whole row. NULL and text are told apart by the JSON form."""
     return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def _same_key(key: list[str]):
+def _same_key(key: list[str]) -> Column:
     """NULL-safe equality of two keyed frames aliased s and c."""
     return reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key])
 
 
-def changes_since(source: DataFrame, copy: DataFrame, key: list[str]) -> DataFrame:
-    """Key columns and ``op`` (insert, update, delete) that turn the copy into the source."""
-    new = source.select(*key, _fingerprint(source).alias("_new")).alias("s")
-    old = copy.select(*key, _fingerprint(copy.select(*source.columns)).alias("_old")).alias("c")
-    both = new.join(old, _same_key(key), "full")
+def _operations(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+    """Key columns and ``op`` from two frames of key and ``_print``."""
+    both = new.withColumnRenamed("_print", "_new").alias("s").join(old.withColumnRenamed("_print", "_old").alias("c"), _same_key(key), "full")
     op = (
         F.when(F.col("_old").isNull(), "insert")
         .when(F.col("_new").isNull(), "delete")
@@ -46,31 +50,57 @@ def changes_since(source: DataFrame, copy: DataFrame, key: list[str]) -> DataFra
     return both.select(*keys, op.alias("op")).where("op is not null")
 
 
-def apply_changes(source: DataFrame, copy: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Unchanged rows of the copy plus inserted and updated rows of the source."""
-    kept = copy.alias("s").join(changes.alias("c"), _same_key(key), "left_anti")
-    fresh = source.alias("s").join(changes.where("op <> 'delete'").alias("c"), _same_key(key), "left_semi")
-    return kept.select(*source.columns).unionByName(fresh)
+def changes_since(source: DataFrame, copy: DataFrame, key: list[str]) -> DataFrame:
+    """Key columns and ``op`` (insert, update, delete) that turn the copy into the source."""
+    prints = lambda df: df.select(*key, _fingerprint(df).alias("_print"))
+    return _operations(prints(source), prints(copy.select(*source.columns)), key)
+
+
+def _digests(rows: DataFrame) -> dict[str, list]:
+    """Per part: rows, and two sums over the digests of its rows. Equal parts have equal sums."""
+    piece = lambda at: F.sum(F.conv(F.substring("_print", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    found = rows.groupBy("_part").agg(F.count("*").alias("n"), piece(1).alias("a"), piece(17).alias("b"))
+    return {str(r["_part"]): [r.n, r.a, r.b] for r in found.collect()}
+
+
+def _columns(schema: T.StructType) -> list:
+    return [(f.name, f.dataType) for f in schema.fields]
 
 
-def sync_copy(
-    spark: SparkSession, source: DataFrame, copy_path: str | None, target_path: str, key: list[str], policy: str
-) -> DataFrame:
-    """Write the next version of a serving copy to a new folder; (op, n) tells what changed.
+def sync_copy(spark: SparkSession, source: DataFrame, path: str, key: list[str], policy: str, parts: int = 64) -> DataFrame:
+    """Bring the serving copy at ``path`` to the state of ``source``; (op, n) tells what changed.
 
-    SNAPSHOT copies the source as it is. TRIGGERED carries over the rows of the last version that did
-    not change. The last version is never overwritten, so readers of it are not disturbed and a failed
-    run can simply be repeated.
+    The source is staged once, so that all steps see the same rows, and a key that occurs twice is refused before
+    anything is written. The copy is laid out in ``parts`` by a hash of the key. SNAPSHOT writes all of them;
+    TRIGGERED writes the parts whose digest differs from that of the last version, compares only those row by row,
+    and carries the folders of the others over. The new version becomes visible in one step; where nothing
+    changed there is none. A change of columns, of the key or of ``parts`` writes all of them too.
     """
-    if copy_path is None or policy == SNAPSHOT:
-        source.write.mode("overwrite").parquet(target_path)
-        return spark.read.parquet(target_path).agg(F.lit("insert").alias("op"), F.count("*").alias("n"))
-    copy = spark.read.parquet(copy_path)
-    changed_path = f"{target_path}.changes"
-    changes_since(source, copy, key).write.mode("overwrite").parquet(changed_path)
-    changes = spark.read.parquet(changed_path)
-    apply_changes(source, copy, changes, key).write.mode("overwrite").parquet(target_path)
-    return changes.groupBy("op").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+    staged = stored(source.select("*", _fingerprint(source).alias("_print"), part.alias("_part")), "sync")
+    twice = key_violations(staged, key).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"{path}: keys that occur more than once, among them {[tuple(r[k] for k in key) for r in twice]}")
+    last = version_of(spark, path)
+    new = _digests(staged)
+    layout = [key, parts]
+    everything = policy == SNAPSHOT or last is None or last.layout != layout or _columns(last.schema) != _columns(source.schema)
+    before = {} if everything else last.digests
+    touched = sorted(p for p in set(new) | set(before) if new.get(p) != before.get(p))
+    if not touched and not everything:
+        return spark.createDataFrame([], "op string, n long")
+    here = staged.where(F.col("_part").isin([int(p) for p in touched]))
+    folder = new_data_folder()
+    here.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{path.rstrip('/')}/{folder}")
+    folders = {p: f"{folder}/_part={p}" for p in touched if p in new}
+    if everything:
+        done = staged.agg(F.lit("insert").alias("op"), F.count("*").alias("n"))
+    else:
+        folders |= {p: f for p, f in last.folders.items() if p not in touched}
+        narrow = staged.select(*key, "_print")
+        done = _operations(here.select(*narrow.columns), last.read(spark, touched, narrow.schema), key).groupBy("op").agg(F.count("*").alias("n"))
+    commit(spark, Version(path.rstrip("/"), source.schema, folders, new, layout))
+    return done
 
 
 # Checks ----------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opsignal import fixtures as fx
 from opsignal.plans.build import GOLD, SILVER, build_all
 from opsignal.schemas import KEYS, RAW_INCIDENTS, RAW_TRACES, SNAPSHOT, TRIGGERED
-from opsignal.sources import binary, documents, tables
+from opsignal.sources import binary, documents, tables, versions
 from opsignal.streaming.events import incremental_ingest
 
 NANOS = int(T0.timestamp()) * 10**9 + 123456789
@@ -156,14 +156,16 @@ def test_write_table_replaces_content_and_schema(spark, tmp_path):
 def test_sync(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n")], "id int, v string")
     new = spark.createDataFrame([(1, "a"), (2, "B"), (3, "null"), (4, "d"), (None, "n")], "id int, v string")
-    first, second, third = (str(tmp_path / n) for n in "123")
-    assert tables.sync_copy(spark, old, None, first, ["id"], TRIGGERED).first().n == 4
-    done = {r.op: r.n for r in tables.sync_copy(spark, new.where("id <> 1 OR id IS NULL"), first, second, ["id"], TRIGGERED).collect()}
+    path = str(tmp_path / "copy")
+    assert tables.sync_copy(spark, old, path, ["id"], TRIGGERED).first().n == 4
+    done = {r.op: r.n for r in tables.sync_copy(spark, new.where("id <> 1 OR id IS NULL"), path, ["id"], TRIGGERED).collect()}
     assert done == {"insert": 1, "update": 2, "delete": 1}
-    state = spark.read.parquet(second)
+    state = versions.read_table(spark, path)
     assert sorted((r.id or 0, r.v) for r in state.collect()) == [(0, "n"), (2, "B"), (3, "null"), (4, "d")]
-    tables.sync_copy(spark, old, second, third, ["id"], SNAPSHOT)
-    assert spark.read.parquet(third).count() == 4
+    tables.sync_copy(spark, old, path, ["id"], SNAPSHOT)
+    assert versions.read_table(spark, path).count() == 4
+    # the one before is still there, as are readers of it
+    assert versions.read_table(spark, path, 2).where("v = 'B'").count() == state.where("v = 'B'").count() == 1
 
 
 def test_key_violations(spark):
