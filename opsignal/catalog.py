@@ -22,7 +22,7 @@ from .plans import build, gold, graph, impact, insight, serve, silver
 from .schemas import KEYS, RAW_LOGS, REFRESH, SNAPSHOT, TRIGGERED
 from .session import cut_lineage, new_folder
 from .sources import binary, documents, tables, versions
-from .streaming.events import incremental_ingest
+from .streaming.events import BATCH, incremental_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -895,7 +895,7 @@ def _streamed(spark, sf_dir, table):
     landing, target, checkpoint = (new_folder(spark, n) for n in ("landing", "bronze", "offsets"))
     fx.land(fx.LANDING[table](spark, sf_dir), landing)
     incremental_ingest(spark, table, landing, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).drop("ingested_at")
+    return spark.read.parquet(target).drop("ingested_at", BATCH)
 
 
 @query

@@ -52,6 +52,14 @@ def parsed(lines: DataFrame, schema: str, arrays: bool = False) -> DataFrame:
     return lines.select(F.inline(F.array(row))).where(F.col(BAD).isNull()).drop(BAD)
 
 
+def split(lines: DataFrame, schema: str) -> DataFrame:
+    """(line, doc, bad) of the lines that are not blank: each parsed once, for whoever takes the documents and whoever
+    takes the rejects."""
+    row = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    held = lines.where(F.trim("value") != "").select(F.col("value").alias("line"), row.alias("doc"))
+    return held.select("line", "doc", (F.col("doc").isNull() | F.col(f"doc.{BAD}").isNotNull()).alias("bad"))
+
+
 def rejected_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, line) of the lines that are neither JSON of this schema nor an array of it."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))

@@ -144,6 +144,28 @@ def test_stream_passes_over_bad_lines(spark, tmp_path, table, key):
     write(tmp_path / "landing", "x.json", f'{{"{key}":"1"}}\n{{oops\n'.encode())
     incremental_ingest(spark, table, landing, target, checkpoint).awaitTermination()
     assert [r[key] for r in spark.read.parquet(target).collect()] == ["1"]
+    assert [r.line for r in spark.read.parquet(f"{target}.rejects").collect()] == ["{oops"]
+
+
+def test_stream_that_fails_between_its_sinks_takes_each_line_once(spark, tmp_path):
+    landing, target, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "offsets"))
+    rejects = tmp_path / "rejects"
+    rejects.write_text("a file where the folder of the second sink should be")
+    run = lambda: incremental_ingest(spark, "bronze_incidents", landing, target, checkpoint, 1, rejects=str(rejects)).awaitTermination()
+    for i in range(3):
+        write(tmp_path / "landing", f"{i}.json", f'{{"incident_id":"{i}"}}\n\n{{oops {i}\nnull\n'.encode())
+    with pytest.raises(Exception):  # noqa: B017
+        run()
+    # the rows of the first batch are there, its rejects are not
+    assert spark.read.parquet(target).count() == 1
+    rejects.unlink()
+    run()
+    write(tmp_path / "landing", "9.json", b'{"incident_id":"9"}\n')
+    run()
+    rows, bad = spark.read.parquet(target), spark.read.parquet(str(rejects))
+    assert sorted(r.incident_id for r in rows.collect()) == ["0", "1", "2", "9"]
+    assert sorted(r.line for r in bad.collect()) == ["null"] * 3 + [f"{{oops {i}" for i in range(3)]
+    assert rows.select("batch_id").distinct().count() == 4
 
 
 def test_write_table_replaces_content_and_schema(spark, tmp_path):
