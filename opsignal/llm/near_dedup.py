@@ -131,9 +131,9 @@ def band_keys(names: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def set_id(found: np.ndarray) -> int:
-    """64 bits that name a set of shingles."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_name(found: np.ndarray) -> bytes:
+    """128 bits that name a set of shingles."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def text_digest() -> Column:
@@ -142,27 +142,31 @@ def text_digest() -> Column:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), id (of the set of shingles), n (its size), bands (keys), signature (16 bits a
+    """doc_id, digest (of the text), name (of the set of shingles), n (its size), bands (keys), signature (16 bits a
     coordinate)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sizes, bands, marks = [], [], [], []
+            names, sizes, bands, marks = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
-                ids.append(set_id(found))
+                names.append(set_name(found))
                 sizes.append(len(found))
-                names = signature(found) if len(found) else np.zeros(0, dtype=u64)
-                bands.append(band_keys(names) if len(found) else names.view(np.int64))
-                marks.append((names >> u64(48)).astype("<u2").tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "id": ids, "n": sizes, "bands": bands, "signature": marks})
+                drawn = signature(found) if len(found) else np.zeros(0, dtype=u64)
+                bands.append(band_keys(drawn) if len(found) else drawn.view(np.int64))
+                marks.append((drawn >> u64(48)).astype("<u2").tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "name": names, "n": sizes, "bands": bands, "signature": marks})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
-    return texts.mapInPandas(read, "doc_id long, digest binary, id long, n long, bands array<long>, signature binary")
+    return texts.mapInPandas(read, "doc_id long, digest binary, name binary, n long, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted sets. ``wanted``: id, and doc_id and digest of a text that has it."""
+    """(id, shingles) of the wanted sets. ``wanted``: id, and doc_id and digest of a text that has it.
+
+    The join is sorted at every size: a planner that sends few wanted names to all tasks, and shuffles the texts
+    where they are many, makes shuffle grow faster than the input.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -172,7 +176,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_digest().alias("_t"), whole_text().alias("text"))
-    rows = texts.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("digest"))).select("id", "text")
+    rows = texts.join(wanted.hint("merge"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("digest"))).select("id", "text")
     return rows.mapInPandas(read, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
@@ -180,7 +184,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar, exactly."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.join(right, "b").join(left, "a")
+    # sorted at every size, as in shingle_sets
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     common = F.size(F.array_intersect("_x", "_y"))
     return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select("a", "b")
 
@@ -294,7 +299,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with the class it is in: documents connected by links of this similarity or more.
 
-    Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node. Nodes that
+    Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node, named by 128 bits. Nodes that
     share a band are a group. All are compared exactly with the smallest node of their group; the links make
     components. In a group that is then not all in one component, the signatures of all nodes of different
     components are compared, and exactly those pairs that may be similar; where these are many, a whole block
@@ -310,20 +315,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     class of them has a null class_id. Other columns are ignored. An empty table gives an empty result.
     """
     rows = staged(sketch(docs), "sketches")
-    nodes = staged(
-        rows.groupBy("id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("w"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n"), F.first("signature").alias("signature"))
-        .select("id", "w.doc_id", "w.digest", "n_docs", "n", "signature"),
-        "nodes",
-    )
-    banded = rows.select("id", F.explode("bands").alias("key")).distinct()
-    groups = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
-    members = staged(banded.join(groups, "key").select("key", "id", "pivot", "m"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("w")
+    alike = [F.count(F.lit(1)).alias("n_docs"), *[F.first(c).alias(c) for c in ("n", "signature", "bands")]]
+    nodes = rows.groupBy("name").agg(first, *alike).select("name", "w.doc_id", "w.digest", "n_docs", "n", "signature", "bands")
+    # a number for each set: written once, so it stays
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("id", F.explode("bands").alias("key"))
+    groups = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1"), "groups")
+    total = groups.agg(F.sum("m").alias("m")).first().m or 0
+    members = staged(join_counted(banded, groups, "key", "m", total, how="inner").select("key", "id", "pivot", "m"), "members")
     size = nodes.select("id", "n")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        # staged, so that few wanted texts are known to be few and the others are not shuffled
-        return shingle_sets(docs, staged(ids.distinct().join(nodes.select("id", "doc_id", "digest"), "id"), "wanted"))
+    # the sets of all that may have a partner, once for all comparisons
+    wanted = members.select("id").distinct().join(nodes.select("id", "doc_id", "digest"), "id")
+    sets = staged(shingle_sets(docs, wanted), "shingle-sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The similar ones of these distinct pairs."""
@@ -333,9 +337,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             .where(F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb"))
             .select("a", "b")
         )
-        sized = staged(sized, "pairs")
-        sets = staged(sets_of(sized.select(F.col("a").alias("id")).union(sized.select(F.col("b").alias("id")))), "shingle-sets")
-        return staged(verified(sized, sets, similarity), "links")
+        return staged(verified(staged(sized, "pairs"), sets, similarity), "links")
 
     star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = linked(star)
@@ -351,20 +353,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     dense = staged(dense.select("key", "i", "j", "id"), "dense-blocks")
     more = links.limit(0) if pairs.isEmpty() else linked(pairs)
     if not dense.isEmpty():
-        sets = staged(sets_of(dense.select("id")), "shingle-sets")
-        more = more.unionByName(staged(links_in_place(dense.join(sets, "id"), similarity), "links"))
+        more = more.unionByName(staged(links_in_place(dense.join(sets.hint("merge"), "id"), similarity), "links"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    classed = nodes.join(found, "id", "left").select("id", "doc_id", "n_docs", F.coalesce("component", "id").alias("class"))
+    classed = nodes.join(found, "id", "left").select("name", "doc_id", "n_docs", F.coalesce("component", "id").alias("class"))
     classed = staged(classed, "classes")
     per_class = staged(
         classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("_nodes")),
         "class-sizes",
     )
     total = classed.count()
-    by_node = join_counted(classed.select("id", "n_docs", "class"), per_class, "class", "_nodes", total)
-    by_node = staged(by_node.select("id", "n_docs", "class_id", "class_size"), "node-classes")
-    out = join_counted(rows.select("doc_id", "digest", "id"), by_node, "id", "n_docs", rows.count())
+    by_node = join_counted(classed.select("name", "n_docs", "class"), per_class, "class", "_nodes", total)
+    by_node = staged(by_node.select("name", "n_docs", "class_id", "class_size"), "node-classes")
+    out = join_counted(rows.select("doc_id", "digest", "name"), by_node, "name", "n_docs", rows.count())
     return out.select("doc_id", "digest", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from opsignal.llm import ann, near_dedup
 
@@ -116,7 +117,7 @@ def test_each_text_of_a_doc_id_is_judged_in_its_own_class(documents):
 def test_each_text_meets_its_own_set_only(spark, documents, monkeypatch):
     rows = [(None, f"{i} words of a text of its own {i}") for i in range(20)]
     docs = documents(*rows)
-    wanted = near_dedup.sketch(docs).select("id", "doc_id", "digest")
+    wanted = near_dedup.sketch(docs).select("doc_id", "digest", F.xxhash64("name").alias("id"))
     monkeypatch.setattr(DataFrame, "dropDuplicates", lambda self, *_: self)
     assert len(near_dedup.shingle_sets(docs, wanted).collect()) == 20
     plan = near_dedup.shingle_sets(docs, wanted)._jdf.queryExecution().optimizedPlan().toString()
