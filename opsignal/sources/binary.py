@@ -2,7 +2,8 @@
 
 Both decoders run inside ``mapInArrow`` and yield bounded batches, so a file is never held as a list
 of rows. A reader cannot split a binary file; the task that reads it therefore only cuts it into its
-records, and the records are rebalanced over tasks before decoding. A record that cannot be decoded
+records, and the records are rebalanced over tasks before decoding. There the records of a batch are read
+together, as columns; only those that this leaves out are read one by one. A record that cannot be decoded
 gives one row with ``decode_error`` set, and the next one goes on; a broken frame ends its file with
 such a row. Neither fails the job.
 """
@@ -13,6 +14,7 @@ import struct
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.times import from_nanos
 from ..schemas import BRONZE_FLOWS, BRONZE_METRICS
+from .columnar import Fields, fields, numbers, record_bytes, texts
 
 BATCH_ROWS = 20_000
 
@@ -162,6 +165,60 @@ def _points(metric: bytes) -> Iterator[tuple]:
                 yield name, unit, value, None, None, form, nanos
 
 
+def _point_columns(record: pa.Array) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """``_points`` of many metric messages at once: (message of each point, columns, messages that it leaves out)."""
+    buf, start, stop = record_bytes(record)
+    n = len(start)
+    outer = fields(buf, start, stop)
+    bad = outer.bad
+    block = outer.kind == 2
+    named, units = outer.where(block & (outer.number == 1)), outer.where(block & (outer.number == 3))
+    bodies = outer.where(block & np.isin(outer.number, list(FORMS)))
+    inner = fields(buf, bodies.start, bodies.stop)
+    bad[bodies.message[inner.bad]] = True
+    held = inner.where((inner.number == 1) & (inner.kind == 2))
+    point = fields(buf, held.start, held.stop)
+    body = held.message
+    owner = bodies.message[body]
+    bad[owner[point.bad]] = True
+    count = len(owner)
+    histogram = bodies.number[body] == 9
+
+    def of(number: tuple[int, ...], kind: int, only: np.ndarray) -> tuple[np.ndarray, Fields, np.ndarray]:
+        found = point.where(np.isin(point.number, number) & (point.kind == kind) & only[point.message])
+        return *found.last(count), found
+
+    every = np.ones(count, dtype=bool)
+    has, at, f = of((2,), 1, every)
+    nanos = np.zeros(count, dtype=np.int64)
+    nanos[has] = numbers(buf, f.start[at[has]], "<i8")
+    has_value, at, f = of((4, 6), 1, ~histogram)
+    value = np.zeros(count)
+    chosen = at[has_value]
+    value[has_value] = np.where(f.number[chosen] == 4, numbers(buf, f.start[chosen], "<f8"), numbers(buf, f.start[chosen], "<i8").astype(np.float64))
+    has, at, f = of((4,), 0, histogram)
+    number = np.zeros(count, dtype=np.int64)
+    number[has] = f.value[at[has]].view(np.int64)
+    has, at, f = of((5,), 1, histogram)
+    total = np.zeros(count)
+    total[has] = numbers(buf, f.start[at[has]], "<f8")
+
+    def text(held: Fields) -> pa.Array:
+        has, at = held.last(n)
+        if not len(held.start):
+            return pa.array([""] * count, pa.string())
+        size = np.where(has, held.stop[at] - held.start[at], 0)
+        return texts(buf, held.start[at][owner], size[owner])
+
+    forms = pa.array(list(FORMS.values()))
+    columns = [
+        text(named), text(units), pa.array(value, mask=~has_value), pa.array(number, mask=~histogram), pa.array(total, mask=~histogram),
+        forms.take(pa.array(np.searchsorted(list(FORMS), bodies.number[body]))), pa.array(nanos),
+    ]
+    good = ~bad[owner]
+    return owner[good], [c.filter(pa.array(good)) for c in columns], np.flatnonzero(bad)
+
+
 # Network-flow batches --------------------------------------------------------------------------
 
 # The record layout, big-endian. s = length-prefixed text, i = int32, q = int64, ? = bool.
@@ -208,6 +265,31 @@ def _flow(record: bytes) -> Iterator[tuple]:
     yield tuple(out)
 
 
+def _flow_columns(record: pa.Array) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """``_flow`` of many records at once, in the form of ``_point_columns``."""
+    buf, at, stop = record_bytes(record)
+    columns: list = []
+    good = np.ones(len(at), dtype=bool)
+    kinds = {"i": ">i4", "q": ">i8", "?": ">u1"}
+    for _, kind in FLOW_FIELDS:
+        width = 2 if kind == "s" else np.dtype(kinds[kind]).itemsize
+        good &= at + width <= stop
+        at = np.where(good, at, 0)
+        if kind == "s":
+            size = np.where(good, numbers(buf, at, ">u2"), 0).astype(np.int64)
+            good &= at + 2 + size <= stop
+            size = np.where(good, size, 0)
+            columns.append((at + 2, size))
+            at = at + 2 + size
+        else:
+            column = numbers(buf, at, kinds[kind])
+            columns.append(column != 0 if kind == "?" else column)
+            at = at + width
+    rows = np.flatnonzero(good)
+    out = [texts(buf, c[0][rows], c[1][rows]) if isinstance(c, tuple) else pa.array(c[rows]) for c in columns]
+    return rows, out, np.flatnonzero(~good)
+
+
 # Spark side ------------------------------------------------------------------------------------
 
 
@@ -235,11 +317,12 @@ def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 
 
 def _decode(
-    files: DataFrame, cut: Callable, read: Callable, owner: list[tuple[str, str]], fields: list[tuple[str, str]]
+    files: DataFrame, cut: Callable, read: Callable, at_once: Callable, owner: list[tuple[str, str]], fields: list[tuple[str, str]]
 ) -> DataFrame:
     """files (path, length, content) -> rows of owner and record fields, with path and decode_error.
 
-    ``cut`` gives the records of a file, ``read`` the rows of a record.
+    ``cut`` gives the records of a file, ``at_once`` the columns of many records, and ``read`` the rows of one: of
+    those that ``at_once`` leaves out, broken ones among them.
     """
     lead = [("path", "string"), ("decode_error", "string")]
 
@@ -258,15 +341,34 @@ def _decode(
 
         yield from _batches(rows(), cut_arrow)
 
+    def whole(batch: pa.RecordBatch, alone: list[int]) -> pa.RecordBatch:
+        """The columns of the records that can be read at once; the others are added to ``alone``."""
+        sound = batch.column("decode_error").is_null()
+        places = np.flatnonzero(sound.to_numpy(zero_copy_only=False))
+        try:
+            of, columns, left = at_once(batch.column("record").filter(sound))
+        except (ValueError, pa.ArrowInvalid):  # a text that is not UTF-8: which one, each record tells by itself
+            of, columns, left = np.zeros(0, dtype=np.int64), None, np.arange(len(places))
+        alone += [*places[left].tolist(), *np.flatnonzero(~sound.to_numpy(zero_copy_only=False)).tolist()]
+        if columns is None:
+            return pa.RecordBatch.from_pylist([], schema=out_arrow)
+        lead = batch.take(pa.array(places[of]))
+        kept = [lead.column(i) for i in range(2 + len(owner))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *columns], out_arrow)], schema=out_arrow)
+
     def pieces(batches):
-        def rows():
-            for path, error, *own, record in _rows(batches, cut_schema.names):
-                if error is not None:
-                    yield (path, error, *([None] * width))
-                else:
-                    yield from _guarded(path, lambda: ((*own, *r) for r in read(record)), width)
+        for batch in batches:
+            alone: list[int] = []
+            yield whole(batch, alone)
+
+            def rows(part=batch.take(pa.array(sorted(alone), pa.int64()))):
+                for path, error, *own, record in _rows([part], cut_schema.names):
+                    if error is not None:
+                        yield (path, error, *([None] * width))
+                    else:
+                        yield from _guarded(path, lambda: ((*own, *r) for r in read(record)), width)  # noqa: B023
 
-        yield from _batches(rows(), out_arrow)
+            yield from _batches(rows(), out_arrow)
 
     records = files.select("path", "content").mapInArrow(cut_up, cut_schema).hint("rebalance")
     return records.mapInArrow(pieces, out_schema)
@@ -286,7 +388,7 @@ METRIC_FIELDS = [
 
 def decode_metrics(files: DataFrame) -> DataFrame:
     """One row per data point, plus ``path`` and ``decode_error``. Zero values stay zero."""
-    rows = _decode(files, _metric_messages, _points, METRIC_OWNER, METRIC_FIELDS)
+    rows = _decode(files, _metric_messages, _points, _point_columns, METRIC_OWNER, METRIC_FIELDS)
     # a point without a time has zero
     known = F.when(F.col("timestamp_unix_nano") != 0, from_nanos("timestamp_unix_nano"))
     return rows.withColumn("event_timestamp", known)
@@ -295,7 +397,7 @@ def decode_metrics(files: DataFrame) -> DataFrame:
 def decode_flows(files: DataFrame) -> DataFrame:
     """One row per flow, plus ``path`` and ``decode_error``."""
     types = {"s": "string", "i": "int", "q": "bigint", "?": "boolean"}
-    rows = _decode(files, _flow_records, _flow, [], [(n, types[t]) for n, t in FLOW_FIELDS])
+    rows = _decode(files, _flow_records, _flow, _flow_columns, [], [(n, types[t]) for n, t in FLOW_FIELDS])
     return rows.withColumn("event_timestamp", from_nanos("nanos")).drop("nanos")
 
 
