@@ -109,6 +109,7 @@ class Inputs:
     health = property(lambda s: s._once("sh", lambda: silver.silver_service_health(s.metrics, s.incidents, s.logs)))
     tickets = property(lambda s: s._once("st", lambda: silver.silver_servicenow_correlation(s.incidents)))
     patterns = property(lambda s: s._once("gp", lambda: gold.root_cause_patterns(s.scored)))
+    plain_patterns = property(lambda s: s._once("gp0", lambda: gold.plain_patterns(s.scored)))
     services = property(lambda s: s._once("gs", lambda: gold.service_risk(s.scored, s.health, s.silver_changes)))
     ranking = property(lambda s: s._once("gr", lambda: gold.with_risk_rank(s.services)))
     pairs = property(lambda s: s._once("pairs", lambda: gold.change_incident_pairs(s.scored_changes, s.scored)))
@@ -299,6 +300,18 @@ def s4_preceding_changes(spark, sf_dir):
     return silver.preceding_changes(t.incidents, t.changes)
 
 
+@query
+def s4_incident_changes(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return silver.incident_changes(t.incidents, t.changes)
+
+
+@query
+def s4_change_counts(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return silver.change_counts(silver.incident_changes(t.incidents, t.changes))
+
+
 @query
 def s5_impact_score(spark, sf_dir):
     return Inputs(spark, sf_dir).incidents.select("incident_id", scoring.impact_score().alias("impact_score"))
@@ -552,12 +565,13 @@ def v8_incident_detail(spark, sf_dir):
 
 @query
 def v9_patterns_by_priority(spark, sf_dir):
-    return serve.patterns_by_priority(Inputs(spark, sf_dir).patterns)
+    return serve.patterns_by_priority(Inputs(spark, sf_dir).plain_patterns)
 
 
 @query
 def v10_top_systemic_issue(spark, sf_dir):
-    return serve.top_systemic_issue(Inputs(spark, sf_dir).patterns)
+    t = Inputs(spark, sf_dir)
+    return serve.top_systemic_issue(t.plain_patterns, t.scored)
 
 
 @query
@@ -709,7 +723,8 @@ def v33_revenue_by_bu(spark, sf_dir):
 
 @query
 def v34_patterns_by_blast(spark, sf_dir):
-    return serve.patterns_by_blast(Inputs(spark, sf_dir).patterns)
+    t = Inputs(spark, sf_dir)
+    return serve.patterns_by_blast(t.plain_patterns, t.scored)
 
 
 @query

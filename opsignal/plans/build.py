@@ -31,6 +31,7 @@ STAMP: dict[str, str | None] = {
 
 # table -> (builder, names of the tables it reads); order is the order of writing.
 SILVER: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "silver_incident_changes": (silver.incident_changes, ("bronze_incidents", "bronze_topology_changes")),
     "silver_incidents": (silver.silver_incidents, ("bronze_incidents", "bronze_alerts", "bronze_topology_changes")),
     "silver_alerts": (silver.silver_alerts, ("bronze_alerts", "bronze_incidents")),
     "silver_changes": (silver.silver_changes, ("bronze_topology_changes", "bronze_incidents")),

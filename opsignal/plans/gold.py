@@ -121,10 +121,11 @@ def days_between_occurrences():
     return F.when(F.col("occurrence_count") > 1, half_up(gap, 1))
 
 
-def root_cause_patterns(incidents: DataFrame) -> DataFrame:
+def plain_patterns(incidents: DataFrame) -> DataFrame:
+    """Failure patterns without the list of all impacted services: what ranks and filters read."""
     out = pattern_stats(incidents).join(trend_summary(incidents), "failure_pattern_id", "left")
     out = out.withColumn("trend_direction", scoring.trend_direction())
-    out = out.withColumns(
+    return out.withColumns(
         {
             "recent_weekly_avg": half_up("recent_avg", 2),
             "previous_weekly_avg": half_up("previous_avg", 2),
@@ -132,8 +133,17 @@ def root_cause_patterns(incidents: DataFrame) -> DataFrame:
             "avg_days_between_occurrences": days_between_occurrences(),
         }
     ).drop("recent_avg", "previous_avg")
+
+
+def root_cause_patterns(incidents: DataFrame) -> DataFrame:
     # last, so that the lists are copied once and not carried through the other join
-    return out.join(impacted_services_by_pattern(incidents), "failure_pattern_id", "left")
+    return plain_patterns(incidents).join(impacted_services_by_pattern(incidents), "failure_pattern_id", "left")
+
+
+def with_impacted_services(chosen: DataFrame, incidents: DataFrame) -> DataFrame:
+    """A few chosen patterns with their lists, gathered from the incidents of these patterns only."""
+    own = incidents.join(chosen.select("failure_pattern_id").distinct(), "failure_pattern_id", "left_semi")
+    return chosen.join(impacted_services_by_pattern(own), "failure_pattern_id", "left")
 
 
 # Service risk ----------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from ..functions.numbers import count_if, half_up, or_zero, percent
 from ..functions.times import recent
 from ..operators.intervals import MICROS, following, per_service, preceding_by_type
 from ..session import stored
-from .gold import change_incident_pairs
+from .gold import change_incident_pairs, with_impacted_services
 from .silver import ACTIVE, CPU, LATENCY, MEMORY
 
 
@@ -190,8 +190,14 @@ def patterns_by_priority(patterns: DataFrame) -> DataFrame:
     ).orderBy(*_pattern_order("priority_score"))
 
 
-def top_systemic_issue(patterns: DataFrame) -> DataFrame:
-    return patterns.orderBy(*_pattern_order("priority_score")).limit(1)
+def _first_patterns(patterns: DataFrame, incidents: DataFrame, first: str, limit: int) -> DataFrame:
+    """The first patterns with their impacted services: ranked without the lists, which only the chosen get."""
+    chosen = stored(patterns.drop("all_impacted_services").orderBy(*_pattern_order(first)).limit(limit), "patterns")
+    return with_impacted_services(chosen, incidents)
+
+
+def top_systemic_issue(patterns: DataFrame, incidents: DataFrame) -> DataFrame:
+    return _first_patterns(patterns, incidents, "priority_score", 1)
 
 
 def pattern_timeline(incidents: DataFrame, pattern_id: str) -> DataFrame:
@@ -769,8 +775,9 @@ def revenue_by_bu(units: DataFrame) -> DataFrame:
     ).orderBy(F.desc("total_revenue_impact"), "business_unit")
 
 
-def patterns_by_blast(patterns: DataFrame) -> DataFrame:
-    return patterns.orderBy(*_pattern_order("avg_blast_radius")).limit(10).select(
+def patterns_by_blast(patterns: DataFrame, incidents: DataFrame) -> DataFrame:
+    first = _first_patterns(patterns, incidents, "avg_blast_radius", 10)
+    return first.orderBy(*_pattern_order("avg_blast_radius")).select(
         "failure_pattern_name",
         "root_service",
         "business_unit",

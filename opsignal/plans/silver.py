@@ -46,13 +46,26 @@ def correlated_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
-def preceding_changes(incidents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per incident id: changes of the two hours before it on any touched service."""
+def incident_changes(incidents: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per incident and change of the two hours before it on any touched service. What only counts or
+    filters such changes reads this and no list."""
     pairs = change_incident_matches(
         changes, incidents, 2 * HOUR, ["change_id", "change_type", "executed_at"], ["incident_id", "created_at"]
     )
+    return pairs.select("incident_id", "change_id", "change_type", "service", "executed_at")
+
+
+def change_counts(related: DataFrame) -> DataFrame:
+    """Changes and types of change before each incident, out of ``incident_changes``; by type first."""
+    typed = related.groupBy("incident_id", "change_type").agg(F.count("*").alias("n"))
+    return typed.groupBy("incident_id").agg(F.sum("n").alias("changes"), F.count("change_type").alias("change_types"))
+
+
+def preceding_changes(incidents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per incident id: changes of the two hours before it on any touched service, as a list."""
     change = F.struct("change_id", "change_type", "service", "executed_at")
-    return pairs.groupBy("incident_id").agg(F.sort_array(F.collect_list(change)).alias("preceding_changes"))
+    listed = incident_changes(incidents, changes).groupBy("incident_id")
+    return listed.agg(F.sort_array(F.collect_list(change)).alias("preceding_changes"))
 
 
 def silver_incidents(incidents: DataFrame, alerts: DataFrame, changes: DataFrame) -> DataFrame:

@@ -74,6 +74,7 @@ KEYS = {
     "bronze_metrics": ["service_name", "metric_name", "event_timestamp"],
     "bronze_network_flows": ["flow_id"],
     "silver_incidents": ["incident_id"],
+    "silver_incident_changes": ["incident_id", "change_id"],
     "silver_alerts": ["alert_id"],
     "silver_changes": ["change_id"],
     "silver_service_health": ["service_name", "health_date"],

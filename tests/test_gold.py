@@ -169,3 +169,23 @@ def test_revenue_models(spark):
     assert got["o"].revenue_impact_usd == 0.0 and got["none"].revenue_impact_usd == 0.0
     flags = inc.select(impact.sla_flag().alias("f"), "incident_id")
     assert rows_by(flags, "incident_id")["t"].f is False
+
+
+def test_lists_are_gathered_for_the_chosen_patterns_only(spark, inputs):
+    """The set of impacted services is joined behind the limit, from the incidents of the chosen patterns."""
+    from opsignal.plans import gold, serve
+
+    plan = serve.top_systemic_issue(inputs.plain_patterns, inputs.scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "LeftSemi" in plan[: plan.index("Generate explode")] + plan[plan.index("Generate explode") :]
+    full = gold.root_cause_patterns(inputs.scored)
+    want = full.orderBy(F.desc("avg_blast_radius"), *serve.PATTERN_KEY).limit(10).collect()
+    got = serve.patterns_by_blast(inputs.plain_patterns, inputs.scored).collect()
+    assert [(r.failure_pattern_name, r.root_service, r.all_impacted_services) for r in got] == [(r.failure_pattern_name, r.root_service, r.all_impacted_services) for r in want]
+
+
+def test_change_counts_equal_the_lists(inputs):
+    from opsignal.plans import silver
+
+    listed = {r.incident_id: r.preceding_changes for r in silver.preceding_changes(inputs.incidents, inputs.changes).collect()}
+    counted = {r.incident_id: (r.changes, r.change_types) for r in silver.change_counts(silver.incident_changes(inputs.incidents, inputs.changes)).collect()}
+    assert counted == {k: (len(v), len({c.change_type for c in v})) for k, v in listed.items()} and counted
