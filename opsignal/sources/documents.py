@@ -35,19 +35,39 @@ def _nested(schema: str) -> str:
 def read_documents(spark: SparkSession, path: str, schema: str, one_array_per_file: bool = False) -> DataFrame:
     """Documents of a folder. ``one_array_per_file``: a file is one JSON array on a single line.
 
-    Such a file cannot be split while reading; its documents are rebalanced over tasks afterwards.
-    Lines that are not JSON of this schema are left out; ``rejected_documents`` lists them.
+    Such an array is cut where a document starts, by the reader itself, so that a large file is read by many tasks
+    and no task holds more than a document at a time. Text that is not JSON of this schema is left out;
+    ``rejected_documents`` lists it.
     """
-    docs = parsed(spark.read.text(path), schema, one_array_per_file)
-    return docs.hint("rebalance") if one_array_per_file else docs
+    if not one_array_per_file:
+        return parsed(spark.read.text(path), schema)
+    return pieces(spark, path, schema).select(F.inline("docs"))
+
+
+def opening(schema: str) -> str:
+    """What a document starts with: its first field. Inside a JSON string the quotes would be escaped, so this
+    text stands nowhere else as long as no inner object has that field."""
+    return f'{{"{T.StructType.fromDDL(schema)[0].name}":'
+
+
+def pieces(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line, docs) of files that are one JSON array each: the text from one document to the next, and what it
+    holds. A file that spells the start of its documents in another way is a single piece, parsed as an array."""
+    start = opening(schema)
+    found = spark.read.option("lineSep", start).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    body = F.rtrim("line", F.lit(", \t\r\n]"))
+    # the array of the first field went with the closing brackets only if there is no brace behind it
+    row = F.from_json(F.concat(F.lit(start), body), f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    fields = F.struct(*[row[c].alias(c) for c in T.StructType.fromDDL(schema).names])
+    array = F.from_json("line", f"array<struct<{_nested(schema)}>>")
+    docs = F.when(row.isNotNull() & row[BAD].isNull(), F.array(fields)).otherwise(array)
+    return found.where(F.trim("line", F.lit(" \t\r\n[],")) != "").select("path", "line", docs.alias("docs"))
 
 
-def parsed(lines: DataFrame, schema: str, arrays: bool = False) -> DataFrame:
-    """The documents of text lines, without those that cannot be parsed. ``arrays``: a line is a JSON array of
-    documents, or one of them. Lines are parsed once, whatever columns are asked for."""
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """The documents of text lines, without those that cannot be parsed. Lines are parsed once, whatever columns are
+    asked for."""
     lines = lines.where(F.trim("value") != "")
-    if arrays:
-        return lines.select(F.inline(F.from_json("value", f"array<struct<{_nested(schema)}>>")))
     row = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
     return lines.select(F.inline(F.array(row))).where(F.col(BAD).isNull()).drop(BAD)
 
@@ -60,8 +80,11 @@ def split(lines: DataFrame, schema: str) -> DataFrame:
     return held.select("line", "doc", (F.col("doc").isNull() | F.col(f"doc.{BAD}").isNotNull()).alias("bad"))
 
 
-def rejected_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(path, line) of the lines that are neither JSON of this schema nor an array of it."""
+def rejected_documents(spark: SparkSession, path: str, schema: str, one_array_per_file: bool = False) -> DataFrame:
+    """(path, line) of the lines that are neither JSON of this schema nor an array of it; of the pieces, where a file
+    is one array."""
+    if one_array_per_file:
+        return pieces(spark, path, schema).where("docs IS NULL").select("path", "line")
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
     parsed = F.from_json("line", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
     array = F.from_json("line", f"array<struct<{_nested(schema)}>>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from pathlib import Path
 
@@ -138,6 +139,32 @@ def test_rejected_documents(spark, tmp_path):
     assert [r.line for r in bad] == ["[{oops"]
 
 
+def test_one_large_array_is_read_by_several_tasks(spark, sf_dir, tmp_path):
+    docs = [r.value for r in fx.trace_documents(spark, sf_dir).limit(300).collect()]
+    flat = [d for x in docs for d in (json.loads(x) if x.lstrip().startswith("[") else [json.loads(x)])]
+    tricky = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": 'a {"resourceSpans": [ ] } b', "spanId": "],}", "startTimeUnixNano": "1", "endTimeUnixNano": "2"}]}]}]}
+    flat = flat * 4 + [tricky, {"resourceSpans": []}]
+    write(tmp_path / "one", "x.json", json.dumps(flat).encode())
+    write(tmp_path / "lines", "x.json", "\n".join(map(json.dumps, flat)).encode())
+    write(tmp_path / "loose", "x.json", json.dumps(flat).replace('{"resourceSpans"', '{ "resourceSpans"').encode())
+    write(tmp_path / "bad", "x.json", json.dumps(flat[:2]).encode()[:-40])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = documents.ingest(spark, "bronze_traces", str(tmp_path / "one"))
+        parts = [r[0] for r in got.select(F.spark_partition_id()).distinct().collect()]
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) > 3
+    line = documents.traces_table(documents.read_documents(spark, str(tmp_path / "lines"), RAW_TRACES))
+    key = lambda r: str(r)
+    assert sorted(rows, key=key) == sorted(line.collect(), key=key) and any(r.span_id == "],}" for r in rows)
+    assert sorted(documents.ingest(spark, "bronze_traces", str(tmp_path / "loose")).collect(), key=key) == sorted(rows, key=key)
+    assert documents.rejected_documents(spark, str(tmp_path / "one"), RAW_TRACES, True).isEmpty()
+    assert documents.rejected_documents(spark, str(tmp_path / "bad"), RAW_TRACES, True).count() == 1
+    assert documents.read_documents(spark, str(tmp_path / "bad"), RAW_TRACES, True).count() == 1
+
+
 @pytest.mark.parametrize("table, key", [("bronze_incidents", "incident_id"), ("bronze_alerts", "alert_id"), ("bronze_topology_changes", "change_id")])
 def test_stream_passes_over_bad_lines(spark, tmp_path, table, key):
     landing, target, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "offsets"))
