@@ -52,15 +52,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS, INVERSES
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words, lower-cased. A text of fewer words is one
-    shingle, one without words has none. Words are hashed all at once, from sums over the bytes."""
+def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words, lower-cased, and how often each occurs. A text of
+    fewer words is one shingle, one without words has none. Words are hashed all at once, from sums over the bytes."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
     inside = np.concatenate([[False], ~IS_BLANK[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=u64)
+        return np.zeros(0, dtype=u64), np.zeros(0, dtype=np.int64)
     powers, inverses = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, dtype=u64), np.cumsum((data.astype(u64) + u64(1)) * powers[: len(data)], dtype=u64)])
     words = mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(u64) * STEP)
@@ -68,7 +68,17 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     runs = np.zeros(len(words) - span + 1, dtype=u64)
     for i in range(span):
         runs = mixed(runs + words[i : i + len(runs)] + u64(i + 1) * STEP)
-    return np.unique(runs)
+    return np.unique(runs, return_counts=True)
+
+
+def bag(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Every occurrence as an element of its own, sorted: the first keeps its hash. The Jaccard index of two bags is
+    the weighted one of their elements, the sum of the smaller counts over that of the larger."""
+    if len(elements) == int(times.sum()):
+        return elements
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    each = np.repeat(elements, times)
+    return np.sort(np.where(nth == 0, each, mixed(each + nth.astype(u64) * STEP)))
 
 
 def _fraction(x: np.ndarray) -> np.ndarray:
@@ -88,7 +98,9 @@ def darts(elements: np.ndarray, weights: np.ndarray | None, limit: float) -> tup
     if weights is not None:
         copies = np.maximum(np.ceil(weights).astype(np.int64), 1)
         nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-        regions = mixed(np.repeat(regions, copies) + nth.astype(u64) * STEP)
+        first = np.repeat(regions, copies)
+        # the first region is that of a set without weights
+        regions = np.where(nth == 0, first, mixed(first + nth.astype(u64) * STEP))
         reach = np.minimum(1.0, np.repeat(weights, copies) - nth)
     ranks, names = [], []
     at, live, throw = np.zeros(len(regions)), np.arange(len(regions)), 0
@@ -142,17 +154,20 @@ def text_digest() -> Column:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), name (of the set of shingles), n (its size), bands (keys), signature (16 bits a
-    coordinate)."""
+    """doc_id, digest (of the text), name (of the bag of shingles), n (its size), bands (keys), signature (16 bits a
+    coordinate). A shingle weighs as much as it occurs."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, sizes, bands, marks = [], [], [], []
             for text in batch["text"]:
-                found = shingles(text)
+                elements, times = shingles(text)
+                found = bag(elements, times)
                 names.append(set_name(found))
                 sizes.append(len(found))
-                drawn = signature(found) if len(found) else np.zeros(0, dtype=u64)
+                # without repeats all weights are one
+                weights = times.astype(np.float64) if len(found) > len(elements) else None
+                drawn = signature(elements, weights) if len(found) else np.zeros(0, dtype=u64)
                 bands.append(band_keys(drawn) if len(found) else drawn.view(np.int64))
                 marks.append((drawn >> u64(48)).astype("<u2").tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "name": names, "n": sizes, "bands": bands, "signature": marks})
@@ -172,7 +187,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
-                sets = [shingles(t) for t in part["text"]]
+                sets = [bag(*shingles(t)) for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_digest().alias("_t"), whole_text().alias("text"))
@@ -299,7 +314,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with the class it is in: documents connected by links of this similarity or more.
 
-    Similarity is the Jaccard index of the sets of five-word shingles. Equal sets are one node, named by 128 bits. Nodes that
+    Similarity is the weighted Jaccard index of the five-word shingles, each weighing as much as it occurs: that of
+    the sets of occurrences, called sets below. Equal sets are one node, named by 128 bits. Nodes that
     share a band are a group. All are compared exactly with the smallest node of their group; the links make
     components. In a group that is then not all in one component, the signatures of all nodes of different
     components are compared, and exactly those pairs that may be similar; where these are many, a whole block

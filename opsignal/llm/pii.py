@@ -18,8 +18,9 @@ EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words that hold a digit or @, with such words next to them: what an identifier could be.
-RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
+#: A word that holds a digit or @, and such words next to each other: what an identifier could be.
+SINGLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+RUN = SINGLE + r"(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 AROUND = ".,;:!?\"'()[]{}<>|*"
 
 ROUNDS = 3
@@ -56,19 +57,46 @@ def holds(kind: str, match: Column) -> Column:
     return n.between(9, 15)
 
 
+#: Matches that are handled together: adding to a list copies it, so lists are grown in two levels.
+CHUNK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunks(items: Column) -> Column:
+    """An array cut into arrays of CHUNK."""
+    count = F.ceil(F.size(items) / CHUNK).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(items) > 0, pieces).otherwise(F.array(items))
+
+
 def placed(text: Column, expression: str) -> Column:
-    """Array of (match, start, end) in code points: lengths of gaps and matches, added up."""
-    matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int,end:int>>").alias("found"))
+    """Array of (match, start, end, before, after) in code points, with the text between a match and its neighbours:
+    lengths of gaps and matches, added up."""
+    found = "array<struct<match:string,start:int,end:int,before:string,after:string>>"
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(done["found"], F.array(F.struct(x["m"].alias("match"), start.alias("start"), end.alias("end")))).alias("found"))
+    def spread(matches: Column, gaps: Column) -> Column:
+        n = F.size(matches)
+        steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), n).alias("g"), F.slice(gaps, F.lit(2), n).alias("h"))
 
-    return F.aggregate(steps, empty, step)["found"]
+        def step(done: Column, x: Column) -> Column:
+            start = done["at"] + F.length(x["g"])
+            end = start + F.length(x["m"])
+            one = F.struct(x["m"].alias("match"), start.alias("start"), end.alias("end"), x["g"].alias("before"), x["h"].alias("after"))
+            return F.struct(end.alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+
+        def chunk(done: Column, items: Column) -> Column:
+            empty = F.struct(done["at"].alias("at"), F.array().cast(found).alias("found"))
+            return bound(F.aggregate(items, empty, step), lambda c: F.struct(c["at"].alias("at"), F.concat(done["all"], F.array(c["found"])).alias("all")))
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{found}>").alias("all"))
+        return bound(steps, lambda s: F.flatten(F.aggregate(chunks(s), none, chunk)["all"]))
+
+    pair = F.struct(F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("m"), F.split(text, expression, -1).alias("g"))
+    return bound(pair, lambda p: spread(p["m"], p["g"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -84,27 +112,41 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def word_before(gap: Column, n: int) -> Column:
-    near = F.regexp_extract(F.right(gap, F.lit(80)), rf"((?:\S+\s+){{{n - 1}}}\S+)\s*$", 1)
-    return F.lower(F.regexp_replace(near, r"[^\p{L}\p{N}\s]", ""))
+BLANK_TO_SPACE = ("\t\n\x0b\f\r", "     ")
+
+
+def _plain(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]", ""))
+
+
+def words_before(gap: Column) -> tuple[Column, Column]:
+    """The last word, and the last two with a space between; empty where there are not so many."""
+    text = F.rtrim(F.translate(gap, *BLANK_TO_SPACE))
+    last = F.substring_index(text, " ", -1)
+    rest = F.rtrim(F.left(text, F.length(text) - F.length(last)))
+    before = F.substring_index(rest, " ", -1)
+    return _plain(last), F.when(before != "", F.concat(_plain(before), F.lit(" "), _plain(last))).otherwise("")
 
 
 def word_after(gap: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(F.left(gap, F.lit(80)), r"^\s*(\S+)", 1), r"[^\p{L}\p{N}]", ""))
+    return _plain(F.substring_index(F.ltrim(F.translate(gap, *BLANK_TO_SPACE)), " ", 1))
 
 
-def runs(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, expression: str) -> Column:
     """Array of (name, start, end, kind, patterns): what could be an identifier, the kind of the base span it
-    touches (null: none), and the lexical patterns it stands in."""
-    found = placed(text, RUN)
-    gaps = F.split(text, RUN, -1)
+    touches (null: none), and the lexical patterns it stands in. Base spans are looked up among those that
+    touch the same CHUNK of candidates."""
+    kind = "array<struct<name:string,start:int,end:int,kind:int,patterns:array<string>>>"
 
-    def describe(x: Column, i: Column) -> Column:
+    def describe(x: Column, near: Column) -> Column:
         bare = F.ltrim(x["match"], F.lit(AROUND))
         start = x["start"] + F.length(x["match"]) - F.length(bare)
         bare = F.rtrim(bare, F.lit(AROUND))
-        touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        left, two, right = word_before(F.get(gaps, i), 1), word_before(F.get(gaps, i), 2), word_after(F.get(gaps, i + 1))
+        touching = F.filter(near, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        # another candidate stands right beside it
+        beside = lambda gap, word: F.when((gap == " ") & (word == ""), "#").otherwise(word)
+        left, two = words_before(x["before"])
+        left, right = beside(x["before"], left), beside(x["after"], word_after(x["after"]))
         patterns = F.array(
             F.when(left != "", F.concat(F.lit("L "), left)),
             F.when(two != "", F.concat(F.lit("LL "), two)),
@@ -116,9 +158,22 @@ def runs(text: Column, base: Column) -> Column:
             F.get(touching, F.lit(0))["kind"].alias("kind"), F.array_compact(patterns).alias("patterns"),
         )
 
-    some = text.rlike("[0-9@]")
-    kind = "array<struct<name:string,start:int,end:int,kind:int,patterns:array<string>>>"
-    return F.when(some, F.transform(found, describe)).otherwise(F.array()).cast(kind)
+    def together(items: Column, spans: Column) -> Column:
+        first, last = F.get(items, F.lit(0))["start"], F.element_at(items, -1)["end"]
+        near = F.filter(spans, lambda b: (b["start"] < last) & (b["end"] > first))
+        return bound(near, lambda n: F.transform(items, lambda x: describe(x, n)))
+
+    def every(found: Column, spans: Column) -> Column:
+        return F.flatten(F.transform(chunks(found), lambda items: F.when(F.size(items) > 0, together(items, spans)).otherwise(F.array().cast(kind))))
+
+    pair = F.struct(placed(text, expression).alias("found"), base.alias("spans"))
+    return F.when(text.rlike("[0-9@]"), bound(pair, lambda p: every(p["found"], p["spans"]))).otherwise(F.array()).cast(kind)
+
+
+def runs(text: Column, base: Column) -> Column:
+    """Candidates of both sizes: single words, and runs of several."""
+    several = F.filter(candidates(text, base, RUN), lambda r: F.instr(r["name"], " ") > 0)
+    return F.concat(candidates(text, base, SINGLE), several)
 
 
 def bootstrapped(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -155,7 +210,8 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``base`` holds the matches of the four expressions that pass their checks. Their contexts (one and two
     words before, one after, both sides) make patterns; patterns in which nearly all instances are of one
-    kind add further identifiers to ``spans``. Spans that touch a base span are not added.
+    kind add further identifiers to ``spans``. Spans that touch a base span are not added. Of words with digits
+    side by side each is a candidate, and all together; both may be found. Time is linear in the text.
 
     Cases: null and empty texts have no spans. Every row is a document: rows that repeat doc_id and text get
     the same spans. Null doc_ids are kept. Other columns are ignored. An empty table gives an empty result.

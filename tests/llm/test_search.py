@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,7 +59,9 @@ def test_copies_of_a_vector_take_one_place(spark):
 
 def sets_of(text):
     words = (text or "").lower().split()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    runs = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    # a shingle weighs as much as it occurs
+    return frozenset((run, nth) for run, times in runs.items() for nth in range(times))
 
 
 def brute_classes(rows):
@@ -94,12 +97,31 @@ def test_near_duplicates(documents):
             rows.append((len(rows), " ".join(copy).upper() if rnd.random() < 0.3 else "\n".join(copy)))
     passage = " ".join(word() for _ in range(60))
     rows += [(len(rows) + i, passage + " " + " ".join(word() for _ in range(20 + i))) for i in range(30)]
+    chorus = [" ".join(word() for _ in range(12)) for _ in range(3)]
+    rows += [(600 + 10 * k + i, " ".join((chorus[k] + " ") * n)) for k in range(3) for i, n in enumerate((1, 2, 2, 9, 10, 11, 30))]
+    for k in range(8):
+        plain = [word() for _ in range(100)]
+        rows += [(700 + 2 * k, " ".join(plain)), (701 + 2 * k, " ".join(plain + plain[: 10 + k]))]
     rows += [(500, None), (501, ""), (502, " \n "), (503, "a b"), (504, "A  b"), (None, "only this one here and now"), (505, "x " * 9000), (503, "c d")]
     got = near_dedup.near_duplicates(documents(*rows)).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size, r.kept) for r in got), key=str) == brute_classes(rows)
     assert near_dedup.near_duplicates(documents()).collect() == []
 
 
+def test_weights_are_counts():
+    text = "a b c d e f " * 4 + "g h i j k"
+    elements, times = near_dedup.shingles(text)
+    whole = near_dedup.bag(elements, times)
+    plain = near_dedup.shingles(" ".join(f"w{i}" for i in range(40)))[0]
+    assert (near_dedup.signature(plain) == near_dedup.signature(plain, np.ones(len(plain)))).all()
+    assert len(whole) == times.sum() == 25 and len(set(whole.tolist())) == 25 and set(elements.tolist()) <= set(whole.tolist())
+    # hit by the same darts as the set of all occurrences, in the share of the weighted similarity
+    more = near_dedup.shingles("a b c d e f " * 7)
+    x, y = (near_dedup.signature(e, t.astype(float), 4000) for e, t in ((elements, times), more))
+    one, two = set(whole.tolist()), set(near_dedup.bag(*more).tolist())
+    assert abs((x == y).mean() - len(one & two) / len(one | two)) < 0.04 and len(one & two) < len(set(elements.tolist())) * 4
+
+
 def test_one_of_each_class_stays(documents):
     text = " ".join(f"w{i}" for i in range(50))
     kept = near_dedup.keep_one(documents((1, "other words that stand alone here"), (2, text), (3, text), (4, text + " more")))
