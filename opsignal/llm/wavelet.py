@@ -9,6 +9,7 @@ position, how often a token occurs in a range, and where, without the other toke
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
@@ -161,6 +162,14 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark would take it from: a bare path belongs to the default one."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes whole texts, appends ``end_id`` to each and writes them in ascending doc_id order.
 
@@ -171,13 +180,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     Returns the staged list of files: part, seq, path, n_docs, n_tokens.
 
     Cases: null text is empty and gives the end id alone; null doc_ids come first; rows with the same doc_id
-    follow each other by text. A text longer than a shard makes its shard longer. Other columns are ignored.
+    follow each other by the digest of their text. A text longer than a shard makes its shard longer. Other columns are ignored.
     An empty table writes no file.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = qualified(spark, folder)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +218,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the digest and a running number cut the rows of one doc_id, and rows that are all alike, over many tasks
+    order = [F.col("doc_id"), F.md5("text"), F.monotonically_increasing_id()]
+    keyed = rows.withColumns({f"_{i}": c for i, c in enumerate(order)})
+    ordered = keyed.repartitionByRange(parts, "_0", "_1", "_2").sortWithinPartitions("_0", "_1", "_2").select("doc_id", "text")
     return staged(ordered.mapInPandas(write, "part long, seq long, path string, n_docs long, n_tokens long"), "shard-list")
 
 

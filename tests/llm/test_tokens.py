@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from opsignal.llm import packing, wavelet
@@ -51,7 +53,7 @@ def test_shards_round_trip(spark, documents, tmp_path):
     assert shards.count() > 1 and len(list((tmp_path / "s").glob("part-*.wm"))) == shards.count()
     got = wavelet.read_documents(shards, with_ids=True).orderBy("start").collect()
     text = dict(zip(range(len(TEXTS)), TEXTS))
-    order = sorted(text, key=lambda i: (TEXTS[i][0] is not None, TEXTS[i][0] or 0, TEXTS[i][1] or ""))
+    order = sorted(text, key=lambda i: (TEXTS[i][0] is not None, TEXTS[i][0] or 0, hashlib.md5((TEXTS[i][1] or "").encode()).hexdigest()))
     ids, at = encoded(FILES[0], 0), 0
     for row, i in zip(got, order, strict=True):
         assert (row.doc_id, row.start, row.n_tokens, bytes(row.ids)) == (TEXTS[i][0], at, len(ids[i][1]) // 4, ids[i][1])
@@ -73,3 +75,35 @@ def test_packing(documents):
             held = b""
     assert sorted(got, key=str) == want and packing.pack(documents(), tokenizer(FILES[1])).collect() == []
     assert packing.piece_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+
+
+def test_one_doc_id_fills_many_shards(spark, documents, tmp_path):
+    """Rows that are all alike, in number and text, are cut over several tasks."""
+    rows = documents(*[(None, "same text")] * 4000, (1, "other"))
+    parts = [r.n_docs for r in wavelet.write_shards(rows, tokenizer(FILES[0]), 0, str(tmp_path / "s")).collect()]
+    assert len(parts) > 1 and sum(parts) == 4001 and max(parts) < 3000
+
+
+def test_a_bare_folder_belongs_to_the_default_file_system(spark, tmp_path):
+    assert wavelet.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert wavelet.qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.defaultFS", "viewfs://store")
+    conf.set("fs.viewfs.mounttable.store.link./shared", f"file://{tmp_path}")
+    try:
+        assert wavelet.qualified(spark, "/shared/x") == "viewfs://store/shared/x"
+    finally:
+        conf.unset("fs.defaultFS")
+        conf.unset("fs.viewfs.mounttable.store.link./shared")
+
+
+def test_buckets_hold_equal_lengths(documents):
+    packed = packing.pack(documents(*TEXTS), tokenizer(FILES[1]))
+    laid = packing.bucketed(packed)
+    key = lambda r: (r.sequence_id, r.start)
+    assert sorted(laid.select(*packed.columns).collect(), key=key) == sorted(packed.collect(), key=key)
+    files = [(r.f.rsplit("/", 2)[1], r.length) for r in laid.select(F.input_file_name().alias("f"), "length").distinct().collect()]
+    assert files and all(folder == f"length={n}" for folder, n in files)
+    plan = laid.where("length = 512")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(length" in plan
+    assert packing.bucketed(packing.pack(documents(), tokenizer(FILES[1]))).collect() == []
