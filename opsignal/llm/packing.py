@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from .common import whole_text
 from .tokens import encoder
 
@@ -28,7 +29,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048)
 
     Returns doc_id, start (ids of the document before the piece), length (the bucket), ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset (0). ``longest`` must be a power of two. Nothing is
-    shuffled. ``write_buckets`` stores sequences of one length together.
+    shuffled. ``bucketed`` lays sequences of one length together.
 
     Cases: a null or empty text is the end id alone. Rows that repeat a doc_id are packed each for itself,
     null doc_ids too. Other columns are ignored. An empty table gives no piece.
@@ -61,6 +62,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
-def write_buckets(sequences: DataFrame, folder: str) -> None:
-    """One folder per length, so that a batch reads equal lengths only."""
+def bucketed(sequences: DataFrame) -> DataFrame:
+    """The sequences staged with one folder per length, so that a batch of training reads equal lengths only: a
+    filter on ``length`` opens one folder."""
+    folder = new_folder(sequences.sparkSession, "buckets")
     sequences.write.partitionBy("length").parquet(folder)
+    return sequences.sparkSession.read.schema(sequences.schema).parquet(folder)

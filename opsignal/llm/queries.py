@@ -110,7 +110,7 @@ def op4_wavelet_tokens(spark, sf_dir):
 
 @query
 def op10_packing(spark, sf_dir):
-    sequences = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    sequences = packing.bucketed(packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1))
     return sequences.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
