@@ -95,11 +95,11 @@ class Reader:
             near = int((gap <= NEAR).sum())
         data = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=128)
         size = max(1, int(data.sum()))
-        shouted = sum(map(str.isupper, text.split())) if data[65:91].sum() * 4 > size else 0
+        shouted = sum(map(str.isupper, text.split()))
         punctuation = int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum() + data[123:127].sum())
         return [
-            len(hit) / n, float(min(len(hit), 50)), float(weight.sum()) / n, float(weight.max(initial=0.0)),
-            float(min(len({tokens[i] for i in hit.tolist()}), 20)), float(insult.sum()) / n, float(you.sum()) / n, near / max(1, len(hit)),
+            len(hit) / n, float(np.log1p(len(hit))), float(weight.sum()) / n, float(weight.max(initial=0.0)),
+            float(np.log1p(len({tokens[i] for i in hit.tolist()}))), float(insult.sum()) / n, float(you.sum()) / n, near / max(1, len(hit)),
             float(data[65:91].sum()) / size, shouted / n, float(data[33] + data[63]) / size, punctuation / size,
             float(disguised.sum()) / n, float(((weight > 0) & (disguised > 0)).sum()), float(data[48:58].sum()) / size, float(np.log1p(len(tokens))),
         ]
@@ -179,7 +179,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LEXICON, seed: int = 11) -> Model:
     """Learns from labelled documents that are not held out.
 
-    At most ``sample`` labelled rows are used, in expectation, chosen by a hash of the doc_id; everything
+    At most ``sample`` labelled rows are used, in expectation, chosen by a hash of the doc_id, then of the text; everything
     collected is bounded by ``size``. Terms are counted per fold, and the features of a fold are read with a
     lexicon learned from the other folds, so that the trees meet terms as they will meet them in new texts.
 
@@ -193,8 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LE
     n = known.count()
     spot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
     chosen = known.where(spot < int((1 << 20) * min(1.0, sample / max(1, n))))
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = staged(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    chosen = F.broadcast(staged(chosen, "toxicity-labels"))
+    # a doc_id may name many rows: those are thinned by their texts, and alike ones count once
+    found = docs.select("doc_id").join(chosen, "doc_id").count()
+    named = lambda salt: F.xxhash64("doc_id", F.md5("text"), F.lit(salt))
+    rows = docs.select("doc_id", whole_text().alias("text")).join(chosen, "doc_id")
+    rows = rows.where(F.pmod(named(seed + 2), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, found))))
+    rows = rows.dropDuplicates(["doc_id", "text"])
+    rows = staged(rows.withColumn("fold", F.pmod(named(seed + 1), F.lit(FOLDS)).cast("int")), "toxicity-sample")
     totals = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = (sum(v for (_, y), v in totals.items() if y == c) for c in (1, 0))
     if not toxic or not clean:
