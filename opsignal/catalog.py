@@ -154,7 +154,9 @@ def landed(files: DataFrame) -> DataFrame:
 
 @query
 def i1_ingest_otlp_metrics(spark, sf_dir):
-    return binary.metrics_table(binary.decode_metrics(landed(fx.metric_files(spark, sf_dir))))
+    """Read by the file source from files of many documents."""
+    landing = fx.land_files(fx.metric_files(spark, sf_dir), new_folder(spark, "metrics"))
+    return binary.metrics_table(binary.decode_metrics(binary.read_files(spark, landing)))
 
 
 @query

@@ -9,12 +9,13 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.impact import MODEL_COLUMNS
 from .schemas import RAW_ALERTS, RAW_CHANGES, RAW_INCIDENTS
-from .session import configure
+from .session import configure, qualified
 
 # Fixed values of the mapping.
 CHANGE_TYPES = (
@@ -507,3 +508,24 @@ def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
     return rows_.mapInPandas(encode, FILE_SCHEMA)
+
+
+def land_files(files: DataFrame, folder: str) -> str:
+    """Real files of several documents each, one a batch, written by the tasks under names that a second run of a task
+    replaces. Documents of this format may follow each other in a file."""
+    from pyarrow import fs
+
+    target = qualified(files.sparkSession, folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(target)
+        store.create_dir(root, recursive=True)
+        for n, batch in enumerate(batches):
+            name = f"{root}/part-{TaskContext.get().partitionId():05d}-{n:05d}.pb"
+            with store.open_output_stream(name) as out:
+                for content in batch["content"]:
+                    out.write(content)
+            yield pd.DataFrame({"docs": [len(batch)]})
+
+    files.select("content").mapInPandas(write, "docs long").agg(F.sum("docs")).collect()
+    return folder
