@@ -9,7 +9,6 @@ position, how often a token occurs in a range, and where, without the other toke
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -19,10 +18,10 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, qualified
 from .common import staged, whole_text
 from .tokens import encoder
 
@@ -162,14 +161,6 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with the file system that Spark would take it from: a bare path belongs to the default one."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/+", "file:///", full)
-
-
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes whole texts, appends ``end_id`` to each and writes them in ascending doc_id order.
 
