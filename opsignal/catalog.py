@@ -888,6 +888,12 @@ def b4_service_relationships(spark, sf_dir):
     return Inputs(spark, sf_dir).relationships
 
 
+@query
+def b4_relationship_kinds(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return impact.relationship_kinds(fx.service_profiles(spark, sf_dir), t.edges)
+
+
 @query
 def b5_dependency_blast_radius(spark, sf_dir):
     return impact.dependency_blast_radius(Inputs(spark, sf_dir).relationships)

@@ -156,6 +156,20 @@ def service_relationships(profiles: DataFrame) -> DataFrame:
     ).select("*", F.lit("depends_on").alias("relationship_type"), F.lit(1.0).alias("weight"))
 
 
+def relationship_kinds(profiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relationships of all kinds, one row per (source, target, kind): dependencies of the profiles, impacts seen in
+    incidents, and network flows; ``edges`` as ``graph.topology_edges`` gives them. The description tells what
+    an observed relationship rests on."""
+    declared = service_relationships(profiles).withColumn("description", F.lit(None).cast("string"))
+    kinds = (("impacts", "incident_link_count", " incidents"), ("network_flow", "network_flow_count", " flows"))
+    seen = [
+        F.struct(F.lit(kind).alias("relationship_type"), F.lit(1.0).alias("weight"), F.col(n).alias("n"), F.concat(F.col(n).cast("string"), F.lit(unit)).alias("description"))
+        for kind, n, unit in kinds
+    ]
+    observed = edges.select(F.col("src_service").alias("source_service"), F.col("dst_service").alias("target_service"), F.inline(F.array(*seen)))
+    return declared.unionByName(observed.where("n > 0").drop("n"))
+
+
 def dependency_blast_radius(relationships: DataFrame, max_depth: int | None = None) -> DataFrame:
     """How many services depend on each one, directly or through others; with ``max_depth`` through at most so
     many relationships."""
