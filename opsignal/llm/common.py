@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,20 @@ def packed(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in drop])
 
 
+def giving_back(read: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives the free memory of its Python worker back when it ends: workers live on, and
+    what one task has freed would count for the executor while another stage works there."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from read(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def join_counted(
     rows: DataFrame, counted: DataFrame, on: str, n: str, total: int, parts: int = 1000, how: str = "left"
 ) -> DataFrame:

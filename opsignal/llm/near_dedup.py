@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, join_counted, packed, staged, whole_text
+from .common import BLANKS, giving_back, join_counted, packed, staged, whole_text
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -173,7 +173,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "name": names, "n": sizes, "bands": bands, "signature": marks})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
-    return texts.mapInPandas(read, "doc_id long, digest binary, name binary, n long, bands array<long>, signature binary")
+    return texts.mapInPandas(giving_back(read), "doc_id long, digest binary, name binary, n long, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), text_digest().alias("_t"), whole_text().alias("text"))
     rows = texts.join(wanted.hint("merge"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("digest"))).select("id", "text")
-    return rows.mapInPandas(read, "id long, shingles array<long>").dropDuplicates(["id"])
+    return rows.mapInPandas(giving_back(read), "id long, shingles array<long>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -237,7 +237,7 @@ def per_block(rows: DataFrame, compare, schema: str) -> DataFrame:
             yield out
 
     block = ["key", "i", "j"]
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(read, schema)
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(giving_back(read), schema)
 
 
 def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import whole_text
+from .common import giving_back, whole_text
 from .tokens import encoder
 
 #: Bytes of ids in one batch on the way back to Spark.
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, (_, t) in zip(rows, fields)], names=[f for f, _ in fields])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = texts.mapInArrow(cut, schema)
+    pieces = texts.mapInArrow(giving_back(cut), schema)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
