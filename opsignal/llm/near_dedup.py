@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, giving_back, join_counted, packed, staged, whole_text
-from .components import components
+from .components import components, renamed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5 coordinates: texts of similarity 0.8 share none with probability 3 in a million.
@@ -196,24 +197,37 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar, exactly."""
+    """The pairs (a, b, ...) that are similar, exactly."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     # sorted at every size, as in shingle_sets
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select("a", "b")
+    return both.where(common / (F.size("_x") + F.size("_y") - common) >= similarity).select(*pairs.columns)
 
 
 def in_blocks(groups: DataFrame) -> DataFrame:
     """``groups`` (key, id, m, ...) with i and j: a group is cut into blocks that meet pairwise, so that a large one
-    is many tasks of bounded size. Every row is repeated for each block that its own meets."""
-    mine = F.pmod(F.xxhash64("id"), F.col("_nb"))
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j"))
-    )
-    rows = groups.withColumn("_nb", F.ceil(F.col("m") / BLOCK)).withColumn("_b", mine)
-    return rows.withColumn("_m", F.explode(meets)).withColumns({"i": F.col("_m.i"), "j": F.col("_m.j")}).drop("_nb", "_b", "_m", "m")
+    is many tasks of bounded size. Every row is repeated for each block that its own meets.
+
+    ``main`` and ``most``, if given, are the largest component of the group and the number of its nodes. These need
+    not meet each other: their blocks come after those of the others and meet only these. So where all but a few nodes
+    of a group are connected, a group of twice the size has twice the rows.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK)
+    large, none = F.col("m") > BLOCK, F.lit(0).cast("long")
+    known = "main" in groups.columns
+    inside = large & (F.col("component") == F.col("main")) if known else F.lit(False)
+    most = F.when(large, F.col("most")).otherwise(none) if known else none
+    rows = groups.withColumns({"_in": inside, "_other": F.greatest(blocks(F.col("m") - most), F.lit(1)), "_main": blocks(most)})
+    hashed = F.xxhash64("id")
+    mine = F.when(F.col("_in"), F.col("_other") + F.pmod(hashed, F.greatest("_main", F.lit(1)))).otherwise(F.pmod(hashed, F.col("_other")))
+    # a single block of others is compared in itself wherever it meets one of the largest component
+    first = F.when(~F.col("_in") & (F.col("_other") == 1) & (F.col("_main") > 0), F.lit(1).cast("long")).otherwise(none)
+    last = F.when(F.col("_in"), F.col("_other") - 1).otherwise(F.col("_other") + F.col("_main") - 1)
+    meets = F.transform(F.sequence(first, last), lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j")))
+    rows = rows.withColumn("_b", mine).withColumn("_m", F.explode(meets))
+    return rows.withColumns({"i": F.col("_m.i"), "j": F.col("_m.j")}).drop("_in", "_other", "_main", "_b", "_m", "m", "main", "most")
 
 
 def per_block(rows: DataFrame, compare, schema: str) -> DataFrame:
@@ -241,13 +255,15 @@ def per_block(rows: DataFrame, compare, schema: str) -> DataFrame:
 
 
 def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that are in different components, of sizes that allow the similarity,
-    and whose signatures agree often enough. A block with more than DENSE pairs a node gives no pairs, but
+    """Pairs (a, b) of nodes of a group that are in different components (ca, cb), of sizes that allow the
+    similarity, and whose signatures agree often enough. A block with more than DENSE pairs a node gives no pairs, but
     one row with its key, i and j.
 
-    ``groups``: key, id, component, n, signature, m (nodes in the group).
+    ``groups``: key, id, component, n, signature, m (nodes in the group), and main and most as for ``in_blocks``.
     """
 
+    ends = ["a", "b", "ca", "cb"]
+
     def compare(part: pd.DataFrame) -> pd.DataFrame | None:
         ids, comps, sizes = (part[c].to_numpy() for c in ("id", "component", "n"))
         marks = np.stack([np.frombuffer(x, dtype="<u2") for x in part["signature"]])
@@ -257,13 +273,13 @@ def screened(groups: DataFrame, similarity: float, agree: float = AGREE) -> Data
             near = y[(comps[y] != comps[x]) & (sizes[y] >= similarity * sizes[x]) & (sizes[x] >= similarity * sizes[y])]
             if len(near):
                 near = near[(marks[near] == marks[x]).mean(axis=1) >= agree]
-                found += zip(np.minimum(ids[near], ids[x]).tolist(), np.maximum(ids[near], ids[x]).tolist())
+                found += [(ids[x], ids[y], comps[x], comps[y]) if ids[x] < ids[y] else (ids[y], ids[x], comps[y], comps[x]) for y in near]
             if len(found) > DENSE * len(ids):
-                return part[["key", "i", "j"]].head(1).assign(a=None, b=None)[["a", "b", "key", "i", "j"]]
-        return pd.DataFrame(found, columns=["a", "b"]).assign(key=None, i=None, j=None) if found else None
+                return part[["key", "i", "j"]].head(1).assign(**dict.fromkeys(ends))[[*ends, "key", "i", "j"]]
+        return pd.DataFrame(found, columns=ends).assign(key=None, i=None, j=None) if found else None
 
     rows = in_blocks(groups).select("key", "i", "j", "id", "component", "n", "signature")
-    return per_block(rows, compare, "a long, b long, key long, i long, j long").distinct()
+    return per_block(rows, compare, "a long, b long, ca long, cb long, key long, i long, j long").distinct()
 
 
 def similar_rows(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -285,14 +301,16 @@ def similar_rows(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def links_in_place(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what the exact similarities within a block connect: at most one a node.
-    ``rows``: key, i, j, id, shingles."""
+    """Links (a, b) between components that connect what the exact similarities within a block connect: at most one a
+    component. ``rows``: key, i, j, id, component, shingles."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame | None:
-        ids = part["id"].to_numpy()
-        near = similar_rows([np.asarray(s, dtype=np.int64) for s in part["shingles"]], similarity)
-        left, found = np.ones(len(ids), dtype=bool), []
-        for start in range(len(ids)):
+        names, of = np.unique(part["component"].to_numpy(), return_inverse=True)
+        x, y = np.nonzero(similar_rows([np.asarray(s, dtype=np.int64) for s in part["shingles"]], similarity))
+        near = np.zeros((len(names), len(names)), dtype=bool)
+        near[of[x], of[y]] = True
+        left, found = np.ones(len(names), dtype=bool), []
+        for start in range(len(names)):
             todo = [start] if left[start] else []
             left[start] = False
             while todo:
@@ -300,10 +318,10 @@ def links_in_place(rows: DataFrame, similarity: float) -> DataFrame:
                 new = np.flatnonzero(near[x] & left)
                 left[new] = False
                 todo += new.tolist()
-                found += [(int(ids[x]), int(y)) for y in ids[new]]
+                found += [(int(names[x]), int(y)) for y in names[new]]
         return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
-    return per_block(rows.select("key", "i", "j", "id", "shingles"), compare, "a long, b long").distinct()
+    return per_block(rows.select("key", "i", "j", "component", "shingles"), compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -319,8 +337,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     share a band are a group. All are compared exactly with the smallest node of their group; the links make
     components. In a group that is then not all in one component, the signatures of all nodes of different
     components are compared, and exactly those pairs that may be similar; where these are many, a whole block
-    of the group is compared exactly in one task, of which only the links leave that connect it. So of the
-    pairs that share a band none is cut off, and no step sends more rows than a few for each member.
+    of the group is compared exactly in one task, of which only the links leave that connect its components. These
+    links, and those of the pairs, connect components, not nodes. So of the pairs that share a band none is cut off.
+    A step sends a few rows for each member, and as many more as a group has blocks of nodes outside its largest
+    component.
 
     Returns doc_id, digest (md5 of the text), class_id (its smallest doc_id), class_size, kept (whether it is the one
     that stays).
@@ -336,43 +356,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = rows.groupBy("name").agg(first, *alike).select("name", "w.doc_id", "w.digest", "n_docs", "n", "signature", "bands")
     # a number for each set: written once, so it stays
     nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select("id", F.explode("bands").alias("key"))
-    groups = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1"), "groups")
+    banded = nodes.select("id", "n", F.explode("bands").alias("key"))
+    pivot = [F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("pivot")]
+    groups = staged(banded.groupBy("key").agg(*pivot).where("m > 1").select("key", "m", "pivot.id", "pivot.n").toDF("key", "m", "pivot", "pivot_n"), "groups")
     total = groups.agg(F.sum("m").alias("m")).first().m or 0
-    members = staged(join_counted(banded, groups, "key", "m", total, how="inner").select("key", "id", "pivot", "m"), "members")
-    size = nodes.select("id", "n")
+    members = staged(join_counted(banded, groups, "key", "m", total, how="inner").select("key", "id", "n", "pivot", "pivot_n", "m"), "members")
     # the sets of all that may have a partner, once for all comparisons
     wanted = members.select("id").distinct().join(nodes.select("id", "doc_id", "digest"), "id")
     sets = staged(shingle_sets(docs, wanted), "shingle-sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The similar ones of these distinct pairs."""
-        sized = (
-            pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a")
-            .join(size.select(F.col("id").alias("b"), F.col("n").alias("_nb")), "b")
-            .where(F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb"))
-            .select("a", "b")
-        )
-        return staged(verified(staged(sized, "pairs"), sets, similarity), "links")
-
-    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = linked(star)
-    found = components(links)
+    star = members.where("id != pivot").where(F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n"))
+    star = staged(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = components(staged(verified(star, sets, similarity), "links"))
     placed = members.where("m > 2").join(found, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
-    split = (
-        placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
-    )
+    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    split = largest.agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "component")).alias("l")).where("k > 1")
+    split = split.select("key", F.col("l.component").alias("main"), F.col("l.c").alias("most"))
     open_groups = staged(placed.join(split, "key"), "open-groups")
     seen = staged(screened(open_groups.join(nodes.select("id", "n", "signature"), "id"), similarity), "screened")
-    pairs = staged(seen.where("a IS NOT NULL").select("a", "b").join(star, ["a", "b"], "left_anti"), "more-pairs")
-    dense = in_blocks(open_groups).join(seen.where("a IS NULL").select("key", "i", "j"), ["key", "i", "j"])
-    dense = staged(dense.select("key", "i", "j", "id"), "dense-blocks")
-    more = links.limit(0) if pairs.isEmpty() else linked(pairs)
+    pairs = staged(seen.where("a IS NOT NULL").select("a", "b", "ca", "cb").join(star, ["a", "b"], "left_anti"), "more-pairs")
+    dense = staged(seen.where("a IS NULL").select("key", "i", "j"), "dense-blocks")
+    rows_of = open_groups.join(dense.select("key").distinct(), "key", "left_semi")
+    in_dense = in_blocks(rows_of).join(dense, ["key", "i", "j"])
+    # between components
+    more = []
+    if not pairs.isEmpty():
+        more.append(verified(pairs, sets, similarity).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if not dense.isEmpty():
-        more = more.unionByName(staged(links_in_place(dense.join(sets.hint("merge"), "id"), similarity), "links"))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    classed = nodes.join(found, "id", "left").select("name", "doc_id", "n_docs", F.coalesce("component", "id").alias("class"))
+        more.append(links_in_place(in_dense.join(sets.hint("merge"), "id"), similarity))
+    classed = nodes.join(found, "id", "left").select("name", "doc_id", "n_docs", F.coalesce("component", "id").alias("component"))
+    if more:
+        classed = renamed(classed, components(reduce(DataFrame.unionByName, more)))
+    classed = classed.withColumnRenamed("component", "class")
     classed = staged(classed, "classes")
     per_class = staged(
         classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("_nodes")),

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsignal.llm import ann, near_dedup
+from opsignal.llm import ann, components, near_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, vec string, bucket long"
 
@@ -185,3 +185,41 @@ def test_dense_groups_give_the_same_classes(documents, monkeypatch):
         rows.append((i, " ".join(copy)))
     got = near_dedup.near_duplicates(documents(*rows)).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size, r.kept) for r in got), key=str) == brute_classes(rows)
+
+
+def test_connected_nodes_of_a_group_are_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    schema = "key long, id long, component long, m long, main long, most long"
+    for inside, others, most_rows in ((100, 5, 100 + 5 * 10), (200, 5, 200 + 5 * 20), (100, 25, 100 * 3 + 25 * 13), (4, 5, 9)):
+        group = [(1, i, min(i, others), inside + others, others, inside) for i in range(inside + others)]
+        rows = near_dedup.in_blocks(spark.createDataFrame(group, schema)).collect()
+        assert len(rows) == most_rows
+        blocks = {}
+        for r in rows:
+            blocks.setdefault((r.i, r.j), []).append(r)
+        met = {(x.id, y.id) for block in blocks.values() for x, y in itertools.product(block, block)}
+        assert all((x[1], y[1]) in met for x, y in itertools.product(group, group) if x[2] != y[2])
+
+
+def test_links_of_a_block_connect_components(spark):
+    one, two = list(range(10)), list(range(50, 60))
+    rows = [(1, 0, 0, i, c, s) for i, (c, s) in enumerate([(0, one), (0, one), (0, two), (3, two), (3, two), (5, one), (6, [99])])]
+    df = spark.createDataFrame(rows, "key long, i long, j long, id long, component long, shingles array<long>")
+    links = near_dedup.links_in_place(df, 0.8).collect()
+    assert sorted(sorted((r.a, r.b)) for r in links) == [[0, 3], [0, 5]]
+
+
+def test_links_inside_a_component_are_not_read_again(spark, monkeypatch):
+    rnd = random.Random(5)
+    links = [(0, i) for i in range(1, 150)] + [(i + 1, i) for i in range(200, 300)] + [(rnd.randrange(400, 500), rnd.randrange(400, 500)) for _ in range(80)]
+    links += [(1, 0), (7, 7), (149, 250), (600 + 2 * 3, 601), (601, 600), (606, 700)]
+    want = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    read, write = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, label: (read.append(df.count()) if label == "arcs" else None, write(df, label))[1])
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert read[0] == len({frozenset(x) for x in links if x[0] != x[1]}) and sum(read[1:]) < read[0] / 4 and read[-1] == 0
