@@ -123,3 +123,37 @@ def test_a_build_that_fails_leaves_the_old_one(spark, inputs, tmp_path, monkeypa
         build.build_all(spark, {n: df.limit(3) for n, df in bronze.items()}, str(tmp_path))
     assert {n: versions.version_of(spark, f"{tmp_path}/{n}").number for n in built} == before
     assert versions.read_table(spark, f"{tmp_path}/bronze_alerts").count() == 40
+
+
+def test_columns_that_rows_share_are_written_once_a_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.sql("SELECT id, if(id = 5, NULL, concat('k', id % 3)) AS key, id * 2 AS twice FROM range(6)")
+    lists = spark.sql("SELECT * FROM VALUES ('k0', array('a', 'b')), ('k1', array('c')) AS t(key, list)")
+    for _ in range(2):
+        versions.prepared(spark.range(3), path)  # a write that was never committed
+        made = versions.with_shared(versions.prepared(rows, path), lists, "key", ["id", "key", "list", "twice"])
+        versions.commit(spark, made)
+    versions.expire(spark, path, keep=1)
+    want = [(0, "k0", ["a", "b"], 0), (1, "k1", ["c"], 2), (2, "k2", None, 4), (3, "k0", ["a", "b"], 6), (4, "k1", ["c"], 8), (5, None, None, 10)]
+    read = versions.read_table(spark, path)
+    assert read.columns == ["id", "key", "list", "twice"] and sorted(map(tuple, read.collect())) == want
+    narrow = versions.version_of(spark, path).read(spark, schema=read.select("twice", "id").schema)
+    assert sorted(map(tuple, narrow.collect())) == [(w[3], w[0]) for w in want]
+    assert sorted(p.name for p in (tmp_path / "t" / "data").iterdir()) == sorted(f.split("/")[1] for f in (made.folders[""], made.shared["folder"]))
+
+
+def test_a_build_writes_the_services_of_a_pattern_once(spark, inputs, tmp_path):
+    """As part of every row they took the square of the services; what is read is the same."""
+    from opsignal import fixtures as fx
+    from opsignal.plans import gold
+
+    bronze = {n: df.limit(400) for n, df in fx.bronze(spark, inputs.sf_dir).items()}
+    bronze["bronze_incidents"] = spark.createDataFrame(inputs.incidents.collect(), inputs.incidents.schema)
+    got = build.build_all(spark, bronze, str(tmp_path))["gold_root_cause_patterns"]
+    want = gold.root_cause_patterns(inputs.scored)
+    assert got.columns == [*want.columns, "computed_at"] and got.drop("computed_at").schema.simpleString() == want.schema.simpleString()
+    again = versions.read_table(spark, f"{tmp_path}/gold_root_cause_patterns")
+    assert sorted(map(str, got.drop("computed_at").collect())) == sorted(map(str, want.collect())) and sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    written = [spark.read.parquet(str(p)) for p in (tmp_path / "gold_root_cause_patterns" / "data").iterdir()]
+    lists = [df for df in written if "all_impacted_services" in df.columns]
+    assert sum(df.count() for df in lists) == want.where("all_impacted_services IS NOT NULL").select("failure_pattern_id").distinct().count() < want.count()
