@@ -157,3 +157,15 @@ def test_a_build_writes_the_services_of_a_pattern_once(spark, inputs, tmp_path):
     written = [spark.read.parquet(str(p)) for p in (tmp_path / "gold_root_cause_patterns" / "data").iterdir()]
     lists = [df for df in written if "all_impacted_services" in df.columns]
     assert sum(df.count() for df in lists) == want.where("all_impacted_services IS NOT NULL").select("failure_pattern_id").distinct().count() < want.count()
+
+
+@pytest.mark.parametrize("name", ["p1_build_configured"])
+def test_queries_that_build_write_the_services_of_a_pattern_once(spark, inputs, tmp_path, monkeypatch, name):
+    from opsignal import catalog
+
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, label: str(tmp_path))
+    catalog.QUERIES[name](spark, inputs.sf_dir)
+    written = [spark.read.parquet(str(p)) for p in (tmp_path / "gold_root_cause_patterns" / "data").iterdir()]
+    lists = sum(df.count() for df in written if "all_impacted_services" in df.columns)
+    table = versions.read_table(spark, f"{tmp_path}/gold_root_cause_patterns")
+    assert lists == table.where("all_impacted_services IS NOT NULL").select("failure_pattern_id").distinct().count() < table.count()
