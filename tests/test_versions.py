@@ -159,7 +159,7 @@ def test_a_build_writes_the_services_of_a_pattern_once(spark, inputs, tmp_path):
     assert sum(df.count() for df in lists) == want.where("all_impacted_services IS NOT NULL").select("failure_pattern_id").distinct().count() < want.count()
 
 
-@pytest.mark.parametrize("name", ["p1_build_configured"])
+@pytest.mark.parametrize("name", ["p1_build_configured", "p1_written_tables"])
 def test_queries_that_build_write_the_services_of_a_pattern_once(spark, inputs, tmp_path, monkeypatch, name):
     from opsignal import catalog
 
